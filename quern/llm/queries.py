@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import decontaminate as op7
 from quern.llm import exact_dedup as op1
 from quern.llm import sharding as op10
 from quern.llm import simhash as op2
-from quern.llm.common import table, text_or_empty
+from quern.llm import token_output as op8
+from quern.llm.common import shared_dir, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +38,24 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.simhash_dedup(table(spark, sf_dir, "documents")).drop("quern_fp")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op7.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    op8.save_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), path)
+    found = op8.read_tokens(spark, path)
+    return found.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 SHARDS = 40
 
 
@@ -58,7 +79,7 @@ FROM best
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
