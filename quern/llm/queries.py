@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate as op7
 from quern.llm import exact_dedup as op1
+from quern.llm import lm_score as op6
 from quern.llm import sharding as op10
 from quern.llm import simhash as op2
 from quern.llm import token_output as op8
-from quern.llm.common import shared_dir, table, text_or_empty
+from quern.llm.common import fold, shared_dir, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.simhash_dedup(table(spark, sf_dir, "documents")).drop("quern_fp")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = fold("doc_id", 10)
+    found = op6.score_documents(docs, training=part != 0, held=part == 1)
+    return found.select("doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op7.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -79,7 +87,7 @@ FROM best
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
