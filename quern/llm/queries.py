@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate as op7
 from quern.llm import exact_dedup as op1
+from quern.llm import language_id as op4
 from quern.llm import lm_score as op6
 from quern.llm import sharding as op10
 from quern.llm import simhash as op2
@@ -39,6 +40,13 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.simhash_dedup(table(spark, sf_dir, "documents")).drop("quern_fp")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    found = op4.identify(docs, op4.train(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = fold("doc_id", 10)
@@ -87,7 +95,7 @@ FROM best
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op6_lm_scoring": op6_lm_scoring, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_language_id": op4_language_id, "op6_lm_scoring": op6_lm_scoring, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
