@@ -12,6 +12,7 @@ from quern.llm import decontaminate as op7
 from quern.llm import exact_dedup as op1
 from quern.llm import language_id as op4
 from quern.llm import lm_score as op6
+from quern.llm import secrets as op5
 from quern.llm import sharding as op10
 from quern.llm import simhash as op2
 from quern.llm import token_output as op8
@@ -47,6 +48,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = op5.find_secrets(docs, op5.train(op5.labelled_samples(docs)))
+    base = F.filter("spans", lambda x: x["kind"] != "markov")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = fold("doc_id", 10)
@@ -95,7 +105,7 @@ FROM best
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_language_id": op4_language_id, "op6_lm_scoring": op6_lm_scoring, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_language_id": op4_language_id, "op5_secret_scan": op5_secret_scan, "op6_lm_scoring": op6_lm_scoring, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
