@@ -12,10 +12,12 @@ from quern.llm import decontaminate as op7
 from quern.llm import exact_dedup as op1
 from quern.llm import language_id as op4
 from quern.llm import lm_score as op6
+from quern.llm import piece_codec as op9
 from quern.llm import secrets as op5
 from quern.llm import sharding as op10
 from quern.llm import simhash as op2
 from quern.llm import token_output as op8
+from quern.llm import url_filter as op3
 from quern.llm.common import fold, shared_dir, table, text_or_empty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +43,10 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2.simhash_dedup(table(spark, sf_dir, "documents")).drop("quern_fp")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
@@ -82,6 +88,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 SHARDS = 40
 
 
@@ -89,23 +99,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
-OP10_SQL = f"""
-WITH rows AS (
-  SELECT doc_id, coalesce(text, '') AS t, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
-drawn AS (
-  SELECT rows.*, s.shard::INT AS s, ('0x' || substr(md5(k || ':' || s.shard), 1, 13))::BIGINT AS u
-  FROM rows, range({SHARDS + 1}) AS s(shard)),
-best AS (
-  SELECT doc_id, t, k, arg_max(s, u) FILTER (s < {SHARDS}) AS shard, arg_max(s, u) AS grown_shard
-  FROM drawn GROUP BY ALL)
-SELECT doc_id, strlen(t) + 16 AS size, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, 3), doc_id) - 1 AS slot, grown_shard
-FROM best
-"""
-
-
 def queries() -> dict[str, Query]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash_dedup": op2_simhash_dedup, "op4_language_id": op4_language_id, "op5_secret_scan": op5_secret_scan, "op6_lm_scoring": op6_lm_scoring, "op7_decontamination": op7_decontamination, "op8_token_output": op8_token_output, "op10_sharding": op10_sharding}
+    found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
