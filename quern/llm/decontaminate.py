@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import column_bytes
@@ -131,6 +131,17 @@ def _pass(rows: DataFrame, items: list[tuple[str, bytes]], width: int, shard_wor
     return rows.mapInArrow(batches, schema)
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans of several blocks with those that touch made one."""
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"))))
+        return F.when((F.size(out) > 0) & (x["from"] <= last["to"]), joined).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(spans, F.slice(spans, 1, 0), add)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, width: int = 13, shard_words: int = 1 << 20, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: row, id, ``n_words``, ``n_hit``, ``items``, ``spans``, ``contaminated``.
 
@@ -156,7 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         part = _pass(rows, [(r.item, r.text.encode()) for r in own.toLocalIterator()], width, min(shard_words, 1 << 20))
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = found.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")),
