@@ -144,7 +144,7 @@ def cross_references(acts: Column, year: Column) -> Column:
 
 def deadline(start: Column, years: Column, months: Column, days: Column) -> Column:
     """The start plus 365 days a year, 30 a month and the days; null where that is nothing."""
-    total = years * 365 + months * 30 + days
+    total = (years * 365 + months * 30 + days).cast("int")
     return F.when(total > 0, F.date_add(start, total))
 
 

@@ -19,7 +19,7 @@ HEADINGS = [
     ("ORDER", r"(?:order|conclusion|decision|result|disposition)\b.*"),
     ("DISSENT", r"(?:dissent(?:ing opinion)?)\b.*"),
 ]
-_HEADING = re.compile("(?im)^[ \t]*(?:(?:[IVXLC]+|[0-9]+|[A-Z])[.):][ \t]*)?(" + "|".join(f"(?P<{k}>{p})" for k, p in HEADINGS) + r")[ \t]*:?[ \t]*$")
+_HEADING = re.compile("(?im)^[ \t]*(?:(?:[IVXLC]+|[0-9]+|[A-Z])[.):][ \t]*)?(?:" + "|".join(f"(?P<{k}>{p})" for k, p in HEADINGS) + r")[ \t]*:?[ \t]*$")
 DENSE = {"RATIO", "ORDER", "ISSUES"}
 #: (size, overlap) of chunks in ordinary and in dense sections.
 SIZES = {False: (2000, 200), True: (1200, 300)}

@@ -25,12 +25,12 @@ def batch_gate(spark, sf_dir):
     return qa.batch_gate(rows, GATE, {"court": 0.85, "case_id": 0.8}, "year", (1993, 2027))
 
 
-@query("""WITH a AS (SELECT count(*) AS t, count(*) FILTER (length(text) > 1500) / count(*) AS verbose, count(*) FILTER (lang IS NULL) / count(*) AS no_lang, count(*) FILTER (lower(text) LIKE '%all rights reserved%') / count(*) AS editorial FROM documents)
-SELECT 'verbose' AS "check", round(verbose, 4) AS value, CASE WHEN verbose > 0.1 THEN 'warn' ELSE 'pass' END AS status FROM a UNION ALL SELECT 'no_lang', round(no_lang, 4), CASE WHEN no_lang > 0.15 THEN 'fail' WHEN no_lang > 0.08 THEN 'warn' ELSE 'pass' END FROM a
+@query("""WITH a AS (SELECT count(*) AS t, count(*) FILTER (length(text) > 1500) / count(*) AS wordy, count(*) FILTER (lang IS NULL) / count(*) AS no_lang, count(*) FILTER (lower(text) LIKE '%all rights reserved%') / count(*) AS editorial FROM documents)
+SELECT 'wordy' AS "check", round(wordy, 4) AS value, CASE WHEN wordy > 0.1 THEN 'warn' ELSE 'pass' END AS status FROM a UNION ALL SELECT 'no_lang', round(no_lang, 4), CASE WHEN no_lang > 0.15 THEN 'fail' WHEN no_lang > 0.08 THEN 'warn' ELSE 'pass' END FROM a
 UNION ALL SELECT 'editorial', round(editorial, 4), CASE WHEN editorial > 0.2 THEN 'warn' ELSE 'pass' END FROM a""")
 def content_gate(spark, sf_dir):
     text = F.col("text")
-    rates = {"verbose": (F.length(text) > 1500, None, 0.1), "no_lang": (F.col("lang").isNull(), 0.15, 0.08), "editorial": (F.lower(text).contains("all rights reserved"), None, 0.2)}
+    rates = {"wordy": (F.length(text) > 1500, None, 0.1), "no_lang": (F.col("lang").isNull(), 0.15, 0.08), "editorial": (F.lower(text).contains("all rights reserved"), None, 0.2)}
     return qa.content_gate(table(spark, sf_dir, "documents"), rates)
 
 

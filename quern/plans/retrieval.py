@@ -36,7 +36,7 @@ def chunk_rollup(spark, sf_dir):
     return se.roll_up(se.nearest(vectors, asked, 100), "label", "vec_id")
 
 
-@query(f"SELECT a.vec_id, a.label, round({COS}, 4) AS score FROM embeddings a, embeddings b WHERE b.vec_id = {QUERY_ID} AND a.vec_id <> {QUERY_ID} ORDER BY round({COS}, 6) DESC, a.vec_id LIMIT 5")
+@query(f"SELECT a.vec_id, a.label, round(round({COS}, 6), 4) AS score FROM embeddings a, embeddings b WHERE b.vec_id = {QUERY_ID} AND a.vec_id <> {QUERY_ID} ORDER BY round({COS}, 6) DESC, a.vec_id LIMIT 5")
 def similar_items(spark, sf_dir):
     vectors, asked = _vectors(spark, sf_dir)
     return se.nearest(vectors, asked, 5, F.col("vec_id") != QUERY_ID).withColumn("score", F.round("score", 4))
