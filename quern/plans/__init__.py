@@ -1,5 +1,5 @@
 """Query plans over the driver's tables."""
 
-from quern.plans import analytics, quality, relations, retrieval, texts  # noqa: F401  (they register their queries)
+from quern.plans import analytics, quality, record_queries, relations, retrieval, texts  # noqa: F401  (they register their queries)
 from quern.plans.registry import QUERIES as ALL_QUERIES
 from quern.plans.registry import SQL as ALL_SQL

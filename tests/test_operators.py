@@ -221,3 +221,17 @@ def test_streaming_ingest_resumes(spark, tmp_path):
         stream = drop_redelivered(read_files(spark, str(tmp_path / "in"), "id int, text string, ts timestamp"), "text", "ts")
         ingest(stream, str(tmp_path / "table"), str(tmp_path / "state"), "id").awaitTermination()
         assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+
+
+def test_records(spark):
+    from quern.functions import records as rc
+
+    assert one(spark, rc.join_pages("p"), p=["one hyphen-", "ated word", "and more.", "New page"]) == "one hyphenated word and more.\n\nNew page"
+    assert one(spark, rc.inline_footnotes("t"), t="See[1] and [2] there.\n[1] first note\n[2] second\n") == "See[1] (first note) and [2] (second) there.\n"
+    assert one(spark, rc.opinion_authors("t"), t="intro\nD.Y. CHANDRA, J.\ntext\n[Per S. BHAT, J.]\nmore") == ["D.Y. CHANDRA", "S. BHAT"]
+    assert one(spark, rc.issue_tags("t", {"bails": "bail"}), t=["Bails", "bail ", "Tax"]) == ["bail", "tax"]
+    assert one(spark, rc.is_sensitive("t", F.array(F.lit("POCSO Act"))), t="x") is True
+    assert one(spark, rc.passage("t", F.lit("needle in")), t="a. needle in hay") == "a. needle in hay"
+    assert one(spark, rc.court_level("t"), t="Sessions Court, Pune") == "district"
+    assert one(spark, rc.case_type("t", {"wp": "Writ Petition"}), t="civil appeal") == "Civil Appeal"
+    assert one(spark, rc.repair_act("t"), t="Cootract Act, 1o50") == "Contract Act, 1050"
