@@ -82,15 +82,15 @@ def _merge(spans: list[tuple[int, int]]) -> list[dict]:
 
 
 def _pass(rows: DataFrame, items: list[tuple[str, bytes]], width: int, shard_words: int) -> DataFrame:
-    """rows(row, id, text) -> (row, id, n_words, spans, items) for one block of test items."""
+    """rows(id, hash, text) -> (id, hash, n_words, spans, items) for one block of test items."""
     windows, owners = windows_of(items, width)
-    schema = f"row long, id {rows.schema['id'].dataType.simpleString()}, n_words long, spans array<struct<from:long,to:long>>, items array<string>"
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, hash long, n_words long, spans array<struct<from:long,to:long>>, items array<string>"
 
     def batches(source):
         import pyarrow as pa
 
         def flush(texts: dict[bytes, list]):
-            """texts: to each distinct text its (row, id) pairs."""
+            """texts: to each distinct text its (id, hash) pairs."""
             pieces, owner, words_in = [], [], []
             for n, text in enumerate(texts):
                 words = words_of(text)
@@ -110,18 +110,18 @@ def _pass(rows: DataFrame, items: list[tuple[str, bytes]], width: int, shard_wor
                         spans[n].append((shift + start, shift + start + len(windows[window])))
                         hit[n].add(owners[window])
                     at, held = end, 0
-            found = [(row, key, words_in[n], _merge(spans[n]), sorted(hit[n])) for n, keys in enumerate(texts.values()) for row, key in keys]
+            found = [(key, own, words_in[n], _merge(spans[n]), sorted(hit[n])) for n, keys in enumerate(texts.values()) for key, own in keys]
             columns = list(zip(*found, strict=True))
-            return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], id_type[0]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(columns[4], pa.list_(pa.string()))], names=["row", "id", "n_words", "spans", "items"])
+            return pa.record_batch([pa.array(columns[0], id_type[0]), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))), pa.array(columns[4], pa.list_(pa.string()))], names=["id", "hash", "n_words", "spans", "items"])
 
         texts: dict[bytes, list] = {}
         held, id_type = 0, [None]
         for batch in source:
-            id_type[0] = batch.column(1).type
-            for row, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch, "text"), strict=True):
+            id_type[0] = batch.column(0).type
+            for key, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch, "text"), strict=True):
                 if text not in texts:
                     held += len(text) // 6 + 1
-                texts.setdefault(text, []).append((row, key))
+                texts.setdefault(text, []).append((key, own))
                 if held >= shard_words:
                     yield flush(texts)
                     texts, held = {}, 0
@@ -131,6 +131,10 @@ def _pass(rows: DataFrame, items: list[tuple[str, bytes]], width: int, shard_wor
     return rows.mapInArrow(batches, schema)
 
 
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def _merged(spans: Column) -> Column:
     """Sorted spans of several blocks with those that touch made one."""
 
@@ -143,7 +147,7 @@ def _merged(spans: Column) -> Column:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, width: int = 13, shard_words: int = 1 << 20, block_bytes: int = 32 << 20) -> DataFrame:
-    """One row per document: row, id, ``n_words``, ``n_hit``, ``items``, ``spans``, ``contaminated``.
+    """One row per document: id, ``text_hash``, ``n_words``, ``n_hit``, ``items``, ``spans``, ``contaminated``.
 
     A window is ``width`` consecutive words of an item, or the whole of a shorter
     one; a document word inside any occurrence of a window is hit, and ``spans``
@@ -157,7 +161,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     larger one is cut into blocks by hash, and all documents are searched for
     each block in turn.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("hash"), F.col(text_col).alias("text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text IS NOT NULL")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 32), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(total / block_bytes))
@@ -167,7 +171,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         part = _pass(rows, [(r.item, r.text.encode()) for r in own.toLocalIterator()], width, min(shard_words, 1 << 20))
         found = part if found is None else found.unionByName(part)
     if blocks > 1:
-        found = found.groupBy("row").agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"), _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        # Rows are known by id and text; those that repeat both come back by the join.
+        mark = F.struct("id", "hash")
+        found = found.groupBy(mark.alias("mark")).agg(F.max("n_words").alias("n_words"), _merged(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = rows.select("id", "hash", mark.alias("own")).join(found, F.col("own") == F.col("mark"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")),
@@ -175,10 +182,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         lambda a: a["n"],
     )
     judged = found.withColumn("n_hit", covered)
-    return judged.select("row", F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return judged.select(F.col("id").alias(id_col), F.col("hash").alias("text_hash"), "n_words", "n_hit", "items", "spans", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    bad = find_contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.col("row").alias("quern_row"))
-    return docs.withColumn("quern_row", F.monotonically_increasing_id()).join(bad, "quern_row", "left_anti").drop("quern_row").select(docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all their columns.
+
+    Rows are known by id and a hash of their text, which any reading of the table gives alike.
+    """
+    bad = find_contamination(docs, benchmark, id_col, text_col, **options).where("contaminated").select(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).alias("bad"))
+    marked = docs.withColumn("quern_mark", F.struct(F.col(id_col).alias("id"), _text_hash(text_col).alias("hash")))
+    return marked.join(bad, F.col("quern_mark") == F.col("bad"), "left_anti").select(docs.columns)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quern.llm.common import text_or_empty
 
@@ -26,41 +27,63 @@ def _shared_slots(rows: DataFrame, slot: Column) -> DataFrame:
     return F.broadcast(counted.where("n > 1").select("slot", F.lit(True).alias("shared")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = 256, slots: int = 1 << 20) -> DataFrame:
-    """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept``, ``full_hash``.
-
-    Of equal texts the row with the largest id stays. A null text counts as an
-    empty one, a null id as smaller than any. Of rows that repeat both id and
-    text one stays. ``full_hash`` is null where an earlier round already proved
-    the text unique. Other columns of ``docs`` are ignored, whatever their names;
-    an empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+def _hashed(rows: DataFrame, prefix_chars: int, slots: int) -> DataFrame:
+    """rows(text, ..) with ``size`` and with ``full_hash`` where the first two rounds leave two texts or more."""
     size = F.octet_length("text")
     by_size = F.pmod(F.xxhash64(size), F.lit(slots))
     prefix = F.xxhash64(size, F.substring("text", 1, prefix_chars))
     by_prefix = F.when(F.col("shared_size"), F.pmod(prefix, F.lit(slots)))
 
     sized = rows.withColumn("slot", by_size).join(_shared_slots(rows, by_size), "slot", "left").drop("slot").withColumnRenamed("shared", "shared_size")
-    begun = sized.withColumn("slot", by_prefix).join(_shared_slots(sized, by_prefix), "slot", "left").drop("slot", "shared_size")
-    hashed = begun.select("id", "row", size.alias("size"), F.when(F.col("shared"), F.sha2("text", 256)).alias("full_hash"))
+    begun = sized.withColumn("slot", by_prefix).join(_shared_slots(sized.select("text", "shared_size"), by_prefix), "slot", "left").drop("slot", "shared_size")
+    return begun.withColumn("size", size).withColumn("full_hash", F.when(F.col("shared"), F.sha2("text", 256))).drop("shared")
+
+
+def _groups(hashed: DataFrame) -> DataFrame:
+    """(hash, keep, n) of texts that more than one row has."""
+    counted = hashed.where("full_hash IS NOT NULL").groupBy("full_hash", "size").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
+    return counted.where("n > 1").select(F.col("full_hash").alias("hash"), "keep", "n")
 
-    groups = hashed.where("full_hash IS NOT NULL").groupBy("full_hash", "size").agg(F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("n")).where("n > 1")
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = 256, slots: int = 1 << 20, digest: bool = False) -> DataFrame:
+    """One row per row of ``docs``: its id, ``keep_id``, ``group_size``, ``kept``, ``full_hash``.
+
+    Of equal texts the row with the largest id stays. A null text counts as an
+    empty one, a null id as smaller than any. Of rows that repeat both id and
+    text one stays. ``full_hash`` is null where an earlier round already proved
+    the text unique; ``digest`` adds ``text_sha256`` of every text. Other columns
+    of ``docs`` are ignored, whatever their names; an empty table gives an empty
+    result.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    hashed = _hashed(rows, prefix_chars, slots)
+    narrow = hashed.select("id", "size", "full_hash", *([F.sha2("text", 256).alias("text_sha256")] if digest else []))
     # Grouped by two columns but joined on one, both sides get exchanges of their own, so that adaptive execution can split a hot group.
-    found = hashed.join(groups.select(F.col("full_hash").alias("hash"), "keep", "n"), F.col("full_hash") == F.col("hash"), "left")
+    found = narrow.join(_groups(hashed), F.col("full_hash") == F.col("hash"), "left")
     grouped = F.col("n").isNotNull()
+    # Rows that repeat id and text differ in nothing: one of them is the first.
+    first = F.row_number().over(Window.partitionBy("full_hash", "size", "id").orderBy(F.lit(1))) == 1
     return found.select(
         F.col("id").alias(id_col),
-        F.when(grouped, F.col("keep.id")).otherwise(F.col("id")).alias("keep_id"),
+        F.when(grouped, F.col("keep")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (~grouped | (F.col("keep.row") == F.col("row"))).alias("kept"),
+        (~grouped | (F.col("keep").eqNullSafe(F.col("id")) & first)).alias("kept"),
         "full_hash",
-        "row",
+        *(["text_sha256"] if digest else []),
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select("row")
-    numbered = docs.withColumn("quern_row", F.monotonically_increasing_id())
-    return numbered.join(kept.withColumnRenamed("row", "quern_row"), "quern_row", "left_semi").drop("quern_row").select(docs.columns)
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, prefix_chars: int = 256, slots: int = 1 << 20) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; only rows with a full hash are shuffled."""
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.struct(*docs.columns).alias("payload"))
+    hashed = _hashed(rows, prefix_chars, slots)
+    alone = hashed.where("full_hash IS NULL").select("payload")
+    # A join of hash and id meets at most the rows that repeat both.
+    mark = lambda h, i: F.struct(F.col(h).alias("hash"), F.col(i).alias("id"))
+    groups = _groups(hashed).select(F.col("hash"), "keep", "n")
+    shared = hashed.where("full_hash IS NOT NULL").withColumn("mark", mark("full_hash", "id"))
+    chosen = shared.join(groups.select(mark("hash", "keep").alias("chosen")), F.col("mark") == F.col("chosen"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("mark").orderBy(F.lit(1)))
+    chosen = chosen.withColumn("first", first).where("first = 1").select("payload")
+    single = shared.join(groups.select("hash"), F.col("full_hash") == F.col("hash"), "left_anti").select("payload")
+    return alone.unionByName(chosen).unionByName(single).select("payload.*")

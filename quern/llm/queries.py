@@ -18,17 +18,14 @@ from quern.llm import sharding as op10
 from quern.llm import simhash as op2
 from quern.llm import token_output as op8
 from quern.llm import url_filter as op3
-from quern.llm.common import fold, shared_dir, table, text_or_empty
+from quern.llm.common import fold, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = op1.exact_dedup(docs)
     # The operator leaves texts unhashed that are proved unique; the contract wants every digest.
-    digests = docs.select(F.monotonically_increasing_id().alias("row"), F.sha2(text_or_empty(), 256).alias("text_sha256"))
-    return found.join(digests, "row").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return op1.exact_dedup(table(spark, sf_dir, "documents"), digest=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 OP1_SQL = """

@@ -26,6 +26,8 @@ BITS, SEGMENTS, WIDTH = 64, 4, 16
 #: Words hashed at a time, so that a very long text needs no more memory than this many shingles.
 BLOCK = 1 << 16
 SEED = 42
+#: Copies of a component's row that its fingerprints are dealt over.
+SALTS = 64
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -169,15 +171,24 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = materialise(connected_components(link(distinct.select("fp"), max_bits, hot)), "roots")
     reached = roots.join(distinct, F.col("node") == F.col("fp"))
     ids = reached.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = distinct.join(roots, F.col("fp") == F.col("node"), "left").join(ids, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # Very many fingerprints can share a root, so they are dealt over salted copies of the roots.
+    salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("node", "component")
+    by_fp = distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     by_fp = materialise(by_fp, "components").withColumnRenamed("fp", "of")
     # Both sides are fresh reads, so adaptive execution can split a hot fingerprint.
     return rows.join(by_fp, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("fp").alias("quern_fp"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, of equal ids one."""
-    numbered = docs.withColumn("quern_row", F.monotonically_increasing_id())
-    rows = numbered.select(F.struct(F.col(id_col).alias("id"), F.col("quern_row").alias("row")).alias("id"), F.col(text_col).alias("text"))
-    stay = simhash_dedup(rows, "id", "text", **options).where("id = component_id").select(F.col("id.row").alias("quern_row"))
-    return numbered.join(stay, "quern_row", "left_semi").select(docs.columns)
+    """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, of equal ids one.
+
+    Rows are known by id and a hash of their text, which any reading of the table gives alike.
+    """
+    mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    marked = docs.withColumn("quern_mark", mark)
+    found = materialise(simhash_dedup(marked.select(F.col("quern_mark").alias("mark"), F.col(text_col).alias("text")), "mark", "text", **options).where("mark = component_id").select("mark"), "stay")
+    stay = marked.join(found, F.col("quern_mark") == F.col("mark"), "left_semi")
+    if found.groupBy("mark").count().where("count > 1").take(1):  # rows that repeat id and text
+        stay = stay.dropDuplicates(["quern_mark"])
+    return stay.select(docs.columns)
