@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import numpy as np
 
-LANES = 1024
+LANES = 4096
 CHECKPOINT_STEPS = 128
 #: Frequencies add up to 2^PRECISION.
-PRECISION = 22
+PRECISION = 20
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 

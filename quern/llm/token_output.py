@@ -14,19 +14,27 @@ of its checkpoints.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks_by_size, column_bytes, materialise
+from quern.llm.common import materialise
 from quern.llm.rans import Coder, scale
 
 END_ID = 1
 #: A block is closed at this many ids; one longer document is a block of its own.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 20
+#: ASCII signs that this tokenizer never joins to a letter before them.
+SIGNS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: The sign by which byte-level vocabularies write each byte: printable Latin-1 as itself, the others from U+0100 on in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = [chr(b) if b in _PRINTABLE else chr(0x100 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
 #: Different white-space-free pieces whose ids a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -45,31 +53,55 @@ class PieceEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, new: list[bytes]) -> None:
-        # One text of many pieces costs less than many texts; where a piece begins is told by the ids' offsets.
-        for at in range(0, len(new), 20_000):
-            part = [p.decode() for p in new[at : at + 20_000]]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(p) + 1 for p in part)])
-            ids, places = np.array(found.ids, self.kind), np.array([a for a, _ in found.offsets], np.int64)
-            ends = np.searchsorted(places, starts[1:]) * ids.itemsize
-            raw = ids.tobytes()
-            for piece, a, b in zip(new[at : at + 20_000], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                self.known[piece] = raw[a:b]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        # Of bytes, lower() changes A-Z and split() cuts at ASCII white space only. Special tokens are told from other text by their case.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        code, model, rest = self.kind[-2:].replace("u2", "H").replace("u4", "I"), self.tokenizer.model, []
+        for piece in new:
+            # Small Latin letters are one word that normalising leaves as it is: the library's merges alone decide.
+            word = piece.decode()
+            if not (piece.isalpha() and piece.islower()):
+                if not (word.isalpha() and max(word) < "\u0250" and word == word.lower() and unicodedata.is_normalized("NFC", word)):
+                    rest.append(piece)
+                    continue
+                word = "".join(map(BYTE_SIGNS.__getitem__, piece))
+            self.known[piece] = array(code, [t.id for t in model.tokenize(word)]).tobytes()
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
+                self.known[piece] = array(code, found.ids).tobytes()
+
+    def pieces(self, new: list[bytes]) -> list[bytes]:
+        """The ids of pieces without white space."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         known = self.known
-        new = set().union(*split).difference(known)
-        if new:
-            # A final full stop or comma is a token of its own unless it follows another such sign.
-            bare = {p: p[:-1] for p in new if p[-1] in b".," and p[-2:-1].isalnum()}
-            self._learn(list({*new.difference(bare), *(p for p in bare.values() if p not in known), *(c for c in (b".", b",") if c not in known)}))
+        found = list(map(known.get, new))
+        missing = {p for p, ids in zip(new, found, strict=True) if ids is None}
+        if missing:
+            # Signs after a letter are split from it before anything is merged, so both parts are encoded alone.
+            bare = {p: b for p in missing if (b := p.rstrip(SIGNS)) and b != p and b"<|" not in p and b.decode()[-1].isalpha()}
+            parts = {*missing.difference(bare), *bare.values(), *(p[len(b) :] for p, b in bare.items())}
+            self._learn(list(parts.difference(known)))
             for piece, word in bare.items():
-                known[piece] = known[word] + known[piece[-1:]]
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+                known[piece] = known[word] + known[piece[len(word) :]]
+            found = [known[p] if ids is None else ids for p, ids in zip(new, found, strict=True)]
+        return found
+
+    def __call__(self, texts) -> list[bytes]:
+        """The ids of an Arrow array of whole texts, none of them null."""
+        import pyarrow.compute as pc
+
+        # Special tokens are told from other text by their case.
+        low = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(low)
+        coded = split.flatten().dictionary_encode()
+        ids = self.pieces(coded.dictionary.cast(pa.binary()).to_pylist())
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(self.kind).itemsize
+        starts, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        own = sizes[at]
+        ends = np.concatenate(([0], np.cumsum(own)))
+        out = flat[np.repeat(starts[at] - ends[:-1], own) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [out[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -85,17 +117,24 @@ def id_kind(tokenizer: str) -> str:
     return _encoder(tokenizer).kind
 
 
+def ranges_by_size(texts, limit: int) -> list[tuple[int, int]]:
+    """Ranges (from, to) of consecutive texts of an Arrow array with about ``limit`` bytes; one text at least."""
+    import pyarrow.compute as pc
+
+    block = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+    cuts = (np.flatnonzero(np.diff(block)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(texts)], strict=True)) if len(texts) else []
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID) -> DataFrame:
     """(id, ids): the ids of each whole text and an end id, as little-endian unsigned integers of ``id_kind(tokenizer)``."""
     end = np.array([end_id], id_kind(tokenizer)).tobytes()
 
     def batches(source):
-        import pyarrow as pa
-
         for batch in source:
-            texts = column_bytes(batch, "text")
-            for a, b in chunks_by_size(texts, 4 << 20):
-                ids = [x + end for x in _encoder(tokenizer)(texts[a:b])]
+            texts = batch.column(1).fill_null("").cast(pa.string())
+            for a, b in ranges_by_size(texts, 8 << 20):
+                ids = [x + end for x in _encoder(tokenizer)(texts.slice(a, b - a))]
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["id", "ids"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -106,7 +145,6 @@ def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
     """(token, n): how often each id occurs in all documents."""
 
     def counted(source):
-        import pyarrow as pa
 
         total = np.zeros(0, np.int64)
         for batch in source:
@@ -137,7 +175,6 @@ def write_tokens(encoded: DataFrame, path: str, kind: str = "<u4", files: int |
     spark.createDataFrame([(int(i), int(freq[i])) for i in at], "token long, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
 
     def blocks(source):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         coder, width, file = Coder(freq), np.dtype(kind).itemsize, TaskContext.get().partitionId()
@@ -187,7 +224,6 @@ def read_tokens(spark, path: str) -> DataFrame:
     kind = blocks.schema["documents"].dataType.elementType.simpleString()
 
     def decoded(source):
-        import pyarrow as pa
 
         coder = Coder(freq)
         for batch in source:
