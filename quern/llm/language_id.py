@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ CANDIDATE_SHARE = 0.001
 WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 500_000
 #: Words of texts whose paths are found together.
-BLOCK_WORDS = 3_000_000
+BLOCK_WORDS = 1_500_000
 MAX_LANGUAGES = 1000
 _OUT = -1e3
 
@@ -63,13 +64,14 @@ class LanguageModel:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_texts: int = 20_000) -> LanguageModel:
     """Learn from ``labelled``(text, lang); null texts and languages are left out.
 
-    About ``max_texts`` rows are used, those with the smallest hashes of text:
-    enough for trigram counts, and equal texts count once for each row.
+    About ``max_texts`` rows are used, those with the smallest hashes of the whole
+    row: enough for trigram counts, and not more where very many texts are equal.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    total = rows.count()
+    known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    total = known.count()
     if total > max_texts:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_texts / total))
+        known = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(1 << 30)) < int((1 << 30) * max_texts / total))
+    rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def counted(source):
         import pyarrow as pa
@@ -138,6 +140,7 @@ class Labeller:
         self.model, self.penalty = model, penalty
         self.numbers: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)), np.float32)
+        self.letters = np.zeros(0, np.int32)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
         out: list = [("und", 0.0, [])] * len(texts)
@@ -146,21 +149,24 @@ class Labeller:
         if not order or not self.model.languages:
             return out
         if len(self.numbers) > REMEMBERED:
-            self.numbers, self.scores = {}, self.scores[:0]
+            self.numbers, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
         numbers = self.numbers
         new = list(set().union(*words).difference(numbers))
         if new:
             numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
             self.scores = np.concatenate((self.scores, self.model.word_scores(new)))
+            own = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]  # signs like a raised 2 are no letters
+            self.letters = np.concatenate((self.letters, np.array(own, np.int32)))
         lengths = np.array([len(words[i]) for i in order], np.int64)
-        at = np.fromiter((numbers[w] for i in order for w in words[i]), np.int64, int(lengths.sum()))
-        letters = np.fromiter((len(w) for i in order for w in words[i]), np.int64, len(at))
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words[i] for i in order)), np.int64, int(lengths.sum()))
+        letters = self.letters[at]
         labels = viterbi(self.scores, at, lengths, self.penalty).astype(np.int64)
         text = np.repeat(np.arange(len(order)), lengths)
         size = len(self.model.languages)
         share = np.bincount(text * size + labels, letters, len(order) * size).reshape(-1, size)
         best = share.argmax(axis=1)
-        score = share[np.arange(len(order)), best] / share.sum(axis=1)
+        total = share.sum(axis=1)
+        score = share[np.arange(len(order)), best] / np.maximum(total, 1)
         ends = np.flatnonzero(np.concatenate(((labels[1:] != labels[:-1]) | (text[1:] != text[:-1]), [True]))) + 1
         begin = np.cumsum(lengths) - lengths
         spans: list[list[dict]] = [[] for _ in order]
@@ -168,12 +174,13 @@ class Labeller:
             n = text[a]
             spans[n].append({"from": a - int(begin[n]), "to": b - int(begin[n]), "lang": self.model.languages[labels[a]]})
         for n, i in enumerate(order):
-            out[i] = (self.model.languages[best[n]], float(score[n]), spans[n])
+            if total[n]:
+                out[i] = (self.model.languages[best[n]], float(score[n]), spans[n])
         return out
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", *, penalty: float = 12.0) -> DataFrame:
-    """One row per document: row, id, ``lang_pred``, ``score``, ``spans``.
+    """One row per document: id, ``lang_pred``, ``score``, ``spans``.
 
     ``spans`` are runs of words (letters in a row; end exclusive) in one language;
     ``lang_pred`` is the language with the most letters and ``score`` its share of
@@ -183,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     are labelled; texts are taken together up to a number of words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def batches(source):
         import pyarrow as pa
@@ -191,14 +198,13 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         labeller = Labeller(shared.value, penalty)
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("lang", pa.string())]))
         for batch in source:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in chunks_by_size([t or "" for t in texts], 6 * BLOCK_WORDS):
                 lang, score, spans = zip(*labeller(texts[a:b]), strict=True)
-                part = batch.slice(a, b - a)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=["row", "id", "lang_pred", "score", "spans"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=["id", "lang_pred", "score", "spans"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"row long, id {kind}, lang_pred string, score double, spans array<struct<from:long,to:long,lang:string>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(batches, f"id {kind}, lang_pred string, score double, spans array<struct<from:long,to:long,lang:string>>").withColumnRenamed("id", id_col)
 
 
 def keep_languages(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", *, penalty: float = 12.0) -> DataFrame:

@@ -67,12 +67,13 @@ class MarkovModel:
 def labelled_samples(docs: DataFrame, text_col: str = "text", *, max_texts: int = 50_000) -> DataFrame:
     """(string, label) rows from texts: what the patterns find is ``random``, other words and identifiers ``ordinary``.
 
-    About ``max_texts`` rows of ``docs`` are used, those with the smallest hashes.
+    About ``max_texts`` rows of ``docs`` are used, those with the smallest hashes of the whole row.
     """
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
-    total = rows.count()
+    known = docs.where(F.col(text_col).isNotNull())
+    total = known.count()
     if total > max_texts:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_texts / total))
+        known = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(1 << 30)) < int((1 << 30) * max_texts / total))
+    rows = known.select(F.col(text_col).alias("text"))
     word = re.compile(r"[A-Za-z0-9_]{6,}")
 
     def sampled(source):
