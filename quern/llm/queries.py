@@ -72,6 +72,26 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all($doc, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all($item, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item, array_to_string(w[i:i + 12], ' ') AS win, least(len(w), 13) AS n FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+spots AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, n, item FROM spots JOIN windows USING (win, n)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+""".replace("$doc", LOWER_SQL.format("coalesce(text, '')")).replace("$item", LOWER_SQL.format("text"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -96,10 +116,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
+#: CRC-32 byte by byte, over a table that is made from its rule.
+OP10_SQL = f"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), i) ORDER BY i) AS t FROM range(256) r(i)),
+rows AS (SELECT doc_id, coalesce(text, '') AS t, hex(coalesce(text, '')) AS h, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+marked AS (
+  SELECT doc_id, k, strlen(rows.t) + 16 AS size,
+         xor(list_reduce(list_transform(range(strlen(rows.t)), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(crc.t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS text_crc32
+  FROM rows, crc),
+drawn AS (SELECT marked.*, s.shard::INT AS s, ('0x' || substr(md5(k || ':' || s.shard), 1, 13))::BIGINT AS u FROM marked, range({SHARDS + 1}) AS s(shard)),
+best AS (SELECT doc_id, k, size, text_crc32, arg_max(s, u) FILTER (s < {SHARDS}) AS shard, arg_max(s, u) AS grown_shard FROM drawn GROUP BY ALL)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY substr(md5(k), 1, 3), doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM best
+"""
+
+
 def queries() -> dict[str, Query]:
     found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op10_sharding": OP10_SQL}
