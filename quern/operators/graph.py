@@ -67,28 +67,24 @@ def authorities(edges: DataFrame, seed, limit: int = 20) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start, goal, max_depth: int = 6) -> DataFrame:
-    """(step, node) of a shortest directed path; of several the one whose nodes are smallest from the goal back. No rows if there is none."""
-    steps = edges.select("src", "dst").distinct()
+    """(step, node) of a shortest directed path, of several the one whose nodes come first in order. No rows if there is none.
+
+    Each node of the frontier carries the one path to it, of ``max_depth`` + 1
+    nodes at most, so the path is there as soon as the goal is.
+    """
+    steps = settle(edges.select("src", "dst").distinct(), "steps")
     kind = steps.schema["src"].dataType
-    spark = edges.sparkSession
-    seen = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(None).cast(kind).alias("parent"), F.lit(0).alias("depth"))
-    front = seen
-    for level in range(1, max_depth + 1):
-        reached = front.join(steps, front.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        front = settle(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)), "path")
-        seen = seen.unionByName(front)
-        if front.where(F.col("node") == goal).take(1) or not front.take(1):
+    front = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("path"))
+    seen, found = front.select("node"), front.where(F.col("node") == goal)
+    for _ in range(max_depth):
+        if found.take(1):
             break
-    seen = settle(seen, "path-seen")
-    path, at = [], goal
-    while at is not None and len(path) <= max_depth:  # a path has max_depth steps at most
-        row = seen.where(F.col("node") == at).first()
-        if row is None:
-            path = []
+        reached = front.join(steps, front.node == steps.src).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        front = settle(reached.join(seen, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")), "front")
+        seen, found = seen.unionByName(front.select("node")), front.where(F.col("node") == goal)
+        if not front.take(1):
             break
-        path.append((row.depth, row.node))
-        at = row.parent
-    return spark.createDataFrame(sorted(path), f"step int, node {kind.simpleString()}")
+    return found.select(F.posexplode("path").alias("step", "node"))
 
 
 def treatment_verdict(edges: DataFrame) -> DataFrame:
