@@ -16,6 +16,8 @@ yields a spanning forest of its links instead of all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -180,14 +182,14 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(by_fp, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("fp").alias("quern_fp"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, components: Callable[..., DataFrame] = simhash_dedup, **options) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, of equal ids one.
 
-    Rows are known by id and a hash of their text, which any reading of the table gives alike.
+    ``components`` is the rule that gives rows their ``component_id``. Rows are known by id and a hash of their text, which any reading of the table gives alike.
     """
     mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
     marked = docs.withColumn("quern_mark", mark)
-    found = materialise(simhash_dedup(marked.select(F.col("quern_mark").alias("mark"), F.col(text_col).alias("text")), "mark", "text", **options).where("mark = component_id").select("mark"), "stay")
+    found = materialise(components(marked.select(F.col("quern_mark").alias("mark"), F.col(text_col).alias("text")), "mark", "text", **options).where("mark = component_id").select("mark"), "stay")
     stay = marked.join(found, F.col("quern_mark") == F.col("mark"), "left_semi")
     if found.groupBy("mark").count().where("count > 1").take(1):  # rows that repeat id and text
         stay = stay.dropDuplicates(["quern_mark"])
