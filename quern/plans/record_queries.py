@@ -52,4 +52,4 @@ def window_around(spark, sf_dir):
 def sequence_similarity(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
-    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(rc.sequence_similarity(F.substring("text", 1, 200), F.substring("after", 1, 200)), 4).alias("similarity"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(rc.sequence_similarity("text", "after"), 4).alias("similarity"))

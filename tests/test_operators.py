@@ -235,3 +235,17 @@ def test_records(spark):
     assert one(spark, rc.court_level("t"), t="Sessions Court, Pune") == "district"
     assert one(spark, rc.case_type("t", {"wp": "Writ Petition"}), t="civil appeal") == "Civil Appeal"
     assert one(spark, rc.repair_act("t"), t="Cootract Act, 1o50") == "Contract Act, 1050"
+
+
+def test_sequence_similarity_of_whole_texts(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from quern.plans.record_queries import sequence_similarity
+
+    same = "the court held that the appeal must fail " * 6
+    texts = [same + "costs were awarded", same + "no order was made", "  A\tB ", "a b", "", None, "x" * 900 + " one", "x" * 900 + " two"]
+    spark.createDataFrame([(1, n, t) for n, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plain = lambda t: " ".join(t.lower().split())
+    expected = {n: round(SequenceMatcher(None, plain(a), plain(b)).ratio(), 4) if a and b else 0.0 for n, (a, b) in enumerate(zip(texts, texts[1:]))}
+    assert {r.turn: r.similarity for r in sequence_similarity(spark, str(tmp_path)).collect()} == expected
+    assert expected[0] < 1 and expected[2] == 1
