@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.components import connected_components
 from quern.storage import settle
 
 POSITIVE = ("affirmed", "followed", "referred_to", "explained")
@@ -135,19 +136,10 @@ def max_normalise(ranks: DataFrame, per: str | None = None, digits: int = 2) ->
 
 
 def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(id, component): the smallest id that can be reached; labels pass along edges and to the label of their label."""
-    links = settle(undirected(edges), "links")
-    labels = settle(nodes.select("id", F.col("id").alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = links.join(labels, links.dst == labels.id).groupBy("src").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.id == near.src, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
-        over = step.select(F.col("id").alias("of"), F.col("label").alias("jump"))
-        new = settle(step.join(over, step.label == over.of, "left").select("id", F.least("label", F.coalesce("jump", "label")).alias("label"), "old"), "labels")
-        changed = new.where("label <> old").take(1)
-        labels = new.select("id", "label")
-        if not changed:
-            break
-    return labels.select("id", F.col("label").alias("component"))
+    """(id, component): the smallest id that edges between the nodes reach; an error if ``max_rounds`` do not settle it."""
+    inner = induced(edges, nodes.select(F.col("id").alias("node")))
+    roots = connected_components(inner.select(F.col("src").alias("a"), F.col("dst").alias("b")), max_rounds)
+    return nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:

@@ -249,3 +249,13 @@ def test_sequence_similarity_of_whole_texts(spark, tmp_path):
     expected = {n: round(SequenceMatcher(None, plain(a), plain(b)).ratio(), 4) if a and b else 0.0 for n, (a, b) in enumerate(zip(texts, texts[1:]))}
     assert {r.turn: r.similarity for r in sequence_similarity(spark, str(tmp_path)).collect()} == expected
     assert expected[0] < 1 and expected[2] == 1
+
+
+def test_components_of_a_long_shuffled_path(spark):
+    ids = list(range(300))
+    random.Random(4).shuffle(ids)
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (400, 401), (400, 999)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in [*range(300), 400, 401, 500]], "id long")
+    assert {r.id: r.component for r in gr.components(edges, nodes).collect()} == {**dict.fromkeys(ids, 0), 400: 400, 401: 400, 500: 500}
+    with pytest.raises(RuntimeError):
+        gr.components(edges, nodes, max_rounds=1)
