@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.skew import join_groups
 from quern.storage import settle
 
 
@@ -18,7 +19,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     Each round replaces a node's edges by edges to its smallest neighbour, first
     among larger, then among smaller neighbours; rounds needed grow with the
     logarithm of the nodes. Every round is written to the shared folder, and
-    only two numbers reach the driver.
+    only two numbers reach the driver. The middle of a giant star holds most
+    edges, so nodes of many edges meet theirs by broadcast. An error if
+    ``max_rounds`` do not settle it.
     """
     edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
@@ -26,8 +29,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         if not state[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+        large = join_groups(both.where("b > a"), settle(least, "least"), F.col("a") == F.col("u"), 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # Each node has few smaller neighbours left, so no key is hot from here on.
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, F.col("a") == F.col("u"))
         small = small.select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
