@@ -2,39 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.storage import settle as materialise
+from quern.storage import shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["chunks_by_size", "column_bytes", "fold", "materialise", "shared_dir", "table", "text_or_empty", "with_payload"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests) is a temporary one made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage so that a lost executor costs one read, not the work before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def with_payload(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of docs, and all its own columns as one struct ``payload``, in which no name can clash with others."""
+    return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("payload"), *columns)
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
@@ -56,12 +41,12 @@ def column_bytes(batch, name: str) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def chunks_by_size(texts: Iterable[bytes], limit: int) -> Iterable[tuple[int, int]]:
-    """Ranges (from, to) of consecutive texts of about ``limit`` bytes; one text at least."""
+def chunks_by_size(items: Iterable, limit: int, size=len) -> Iterable[tuple[int, int]]:
+    """Ranges (from, to) of consecutive items of about ``limit`` in sum of sizes; one item at least."""
     start, held = 0, 0
     at = 0
-    for at, text in enumerate(texts, 1):
-        held += len(text)
+    for at, item in enumerate(items, 1):
+        held += size(item)
         if held >= limit:
             yield start, at
             start, held = at, 0

@@ -1,25 +1,23 @@
 """Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
 
 Tokens are the white-space-separated words of a text, A-Z lower-cased, then one
-end token. Three passes over the texts:
-
-1. Counts of every word. They give the base score and the model's vocabulary:
-   the most frequent words have classes of their own, all others share one, in
-   which they are equally likely.
-2. Counts of every pair of neighbouring classes, in a main and a held-out part
-   of the training documents. Expectation-maximisation on the held-out counts
-   finds mixture weights for each bucket of context frequencies, the main part
-   giving the estimates. The final estimates use both parts.
-3. Scores. Words and pairs are looked up in tables of the most frequent ones,
-   whose sizes are fixed parameters; the rest are joined with their counts by
-   shuffle, so that every count enters however many different ones there are.
-
-Words travel as 64-bit hashes and pairs as exact 32-bit class pairs.
+end token, which is also what the first word of a text follows.
+
+1. Texts are cut into tokens once and written as blocks of about a million
+   tokens of documents of one part (main, held out, not for training).
+2. Words, then pairs of neighbouring words, are counted over all blocks, and each
+   block gets the totals of its own (see exchange.py).
+3. Expectation-maximisation on the held-out documents finds mixture weights for
+   each bucket of context counts, the main part giving the estimates.
+4. Each block scores its documents by the totals of both parts.
+
+Every word and every pair keeps its own count, whatever their numbers. Words and
+pairs are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
 from itertools import chain
 
 import numpy as np
@@ -27,228 +25,176 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import chunks_by_size, column_bytes, materialise
+from quern.llm.exchange import HELD, MAIN, exchange, gather
 
 END = b" "  # no word has white space
-BEGIN_CLASS, RARE_CLASS = 0, 1
-PAIR_BITS = 16
+OTHER = 2  # after MAIN and HELD
 SEED = 42
 #: Words a worker keeps the hashes of.
-REMEMBERED = 500_000
-#: Tokens whose counts are summed up in a task before they are sent on.
-BLOCK_TOKENS = 4_000_000
+REMEMBERED = 400_000
+#: Bytes of text that are cut into tokens at a time, and tokens at which a block is closed; a longer text is a block of its own.
+READ_BYTES, BLOCK_TOKENS = 4 << 20, 1 << 20
+#: Different keys of blocks that one slot adds up.
+SLOT_KEYS = 1 << 20
 #: Resolution of log-probabilities in the histogram of held-out events.
 STEP = 0.125
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class Words:
-    """Numbers for words, local to a worker, with their hashes and, given a vocabulary, their places in it."""
+def _pieces(text: bytes, limit: int):
+    """A long text in pieces of about ``limit`` bytes, cut at white space."""
+    at = 0
+    while len(text) - at > limit:
+        cut = BLANK.search(text, at + limit)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.end()
+    yield text[at:]
+
 
-    def __init__(self, vocabulary: Vocabulary | None = None):
-        self.vocabulary = vocabulary
-        self.clear()
+class _Words:
+    """Numbers for words, local to a worker, with their hashes."""
 
-    def clear(self) -> None:
+    def __init__(self):
         self.numbers: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, np.int64)
-        self.places, self.known, self.classes = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+        self.hashes = np.zeros(0, np.uint64)
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The numbers of all texts' tokens, good until the next call, and each text's number of tokens."""
+    def __call__(self, split: list[list[bytes]]) -> np.ndarray:
         from xxhash import xxh64_intdigest
 
-        if len(self.numbers) > REMEMBERED:
-            self.clear()
-        split = [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
-        for words in split:
-            words.append(END)
-        numbers = self.numbers
-        new = list(set().union(*split).difference(numbers))
+        new = list(set().union(*split).difference(self.numbers))
         if new:
-            numbers.update(zip(new, range(len(numbers), len(numbers) + len(new)), strict=True))
-            hashes = np.array([xxh64_intdigest(w, SEED) for w in new], np.uint64).view(np.int64)
-            self.hashes = np.concatenate((self.hashes, hashes))
-            if self.vocabulary is not None:
-                places, known = self.vocabulary.find(hashes)
-                self.places, self.known = np.concatenate((self.places, places)), np.concatenate((self.known, known))
-                self.classes = np.concatenate((self.classes, self.vocabulary.classes_of(hashes)))
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum())), lengths
-
-
-def _blocks(source, words: Words, column: str = "text"):
-    """Parts of batches with their tokens' numbers and their texts' numbers of tokens."""
-    for batch in source:
-        texts = column_bytes(batch, column)
-        for a, b in chunks_by_size(texts, 4 << 20):
-            yield batch.slice(a, b - a), *words(texts[a:b])
-
-
-@dataclass(frozen=True)
-class Vocabulary:
-    """Frequent words: sorted hashes with counts and classes (RARE_CLASS beyond the model's vocabulary)."""
-
-    hashes: np.ndarray
-    counts: np.ndarray
-    classes: np.ndarray
-    tokens: int  # N
-    distinct: int  # V
-    class_counts: np.ndarray  # training tokens of a class
-    class_main: np.ndarray  # of them, in the main part
-    rare_words: int
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the hashes, and whether they are there."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return at, self.hashes[at] == hashes
-
-    def classes_of(self, hashes: np.ndarray) -> np.ndarray:
-        at, found = self.find(hashes)
-        return np.where(found, self.classes[at], RARE_CLASS).astype(np.int64) if len(self.hashes) else np.full(len(hashes), RARE_CLASS, np.int64)
-
-    def base(self, counts):
-        """log10 of the smoothed share of words with these counts."""
-        return np.log10((np.asarray(counts) + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
-
-
-def count_words(rows: DataFrame) -> DataFrame:
-    """rows(text, part: 0 main, 1 held out) -> (word, main, held): counts of each word's hash."""
-
-    def counted(source):
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            self.hashes = np.concatenate((self.hashes, np.array([xxh64_intdigest(w, SEED) for w in new], np.uint64)))
+        return np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split)), np.int32, sum(map(len, split)))
+
+    def hashed(self, texts: list[bytes], limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The token hashes' numbers of some texts and each text's number of tokens."""
+        if sum(map(len, texts)) <= 2 * limit:
+            split = [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
+            for words in split:
+                words.append(END)
+            return self(split), np.fromiter(map(len, split), np.int32, len(split))
+        numbers, lengths = [], []
+        for text in texts:
+            own = [self([piece.lower().split()]) for piece in _pieces(text, limit)]
+            own.append(self([[END]]))
+            numbers += own
+            lengths.append(sum(map(len, own)))
+        return np.concatenate(numbers), np.array(lengths, np.int32)
+
+
+def tokenised(docs: DataFrame, part: Column, id_col: str, text_col: str, block_tokens: int = BLOCK_TOKENS, read_bytes: int = READ_BYTES) -> DataFrame:
+    """Blocks of documents of one part.
+
+    ids, lengths (int32 tokens a document), words (sorted uint64 hashes of the
+    block's different words), counts (int32 of each), tokens (int32 places in words).
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), part.cast("int").alias("part"))
+
+    def batches(source):
         import pyarrow as pa
+        from pyspark import TaskContext
+
+        words, block = _Words(), TaskContext.get().partitionId() << 32
+        held: dict[int, list] = {MAIN: [], HELD: [], OTHER: []}
+
+        def close(kind: int):
+            nonlocal block
+            ids, lengths, numbers = zip(*held[kind], strict=True)
+            held[kind] = []
+            numbers = np.concatenate(numbers)
+            counts = np.bincount(numbers, minlength=len(words.hashes))
+            own = np.flatnonzero(counts)
+            own = own[np.argsort(words.hashes[own])]
+            place = np.zeros(len(words.hashes), np.int32)
+            place[own] = np.arange(len(own))
+            ids = pa.concat_arrays(ids)
+            columns = [pa.array([block], pa.int64()), pa.array([kind], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
+            columns += [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate(lengths), words.hashes[own], counts[own].astype(np.int32), place[numbers])]
+            block += 1
+            return pa.record_batch(columns, names=["block", "part", "ids", "lengths", "words", "counts", "tokens"])
 
-        words = Words()
-        held: list = []
-        size = 0
+        for batch in source:
+            texts, parts = column_bytes(batch, "text"), batch.column(2).to_numpy(zero_copy_only=False)
+            for a, b in chunks_by_size(texts, read_bytes):
+                for kind in held:
+                    at = (np.flatnonzero(parts[a:b] == kind) + a).tolist()
+                    if at:
+                        numbers, lengths = words.hashed([texts[i] for i in at], read_bytes)
+                        held[kind].append((batch.column(0).take(pa.array(at)), lengths, numbers))
+                        if sum(len(x[2]) for x in held[kind]) >= block_tokens:
+                            yield close(kind)
+                if len(words.numbers) > REMEMBERED:
+                    yield from (close(kind) for kind in held if held[kind])
+                    words = _Words()
+        yield from (close(kind) for kind in held if held[kind])
 
-        def flush():
-            hashes, main, late = (np.concatenate(x) for x in zip(*held, strict=True))
-            different, at = np.unique(hashes, return_inverse=True)
-            return pa.record_batch([pa.array(different), *(pa.array(np.bincount(at, n, len(different)).astype(np.int64)) for n in (main, late))], names=["word", "main", "held"])
+    return rows.mapInArrow(batches, f"block long, part int, ids array<{rows.schema['id'].dataType.simpleString()}>, lengths binary, words binary, counts binary, tokens binary")
 
-        for batch, numbers, lengths in _blocks(source, words):
-            late = np.bincount(numbers, np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths), len(words.hashes)).astype(np.int64)
-            every = np.bincount(numbers, minlength=len(words.hashes))
-            own = np.flatnonzero(every)
-            held.append((words.hashes[own], every[own] - late[own], late[own]))
-            size += len(numbers)
-            if size >= BLOCK_TOKENS:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
 
-    return rows.select("text", "part").mapInArrow(counted, "word long, main long, held long").groupBy("word").agg(F.sum("main").alias("main"), F.sum("held").alias("held"))
+def pair_hashes(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the hash of (token before it, token), and the place in ``words`` of the one before it."""
+    from xxhash import xxh64_intdigest
 
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(lengths) - lengths] = np.searchsorted(words, np.uint64(xxh64_intdigest(END, SEED)))
+    x = words[before] * np.uint64(0x9E3779B97F4A7C15) + words[tokens]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31)), before
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """Rows of ``counts``(.., n) with the largest n: all from the smallest grade of n on from which ``limit`` rows are not exceeded.
 
-    Grades are 64 to a factor of two, so the driver sees a few thousand numbers at
-    most and no task sorts all rows.
-    """
-    graded = counts.withColumn("grade", F.floor(F.log2("n") * 64)).where("n > 0")
-    least, held = None, 0
-    for grade, n in sorted(graded.groupBy("grade").count().collect(), reverse=True):
-        held += n
-        if held > limit:
-            break
-        least = grade
-    return graded.where(F.lit(False) if least is None else F.col("grade") >= least).drop("grade")
-
-
-def build_vocabulary(counts: DataFrame, classes: int, frequent: int) -> Vocabulary:
-    """From materialised word counts: the ``frequent`` most frequent words, of which the first ``classes`` have a class."""
-    total = F.col("main") + F.col("held")
-    sums = counts.agg(F.coalesce(F.sum(total), F.lit(0)), F.count("*"), F.coalesce(F.sum("main"), F.lit(0))).first()
-    word, n, main = (c.to_numpy() for c in most_frequent(counts.withColumn("n", total), frequent).select("word", "n", "main").toArrow().columns)
-    order = np.lexsort((word, -n))
-    word, n, main = word[order], n[order], main[order]
-    number = np.where(np.arange(len(word)) < classes, np.arange(len(word)) + 2, RARE_CLASS)
-    own = number > RARE_CLASS
-    size = int(own.sum()) + 2
-    class_counts, class_main = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    class_counts[number[own]], class_main[number[own]] = n[own], main[own]
-    class_counts[RARE_CLASS], class_main[RARE_CLASS] = sums[0] - class_counts.sum(), sums[2] - class_main.sum()
-    order = np.argsort(word)
-    return Vocabulary(word[order], n[order], number[order].astype(np.int32), sums[0], sums[1], class_counts, class_main, sums[1] - int(own.sum()))
-
-
-def _pairs(classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """For each token the pair (class before it, its class); texts begin with BEGIN_CLASS."""
-    before = np.concatenate(([BEGIN_CLASS], classes[:-1]))
-    before[np.cumsum(lengths) - lengths] = BEGIN_CLASS
-    return (before << PAIR_BITS) | classes
-
-
-def count_pairs(rows: DataFrame, vocabulary) -> DataFrame:
-    """rows(text, part: 0 main, 1 held out, 2 not for training) -> (pair, main, held)."""
-
-    def counted(source):
-        import pyarrow as pa
-
-        held: list = []
-        size = 0
+def _block_pairs(batch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    get = lambda name, kind: np.frombuffer(batch.column(name)[i].as_py(), kind)
+    return np.unique(pair_hashes(get("words", "<u8"), get("tokens", "<i4"), get("lengths", "<i4"))[0], return_counts=True)
 
-        def flush():
-            pairs, parts = (np.concatenate(x) for x in zip(*held, strict=True))
-            coded, n = np.unique(pairs << 2 | parts, return_counts=True)
-            pair, part = coded >> 2, coded & 3
-            return pa.record_batch([pa.array(pair), pa.array(np.where(part == 0, n, 0)), pa.array(np.where(part == 1, n, 0))], names=["pair", "main", "held"])
 
-        words = Words(vocabulary.value)
-        for batch, numbers, lengths in _blocks(source, words):
-            held.append((_pairs(words.classes[numbers], lengths), np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), lengths)))
-            size += len(numbers)
-            if size >= BLOCK_TOKENS:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+def _block_words(batch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(batch.column("words")[i].as_py(), "<u8"), np.frombuffer(batch.column("counts")[i].as_py(), "<i4")
 
-    return rows.select("text", "part").mapInArrow(counted, "pair long, main long, held long").groupBy("pair").agg(F.sum("main").alias("main"), F.sum("held").alias("held"))
 
+def _with_replies(blocks: DataFrame, words: DataFrame, pairs: DataFrame, of, schema: str) -> DataFrame:
+    """Hands ``of`` each block with the totals of its words and pairs.
 
-def bucket_of(counts):
-    """Contexts are pooled by the binary logarithm of their count."""
-    return np.floor(np.log2(np.asarray(counts, np.float64) + 1)).astype(np.int64)
+    ``of`` gets (ids, lengths, words (main, held), the words' places of tokens and
+    of those before them, pairs (main, held) of each token) and returns columns of ``schema``.
+    """
 
+    def by_token(block, word, pair):
+        lengths, hashes, tokens = (np.frombuffer(block[x].as_py(), kind) for x, kind in (("lengths", "<i4"), ("words", "<u8"), ("tokens", "<i4")))
+        keys, before = pair_hashes(hashes, tokens, lengths)
+        place = np.unique(keys, return_inverse=True)[1]
+        return of(block["ids"].values, lengths, word, tokens, before, [x[place] for x in pair])
 
-@dataclass(frozen=True)
-class Model:
-    """log10 P(token | context) for pairs of classes."""
+    return gather(blocks, ["ids", "lengths", "words", "tokens"], [words, pairs], by_token, schema)
 
-    vocabulary: Vocabulary
-    weights: np.ndarray  # bucket x (bigram, unigram, uniform)
-    contexts: np.ndarray  # training tokens that follow a class
 
-    def within(self, classes: np.ndarray) -> np.ndarray:
-        """The share of one word in its class: a rare or unknown word is as likely as any other."""
-        return np.where(classes == RARE_CLASS, 1.0 / (self.vocabulary.rare_words + 1), 1.0)
+def bucket_of(counts):
+    """Contexts are pooled by the binary logarithm of their count."""
+    return np.floor(np.log2(np.asarray(counts, np.float64) + 1)).astype(np.int64)
 
-    def log10(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        before, own = pairs >> PAIR_BITS, pairs & ((1 << PAIR_BITS) - 1)
-        p2, p1, p0 = estimates(counts, self.contexts[before], self.vocabulary.class_counts[own], self.vocabulary.tokens, len(self.vocabulary.class_counts) - 1)
-        w = self.weights[np.minimum(bucket_of(self.contexts[before]), len(self.weights) - 1)]
-        return np.log10((w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] * p0) * self.within(own))
 
+def estimates(pair, context, own, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood bigram and unigram estimates; 0 where nothing was seen."""
+    return np.divide(pair, context, out=np.zeros(len(pair)), where=np.asarray(context) > 0), np.asarray(own) / max(1, tokens)
 
-def estimates(pair, context, own, tokens, classes):
-    """Maximum-likelihood bigram and unigram estimates, and the uniform one; 0 where nothing was seen."""
-    p2 = np.divide(pair, context, out=np.zeros(len(pair)), where=np.asarray(context) > 0)
-    p1 = np.asarray(own) / max(1, tokens)
-    return p2, p1, np.full(len(pair), 1.0 / classes)
 
+def learn_weights(histogram: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """EM for the mixture weights of each bucket: (bigram, unigram, uniform).
 
-def learn_weights(histogram, buckets: int, rounds: int = 50) -> np.ndarray:
-    """EM for the mixture weights. histogram: rows bucket, n, p2, p1, p0 of held-out events."""
-    weights = np.tile([0.6, 0.3, 0.1], (buckets, 1))
-    for b in range(buckets):
+    histogram: rows bucket, n, p2, p1, p0 of held-out events. A bucket without
+    events takes the weights of the next one below that has some, or else (0.6, 0.3,
+    0.1); bucket 0, of contexts never seen, (0, 0.9, 0.1).
+    """
+    weights = np.tile([0.6, 0.3, 0.1], (64, 1))
+    weights[0] = [0.0, 0.9, 0.1]
+    for b in range(64):
         own = histogram[histogram[:, 0] == b]
         if not len(own):
-            # A bucket without held-out events takes the weights of the one below.
-            weights[b] = weights[b - 1] if b else [0.0, 0.9, 0.1]
+            weights[b] = weights[b - 1] if b > 1 else weights[b]
             continue
         n, p = own[:, 1], own[:, 2:]
         w = weights[b]
@@ -261,158 +207,57 @@ def learn_weights(histogram, buckets: int, rounds: int = 50) -> np.ndarray:
     return weights
 
 
-def _held_out_events(pairs: DataFrame, vocabulary, contexts_main: np.ndarray) -> np.ndarray:
-    """Held-out counts by bucket and log-probabilities to the nearest STEP: as many rows as steps at most, whatever the corpus."""
+def _held_out_events(blocks: DataFrame, words: DataFrame, pairs: DataFrame, main_tokens: int, distinct: int) -> np.ndarray:
+    """Held-out tokens by bucket and log-probabilities to the nearest STEP: as many rows as steps at most, whatever the corpus."""
 
-    def binned(source):
-        import pyarrow as pa
+    def binned(ids, lengths, word, tokens, before, pair):
+        p2, p1 = estimates(pair[0], word[0][before], word[0][tokens], main_tokens)
+        with np.errstate(divide="ignore"):
+            q2, q1 = (np.where(p > 0, np.round(np.log(np.maximum(p, 1e-300)) / STEP), 1).astype(np.int64) for p in (p2, p1))
+        coded, n = np.unique((bucket_of(word[0][before]) << 40) + ((1 << 19) + q2 << 20) + (1 << 19) + q1, return_counts=True)
+        return {"bucket": coded >> 40, "q2": (coded >> 20 & 0xFFFFF) - (1 << 19), "q1": (coded & 0xFFFFF) - (1 << 19), "n": n}
 
-        v: Vocabulary = vocabulary.value
-        tokens = int(v.class_main.sum())
-        for batch in source:
-            pair, main, held = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            before, own = pair >> PAIR_BITS, pair & ((1 << PAIR_BITS) - 1)
-            p2, p1, _ = estimates(main, contexts_main[before], v.class_main[own], tokens, 1)
-            with np.errstate(divide="ignore"):
-                q2, q1 = (np.where(p > 0, np.round(np.log(np.maximum(p, 1e-300)) / STEP), 1).astype(np.int64) for p in (p2, p1))
-            yield pa.record_batch([pa.array(bucket_of(contexts_main[before])), pa.array(q2), pa.array(q1), pa.array(held)], names=["bucket", "q2", "q1", "n"])
-
-    found = pairs.where("held > 0").select("pair", "main", "held").mapInArrow(binned, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).toPandas()
+    late = [x.where(F.col("part") == HELD) for x in (blocks, words, pairs)]
+    found = _with_replies(*late, binned, "bucket long, q2 long, q1 long, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).orderBy("bucket", "q2", "q1").toPandas()
     p2, p1 = (np.where(found[q] > 0, 0.0, np.exp(found[q].to_numpy(np.float64) * STEP)) for q in ("q2", "q1"))
-    classes = len(vocabulary.value.class_counts) - 1
-    return np.column_stack([found.bucket.to_numpy(np.float64), found.n.to_numpy(np.float64), p2, p1, np.full(len(found), 1.0 / classes)])
-
+    return np.column_stack([found.bucket.to_numpy(np.float64), found.n.to_numpy(np.float64), p2, p1, np.full(len(found), 1.0 / (distinct + 1))])
 
-def _contexts(pairs: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that follow each class, in the main part and in all training documents."""
-    found = pairs.groupBy(F.shiftright("pair", PAIR_BITS).alias("before")).agg(F.sum("main").alias("main"), F.sum(F.col("main") + F.col("held")).alias("n")).toPandas()
-    out = np.zeros((2, classes), np.int64)
-    at = found.before.to_numpy(np.int64)
-    out[0, at], out[1, at] = found.main.to_numpy(np.int64), found.n.to_numpy(np.int64)
-    return out[0], out[1]
 
-
-def score_documents(docs: DataFrame, training: Column, held: Column, id_col: str = "doc_id", text_col: str = "text", *, classes: int = 60_000, frequent_words: int = 1 << 19, frequent_pairs: int = 1 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, training: Column, held: Column, id_col: str = "doc_id", text_col: str = "text", *, block_tokens: int = BLOCK_TOKENS, read_bytes: int = READ_BYTES, slot_keys: int = SLOT_KEYS) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     ``training`` is true for the documents to learn from, ``held`` for those of
-    them whose counts teach the mixture weights. ``score`` is the model's log10
+    them whose tokens teach the mixture weights. ``score`` is the model's log10
     probability of the text, ``base_score`` the sum over tokens of log10 of the
     smoothed share of the word in the training tokens. A null text counts as an
     empty one and has the end token alone; null ids are kept; every row gets its
-    own result, repeated or not. Other columns are ignored, whatever their names;
-    an empty table gives an empty result, and without training documents all
-    words are unknown. ``classes`` (65,534 at most), ``frequent_words`` and
-    ``frequent_pairs`` bound what a worker holds, not what is counted.
+    own result, repeated or not. A very long text is read in pieces. Other columns
+    are ignored, whatever their names; an empty table gives an empty result, and
+    without training documents all words are unknown and equally likely. The
+    options bound what a task holds and do not change results.
     """
-    if not 1 <= classes <= (1 << PAIR_BITS) - 2:
-        raise ValueError("classes must fit 16 bits")
-    spark = docs.sparkSession
-    part = F.when(F.coalesce(training, F.lit(False)), F.when(F.coalesce(held, F.lit(False)), 1).otherwise(0)).otherwise(2)
-    rows = docs.select(F.col(text_col).alias("text"), part.cast("long").alias("part"))
-    words = materialise(count_words(rows.where("part < 2")), "words")
-    vocabulary = spark.sparkContext.broadcast(build_vocabulary(words, classes, frequent_words))
-    v: Vocabulary = vocabulary.value
-
-    pairs = materialise(count_pairs(rows, vocabulary), "pairs")
-    contexts_main, contexts = _contexts(pairs, len(v.class_counts))
-    buckets = int(bucket_of(max(1, contexts.max(initial=1)))) + 1
-    weights = learn_weights(_held_out_events(pairs, vocabulary, contexts_main), buckets)
-    model = spark.sparkContext.broadcast(Model(v, weights, contexts))
-    n = F.col("main") + F.col("held")
-    top_pairs, top_counts = (c.to_numpy() for c in most_frequent(pairs.select("pair", n.alias("n")), frequent_pairs).select("pair", "n").toArrow().columns)
-    order = np.argsort(top_pairs)
-    top_pairs = top_pairs[order]
-    top_logs = model.value.log10(top_pairs, top_counts[order])
-    tables = spark.sparkContext.broadcast((top_pairs, top_logs))
-
-    # Sums of each document, and what is left to look up: pairs as keys from 0, words as keys of kind 1.
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    key_type = keyed.schema["id"].dataType.simpleString()
-
-    def scored(source):
-        import pyarrow as pa
-
-        vocabulary: Vocabulary = model.value.vocabulary
-        sure_pairs, sure_logs = tables.value
-        words = Words(vocabulary)
-        for batch, numbers, lengths in _blocks(source, words):
-            row = batch.column(0).to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(row)), lengths)
-            known = words.known[numbers]
-            by_word = np.where(words.known, vocabulary.base(vocabulary.counts[words.places]) if len(vocabulary.counts) else 0.0, 0.0)
-            base = by_word[numbers]
-            pair = _pairs(words.classes[numbers], lengths)
-            spot = np.minimum(np.searchsorted(sure_pairs, pair), max(0, len(sure_pairs) - 1))
-            sure = sure_pairs[spot] == pair if len(sure_pairs) else np.zeros(len(pair), bool)
-            logs = np.where(sure, sure_logs[spot] if len(sure_logs) else 0.0, 0.0)
-            size = len(row)
-            sums = [np.bincount(doc, x, size) for x in (base, logs, known)]
-            parts = [pa.record_batch([pa.array(row), batch.column(1), pa.array(np.full(size, 2, np.int8)), pa.array(row), pa.array(lengths), pa.array(sums[2].astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])], names=NAMES)]
-            for kind, keys, mask in ((0, pair, ~sure), (1, words.hashes[numbers], ~known)):
-                own, d = keys[mask], doc[mask]
-                if not len(own):
-                    continue
-                # One row for each different key of a document.
-                order = np.lexsort((own, d))
-                own, d = own[order], d[order]
-                first = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (d[1:] != d[:-1]))))
-                times = np.diff(np.append(first, len(own)))
-                none = pa.nulls(len(first), pa.float64())
-                parts.append(pa.record_batch([pa.array(row[d[first]]), pa.nulls(len(first), batch.column(1).type), pa.array(np.full(len(first), kind, np.int8)), pa.array(own[first]), pa.array(times), pa.nulls(len(first), pa.int64()), none, none], names=NAMES))
-            yield from parts
-
-    out = keyed.mapInArrow(scored, f"row long, id {key_type}, kind byte, key long, times long, known long, base double, score double")
-
-    def logged(source):
-        import pyarrow as pa
-
-        for batch in source:
-            pair, count = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            yield pa.record_batch([batch.column(0), pa.array(model.value.log10(pair, count))], names=["key", "value"])
-
-    rare_pairs = pairs.select("pair", n.alias("n")).mapInArrow(_without(tables), "pair long, n long").mapInArrow(logged, "key long, value double").select(F.lit(0).cast("byte").alias("kind"), "key", "value")
-    rare_words = words.select("word", n.alias("n")).mapInArrow(_without_words(vocabulary), "key long, n long").select(F.lit(1).cast("byte").alias("kind"), "key", F.col("n").cast("double").alias("value"))
-    # Keys are unique on the right and dealt evenly, so a partition of it makes a small hash table and nothing needs sorting.
-    joined = out.join(rare_pairs.unionByName(rare_words).hint("shuffle_hash"), ["kind", "key"], "left")
-    share = lambda c: F.log10((c + 0.1) / F.lit(v.tokens + 0.1 * (v.distinct + 1)))
-    word, whole = F.col("kind") == 1, F.col("kind") == 2
-    summed = joined.groupBy("row").agg(
-        F.max("id").alias("id"),
-        F.sum(F.when(whole, F.col("times"))).alias("n_tokens"),
-        F.sum(F.when(whole, F.col("known")).when(word & F.col("value").isNotNull(), F.col("times"))).alias("n_known"),
-        F.sum(F.when(whole, F.col("base")).when(word, F.col("times") * share(F.coalesce("value", F.lit(0.0))))).alias("base_score"),
-        F.sum(F.when(whole, F.col("score")).when(~word, F.col("times") * F.col("value"))).alias("score"),
-    )
-    return summed.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-NAMES = ["row", "id", "kind", "key", "times", "known", "base", "score"]
-
-
-def _without(tables):
-    """Drops the pairs of the broadcast table."""
-
-    def kept(source):
-        import pyarrow as pa
-
-        sure = tables.value[0]
-        for batch in source:
-            pair = batch.column(0).to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(sure, pair), max(0, len(sure) - 1))
-            yield batch.filter(pa.array(sure[at] != pair) if len(sure) else pa.array(np.ones(len(pair), bool)))
-
-    return kept
-
-
-def _without_words(vocabulary):
-    """Drops the words of the broadcast vocabulary."""
-
-    def kept(source):
-        import pyarrow as pa
-
-        for batch in source:
-            _, known = vocabulary.value.find(batch.column(0).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(~known)) for c in batch.columns], names=["key", "n"])
-
-    return kept
+    part = F.when(F.coalesce(training, F.lit(False)), F.when(F.coalesce(held, F.lit(False)), HELD).otherwise(MAIN)).otherwise(OTHER)
+    blocks = materialise(tokenised(docs, part, id_col, text_col, block_tokens, read_bytes), "lm-blocks")
+    count = lambda column, width, *parts: F.coalesce(F.sum(F.when(F.col("part").isin(*parts), F.octet_length(column) / width)), F.lit(0)).cast("long")
+    main_tokens, n, keys, tokens = blocks.agg(count("tokens", 4, MAIN), count("tokens", 4, MAIN, HELD), count("words", 8, MAIN, HELD, OTHER), count("tokens", 4, MAIN, HELD, OTHER)).first()
+    least = docs.sparkSession.sparkContext.defaultParallelism
+    slots = lambda held: max(least, -(-held // slot_keys))
+    words = materialise(exchange(blocks.select("block", "part", "words", "counts"), _block_words, slots(keys)), "lm-words")
+    pairs = materialise(exchange(blocks.select("block", "part", "lengths", "words", "tokens"), _block_pairs, slots(tokens)), "lm-pairs")
+    v = words.agg(F.coalesce(F.sum("distinct"), F.lit(0))).first()[0]
+    # Nothing learnt: every word is unknown, and there is one unknown word.
+    weights = learn_weights(_held_out_events(blocks, words, pairs, main_tokens, v)) if n else np.tile([0.0, 0.0, 1.0], (64, 1))
+
+    def scored(ids, lengths, word, tokens, before, pair):
+        counts = word[0] + word[1]
+        p2, p1 = estimates(pair[0] + pair[1], counts[before], counts[tokens], n)
+        w = weights[bucket_of(counts)][before]
+        logs = np.log10(w[:, 0] * p2 + w[:, 1] * p1 + w[:, 2] / (v + 1))
+        base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))[tokens]
+        known = (counts > 0)[tokens].astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        return {"id": ids, "n_tokens": lengths.astype(np.int64), "n_known": np.add.reduceat(known, starts), "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts)}
+
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    found = _with_replies(blocks, words, pairs, scored, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return found.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
