@@ -10,8 +10,10 @@ its tokens were counted.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +55,10 @@ def url_tokens(host: Column, path: Column, rest: Column) -> Column:
 
 @dataclass(frozen=True)
 class UrlModel:
-    """Association rules: (tokens, label, confidence, support), best first."""
+    """Association rules: (tokens, label, confidence, support), best first, and the tokens that others stand for."""
 
     rules: list[tuple[tuple[str, ...], str, float, float]]
+    stands_for: dict[str, str] = field(default_factory=dict)
 
     def index(self) -> dict[str, list[int]]:
         held = defaultdict(list)
@@ -66,34 +69,58 @@ class UrlModel:
 
 
 def prune(rules: list[tuple[tuple[str, ...], str, float, float]]) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """Drops a rule if part of its tokens gives the same label with at least its confidence; best rules first."""
-    kept: list = []
-    sets: list[tuple[set, str, float]] = []
-    for tokens, label, confidence, support in sorted(rules, key=lambda r: (len(r[0]), r[0], r[1])):
-        own = set(tokens)
-        if not any(label == other and confidence <= c and s < own for s, other, c in sets):
-            sets.append((own, label, confidence))
-            kept.append((tokens, label, confidence, support))
+    """Drops a rule if part of its tokens gives the same label with at least its confidence; best rules first.
+
+    A rule of k tokens has 2^k - 2 parts to look up, so this is linear in the rules.
+    """
+    best: dict[tuple[tuple[str, ...], str], float] = {(t, label): c for t, label, c, _ in rules}
+    parts = lambda t: (p for k in range(1, len(t)) for p in combinations(t, k))
+    kept = [r for r in rules if not any(best.get((p, r[1]), -1.0) >= r[2] for p in parts(r[0]))]
     return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1]))
 
 
-def mine(labelled: DataFrame, *, min_support: float = 0.02, min_confidence: float = 0.9, max_tokens: int = 4, max_rules: int = 5_000) -> UrlModel:
+def merged_tokens(rows: DataFrame, least: int) -> tuple[DataFrame, dict[str, str]]:
+    """rows(tokens, label) with frequent tokens only (in ``least`` rows or more), one for those that always occur together.
+
+    Tokens of one URL template come together in every row; each subset of them is
+    an item set of the same rows, so that n of them would give 2^n. The first of
+    them by name stands for all, and a rule fits where any of them is found, which
+    is the same as a rule for each. Frequent tokens are at most the mean number of
+    tokens over the least share, whatever the input.
+    """
+    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    frequent = sorted(r.token for r in counts.collect())
+    listed = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    held = rows.withColumn("tokens", F.array_sort(F.array_intersect("tokens", listed(frequent))))
+    # Tokens come in the same rows if their numbers of rows and the sums of their rows' hashes agree.
+    marked = held.select(F.explode("tokens").alias("token"), F.xxhash64("tokens").cast("decimal(20,0)").alias("row"))
+    first: dict[tuple, str] = {}
+    stands_for = {}
+    for token, n, sums in sorted(map(tuple, marked.groupBy("token").agg(F.count("*"), F.sum("row")).collect())):
+        stands_for[token] = first.setdefault((n, sums), token)
+    return held.withColumn("tokens", F.array_intersect("tokens", listed(sorted(first.values())))), stands_for
+
+
+def mine(labelled: DataFrame, *, min_support: float = 0.02, min_rows: int = 10, min_confidence: float = 0.9, max_tokens: int = 4) -> UrlModel:
     """Mine ``labelled``(tokens array<string>, label ``allow`` or ``block``).
 
-    Supports are shares of all labelled rows. A rule has ``max_tokens`` tokens at
-    most. The filter keeps its ``max_rules`` best rules by confidence, then
-    support, which bounds what the workers get.
+    A rule has a share of ``min_support`` of the labelled rows, and ``min_rows`` of
+    them at least, ``max_tokens`` tokens at most, and ``min_confidence``. All such
+    rules that pruning leaves are kept; their number depends on the supports and
+    not on the rows.
     """
     from pyspark.ml.fpm import FPGrowth
 
-    rows = labelled.where(F.col("label").isin(*LABELS) & (F.size("tokens") > 0))
-    if rows.isEmpty():
+    rows = labelled.where(F.col("label").isin(*LABELS) & (F.size("tokens") > 0)).select("tokens", "label")
+    total = rows.count()
+    least = max(min_rows, math.ceil(min_support * total))
+    if total < least:
         return UrlModel([])
-    items = rows.select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    merged, stands_for = merged_tokens(rows, least)
+    items = merged.select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(items)
     found = model.associationRules.where((F.size("antecedent") <= max_tokens) & F.element_at("consequent", 1).startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
-    best = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_sort("antecedent")).limit(max_rules)
-    return UrlModel(prune([(tuple(sorted(r.antecedent)), r.consequent[0].removeprefix("label="), float(r.confidence), float(r.support)) for r in best.collect()]))
+    return UrlModel(prune([(tuple(sorted(r.antecedent)), r.consequent[0].removeprefix("label="), float(r.confidence), float(r.support)) for r in found.collect()]), stands_for)
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules=RULES, default: str = "allow", **mining) -> DataFrame:
@@ -102,27 +129,37 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Rows that a fixed rule decides are the labelled sample from which the
     association rules are mined; the others get the verdict of the best mined rule
     that fits, or ``default``. Null urls and those without ``://`` have empty host
-    and path and get ``default``. Rows that repeat are judged alike; other columns
-    are ignored, whatever their names; an empty table gives an empty result.
+    and path and get ``default``. Rows that repeat are judged alike, urls may be of
+    any length, of rules that are equally good the first by name decides. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
+    rows = tokenised(pages, id_col, url_col, rules)
+    return match_rules(rows, mine(rows.where("said IS NOT NULL").select("tokens", F.col("said").alias("label")), **mining), id_col, default)
+
+
+def tokenised(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """(id, host, path, rule, said, tokens): each URL's parts, what the fixed rules say, and its tokens."""
     host, path, rest = url_parts(F.col("url"))
     rule, said = fixed_rule(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"), rest.alias("rest"))
-    rows = rows.select("id", "host", "path", rule.alias("rule"), said.alias("said"), url_tokens(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"))
-    model = mine(rows.where("said IS NOT NULL").select("tokens", F.col("said").alias("label")), **mining)
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    return rows.select("id", "host", "path", rule.alias("rule"), said.alias("said"), url_tokens(F.col("host"), F.col("path"), F.col("rest")).alias("tokens"))
+
+
+def match_rules(rows: DataFrame, model: UrlModel, id_col: str = "page_id", default: str = "allow") -> DataFrame:
+    """Verdicts of rows(id, host, path, rule, said, tokens): what is ``said``, else the best mined rule that fits, else ``default``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def matched(source):
         import pyarrow as pa
 
-        mined, index = shared.value.rules, shared.value.index()
+        mined, index, stands_for = shared.value.rules, shared.value.index(), shared.value.stands_for
         for batch in source:
             label, why = [], []
             for said, tokens in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 best = None
                 if said is None:
                     counts: dict[int, int] = defaultdict(int)
-                    for token in tokens or ():
+                    for token in {stands_for.get(t, t) for t in tokens or ()}:
                         for n in index.get(token, ()):
                             counts[n] += 1
                     best = min((n for n, c in counts.items() if c == len(mined[n][0])), default=None)
