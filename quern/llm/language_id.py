@@ -10,6 +10,7 @@ penalty for each change of language, so that stray words don't break spans.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from itertools import chain
@@ -28,9 +29,9 @@ SCRIPTS = ["other", "latin", "greek", "cyrillic", "hebrew", "arabic", "devanagar
 #: A language is a candidate for a script if at least this share of its words is written in it.
 CANDIDATE_SHARE = 0.001
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Words of texts whose paths are found together.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 400_000
 MAX_LANGUAGES = 1000
 _OUT = -1e3
 
@@ -61,16 +62,21 @@ class LanguageModel:
         return (sums + self.candidates[scripts]).astype(np.float32)
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_texts: int = 20_000) -> LanguageModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_texts: int = 5_000) -> LanguageModel:
     """Learn from ``labelled``(text, lang); null texts and languages are left out.
 
-    About ``max_texts`` rows are used, those with the smallest hashes of the whole
-    row: enough for trigram counts, and not more where very many texts are equal.
+    About ``max_texts`` rows of each language are used, those with the smallest
+    hashes of the whole row: enough for trigram counts, not more where very many
+    texts are equal, and all rows of a language that has few.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    total = known.count()
-    if total > max_texts:
-        known = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(1 << 30)) < int((1 << 30) * max_texts / total))
+    language = F.col(lang_col).cast("string")
+    totals = dict(map(tuple, known.groupBy(language.alias("of")).count().limit(MAX_LANGUAGES + 1).collect()))
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    shares = [x for lang, n in totals.items() if n > max_texts for x in (F.lit(lang), F.lit(int((1 << 30) * max_texts / n)))]
+    if shares:
+        known = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(1 << 30)) < F.coalesce(F.create_map(*shares)[language], F.lit(1 << 30)))
     rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def counted(source):
@@ -89,10 +95,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["lang", "feature", "n"])
 
     found = rows.mapInArrow(counted, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    languages = sorted(r.lang for r in found.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = found.toPandas()
+    table = found.toPandas()  # at most MAX_LANGUAGES x (2^HASH_BITS + scripts) rows
+    languages = sorted(set(table.lang))
     counts = np.zeros(((1 << HASH_BITS) + len(SCRIPTS), max(1, len(languages))))
     if languages:
         counts[table.feature.to_numpy(np.int64), np.searchsorted(languages, table.lang.to_numpy(str))] = table.n.to_numpy(np.float64)
@@ -141,15 +145,17 @@ class Labeller:
         self.numbers: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.languages)), np.float32)
         self.letters = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int32)  # trigrams of a word
 
-    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
-        out: list = [("und", 0.0, [])] * len(texts)
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float, list[dict], float]]:
+        """Language, its share, spans and margin of each text."""
+        out: list = [("und", 0.0, [], 0.0)] * len(texts)
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
         order = sorted((i for i in range(len(texts)) if words[i]), key=lambda i: -len(words[i]))
         if not order or not self.model.languages:
             return out
         if len(self.numbers) > REMEMBERED:
-            self.numbers, self.scores, self.letters = {}, self.scores[:0], self.letters[:0]
+            self.numbers, self.scores, self.letters, self.sizes = {}, self.scores[:0], self.letters[:0], self.sizes[:0]
         numbers = self.numbers
         new = list(set().union(*words).difference(numbers))
         if new:
@@ -157,6 +163,7 @@ class Labeller:
             self.scores = np.concatenate((self.scores, self.model.word_scores(new)))
             own = [len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in new]  # signs like a raised 2 are no letters
             self.letters = np.concatenate((self.letters, np.array(own, np.int32)))
+            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, new), np.int32, len(new))))
         lengths = np.array([len(words[i]) for i in order], np.int64)
         at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words[i] for i in order)), np.int64, int(lengths.sum()))
         letters = self.letters[at]
@@ -165,6 +172,8 @@ class Labeller:
         size = len(self.model.languages)
         share = np.bincount(text * size + labels, letters, len(order) * size).reshape(-1, size)
         best = share.argmax(axis=1)
+        # What the path gives a trigram on average, against one of all hashes that are equally likely.
+        fits = np.bincount(text, self.scores[at, labels], len(order)) / np.bincount(text, self.sizes[at], len(order)) + HASH_BITS * math.log(2)
         total = share.sum(axis=1)
         score = share[np.arange(len(order)), best] / np.maximum(total, 1)
         ends = np.flatnonzero(np.concatenate(((labels[1:] != labels[:-1]) | (text[1:] != text[:-1]), [True]))) + 1
@@ -175,19 +184,30 @@ class Labeller:
             spans[n].append({"from": a - int(begin[n]), "to": b - int(begin[n]), "lang": self.model.languages[labels[a]]})
         for n, i in enumerate(order):
             if total[n]:
-                out[i] = (self.model.languages[best[n]], float(score[n]), spans[n])
+                out[i] = (self.model.languages[best[n]], float(score[n]), spans[n], float(fits[n]))
         return out
 
 
+def _chunks(column):
+    """Parts of an Arrow array of texts with a bounded number of words, as (from, to, texts); one text at least."""
+    import pyarrow.compute as pc
+
+    for a, b in chunks_by_size(pc.binary_length(column).fill_null(0).to_pylist(), 6 * BLOCK_WORDS, int):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", *, penalty: float = 12.0) -> DataFrame:
-    """One row per document: id, ``lang_pred``, ``score``, ``spans``.
+    """One row per document: id, ``lang_pred``, ``score``, ``spans``, ``margin``.
 
     ``spans`` are runs of words (letters in a row; end exclusive) in one language;
-    ``lang_pred`` is the language with the most letters and ``score`` its share of
-    them. Null texts and texts without a letter are ``und`` with score 0 and no
-    spans. Only the text is looked at, whatever other columns there are; rows that
-    repeat are judged alike, and an empty table gives an empty result. Whole texts
-    are labelled; texts are taken together up to a number of words.
+    ``lang_pred`` is the language with the most letters (of equal ones the first by
+    name) and ``score`` its share of them. ``margin`` is the mean log-likelihood of
+    the text's trigrams under its labels, over that of trigrams drawn evenly: below
+    zero, no language explains the text better than chance. Null texts and texts
+    without a letter are ``und`` with score and margin 0 and no spans. Only the
+    text is looked at, whatever other columns there are; rows that repeat are
+    judged alike, and an empty table gives an empty result. Whole texts are
+    labelled; texts are taken together up to a number of words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -198,17 +218,22 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
         labeller = Labeller(shared.value, penalty)
         span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("lang", pa.string())]))
         for batch in source:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks_by_size([t or "" for t in texts], 6 * BLOCK_WORDS):
-                lang, score, spans = zip(*labeller(texts[a:b]), strict=True)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span)], names=["id", "lang_pred", "score", "spans"])
+            for a, b, texts in _chunks(batch.column(1)):
+                lang, score, spans, margin = zip(*labeller(texts), strict=True)
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span), pa.array(margin, pa.float64())], names=["id", "lang_pred", "score", "spans", "margin"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"id {kind}, lang_pred string, score double, spans array<struct<from:long,to:long,lang:string>>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(batches, f"id {kind}, lang_pred string, score double, spans array<struct<from:long,to:long,lang:string>>, margin double").withColumnRenamed("id", id_col)
+
 
+def keep_languages(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", *, penalty: float = 12.0, least_margin: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` in a known language, with all their columns, whatever their names.
 
-def keep_languages(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", *, penalty: float = 12.0) -> DataFrame:
-    """The rows of ``docs`` whose language is known, with all their columns; those that are ``und`` go."""
+    A text goes if it is null or has no letter, or if its ``margin`` (see
+    ``identify``) is below ``least_margin``. Where no language was learnt every
+    text with a letter stays. Rows that repeat are judged alike; texts may be of
+    any length; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(training), text_col, lang_col))
     place = docs.columns.index(text_col)
 
@@ -217,8 +242,11 @@ def keep_languages(docs: DataFrame, training: Column, text_col: str = "text", la
 
         labeller = Labeller(shared.value, penalty)
         for batch in source:
-            texts = batch.column(place).to_pylist()
-            for a, b in chunks_by_size([t or "" for t in texts], 6 * BLOCK_WORDS):
-                yield batch.slice(a, b - a).filter(pa.array([lang != "und" for lang, _, _ in labeller(texts[a:b])]))
+            for a, b, texts in _chunks(batch.column(place)):
+                if shared.value.languages:
+                    stays = [lang != "und" and margin >= least_margin for lang, _, _, margin in labeller(texts)]
+                else:
+                    stays = [bool(t) and any(map(str.isalpha, t)) for t in texts]
+                yield batch.slice(a, b - a).filter(pa.array(stays))
 
     return docs.mapInArrow(batches, docs.schema)
