@@ -84,6 +84,20 @@ class WaveletMatrix:
         return symbols, i
 
 
+class Phrases:
+    """Phrases as stretches of one array of symbols; symbols that the text lacks are -1."""
+
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        self.symbols, self.ends, self.lengths = symbols, starts + lengths - 1, lengths
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def from_end(self, which: np.ndarray, step: int) -> np.ndarray:
+        """The symbol that many steps before the last one of each phrase."""
+        return self.symbols[self.ends[which] - step]
+
+
 class FMIndex:
     """Of a text of symbols 1.. ; symbol 0 is kept for its end."""
 
@@ -96,18 +110,21 @@ class FMIndex:
         sampled = sa % SAMPLE == 0
         self.sampled, self.samples = Bits(sampled), sa[sampled]
 
-    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Backward search. phrases: one a row, its last symbol in column 0; symbols not in the text are -1. Returns row intervals."""
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+        """Backward search of all phrases at once. Returns row intervals, empty ones for phrases that do not occur."""
         lo, hi = np.zeros(len(phrases), np.int64), np.zeros(len(phrases), np.int64)
-        wanted = np.arange(phrases.shape[1])[None, :] < lengths[:, None]
-        live = np.flatnonzero(((phrases >= 0) | ~wanted).all(axis=1) & (lengths > 0))
-        lo[live], hi[live] = self.starts[phrases[live, 0]], self.starts[phrases[live, 0] + 1]
-        for step in range(1, phrases.shape[1]):
+        live = np.flatnonzero(phrases.lengths > 0)
+        symbols = phrases.from_end(live, 0)
+        live, symbols = live[symbols >= 0], symbols[symbols >= 0]
+        lo[live], hi[live] = self.starts[symbols], self.starts[symbols + 1]
+        for step in range(1, int(phrases.lengths.max(initial=0))):
             live = live[hi[live] > lo[live]]
-            now = live[lengths[live] > step]
+            now = live[phrases.lengths[live] > step]
             if not len(now):
-                continue
-            symbols = phrases[now, step]
+                break
+            symbols = phrases.from_end(now, step)
+            hi[now[symbols < 0]] = lo[now[symbols < 0]]
+            now, symbols = now[symbols >= 0], symbols[symbols >= 0]
             base = self.starts[symbols] - self.tree.spot(symbols, np.zeros(len(now), np.int64))
             lo[now], hi[now] = base + self.tree.spot(symbols, lo[now]), base + self.tree.spot(symbols, hi[now])
         return lo, hi
