@@ -6,10 +6,13 @@ do and a lost task leaves no half-written file. Folder layout:
 * ``frequencies``: one row (id, freq) for each id that occurs, shared by all blocks.
 * ``blocks``: one row per block: file (number of the range of document ids),
   block, first (ids of the file before it), documents (doc ids), counts (their
-  numbers of ids), n, stream, places, states (see rans.py), crc32 of the ids.
+  numbers of ids), n, stream, places, states (see rans.py), crc32s of the ids
+  from each checkpoint to the next.
 
-A block holds whole documents, decodes without any other block, and from any
-of its checkpoints.
+A block holds whole documents and decodes without any other block. A reader goes
+by checkpoints: the documents that begin in a stretch are decoded from its
+checkpoint on, and every stretch is held against its checksum, so memory is
+bounded by a stretch and the longest document.
 """
 
 from __future__ import annotations
@@ -25,18 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import materialise
-from quern.llm.rans import Coder, scale
+from quern.llm.rans import CHECKPOINT_STEPS, LANES, Coder, scale
 
 END_ID = 1
 #: A block is closed at this many ids; one longer document is a block of its own.
 BLOCK_IDS = 1 << 20
+#: Ids from one checkpoint to the next.
+STRETCH = LANES * CHECKPOINT_STEPS
 #: ASCII signs that this tokenizer never joins to a letter before them.
 SIGNS = b"!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: The sign by which byte-level vocabularies write each byte: printable Latin-1 as itself, the others from U+0100 on in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_SIGNS = [chr(b) if b in _PRINTABLE else chr(0x100 + sum(x not in _PRINTABLE for x in range(b))) for b in range(256)]
 #: Different white-space-free pieces whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
+
+
+def _plain_letter(last: str) -> bool:
+    """A Latin letter whose small form is one letter as well: not, for one, the capital I with a dot, which becomes two signs."""
+    return last < "\u0250" and len(last.lower()) == 1 and last.lower().isalpha()
 
 
 class PieceEncoder:
@@ -77,7 +87,7 @@ class PieceEncoder:
         missing = {p for p, ids in zip(new, found, strict=True) if ids is None}
         if missing:
             # Signs after a letter are split from it before anything is merged, so both parts are encoded alone.
-            bare = {p: b for p in missing if (b := p.rstrip(SIGNS)) and b != p and b"<|" not in p and b.decode()[-1].isalpha()}
+            bare = {p: b for p in missing if (b := p.rstrip(SIGNS)) and b != p and b"<|" not in p and _plain_letter(b.decode()[-1])}
             parts = {*missing.difference(bare), *bare.values(), *(p[len(b) :] for p, b in bare.items())}
             self._learn(list(parts.difference(known)))
             for piece, word in bare.items():
@@ -184,14 +194,15 @@ def write_tokens(encoded: DataFrame, path: str, kind: str = "<u4", files: int |
             raw = b"".join(parts)
             ids = np.frombuffer(raw, kind).astype("<u4")
             stream, places, states = coder.encode(ids.astype(np.int64))
-            row = {"file": file, "block": block, "first": first, "documents": docs, "counts": [len(p) // width for p in parts], "n": len(ids), "stream": stream, "places": places, "states": states, "crc32": zlib.crc32(ids.tobytes())}
+            sums = [zlib.crc32(ids[at : at + STRETCH].tobytes()) for at in range(0, len(ids), STRETCH)]
+            row = {"file": file, "block": block, "first": first, "documents": docs, "counts": [len(p) // width for p in parts], "n": len(ids), "stream": stream, "places": places, "states": states, "crc32s": sums}
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         schema = None
         for batch in source:
             if schema is None:
                 key_type = batch.column(0).type
-                schema = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("documents", pa.list_(key_type)), ("counts", pa.list_(pa.int64())), ("n", pa.int64()), ("stream", pa.binary()), ("places", pa.list_(pa.int64())), ("states", pa.binary()), ("crc32", pa.int64())])
+                schema = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("documents", pa.list_(key_type)), ("counts", pa.list_(pa.int64())), ("n", pa.int64()), ("stream", pa.binary()), ("places", pa.list_(pa.int64())), ("states", pa.binary()), ("crc32s", pa.list_(pa.int64()))])
             for key, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 docs.append(key)
                 parts.append(ids)
@@ -204,7 +215,7 @@ def write_tokens(encoded: DataFrame, path: str, kind: str = "<u4", files: int |
 
     ranged = encoded.repartitionByRange(files, "id") if files else encoded.repartitionByRange("id")
     key_kind = encoded.schema["id"].dataType.simpleString()
-    ranged.sortWithinPartitions("id", "ids").mapInArrow(blocks, f"file int, block long, first long, documents array<{key_kind}>, counts array<long>, n long, stream binary, places array<long>, states binary, crc32 long").write.option("compression", "none").parquet(f"{path}/blocks")
+    ranged.sortWithinPartitions("id", "ids").mapInArrow(blocks, f"file int, block long, first long, documents array<{key_kind}>, counts array<long>, n long, stream binary, places array<long>, states binary, crc32s array<long>").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_tokens(spark, path: str) -> DataFrame:
@@ -229,14 +240,28 @@ def read_tokens(spark, path: str) -> DataFrame:
         for batch in source:
             for i in range(batch.num_rows):
                 row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
-                raw = coder.decode(row["n"], row["stream"], row["places"], row["states"]).astype("<u4").tobytes()
-                if zlib.crc32(raw) != row["crc32"]:
-                    raise ValueError(f"file {row['file']}, block {row['block']}: checksum differs")
                 ends = np.cumsum(row["counts"])
                 starts = ends - row["counts"]
-                yield pa.record_batch([pa.array(row["documents"], batch.schema.field("documents").type.value_type), pa.array(starts + (before[row["file"]] + row["first"])), pa.array([raw[4 * a : 4 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["id", "start", "ids"])
-
-    return blocks.select("file", "block", "first", "documents", "counts", "n", "stream", "places", "states", "crc32").mapInArrow(decoded, f"id {kind}, start long, ids binary")
+                # The documents that begin in a stretch, and the stretches up to the end of the last of them.
+                bounds = np.searchsorted(starts, np.arange(len(row["places"]) + 1) * STRETCH)
+                held, upto, raw = 0, 0, b""  # raw: the ids from stretch ``held`` to ``upto``
+                for part in range(len(row["places"])):
+                    a, b = int(bounds[part]), int(bounds[part + 1])
+                    if a == b:
+                        continue
+                    raw = raw[4 * STRETCH * (part - held) :] if upto > part else b""
+                    held, upto = part, max(part, upto)
+                    got = [raw]
+                    while upto * STRETCH < ends[b - 1]:
+                        got.append(coder.decode(row["n"], row["stream"], row["places"], row["states"], upto).astype("<u4").tobytes())
+                        if zlib.crc32(got[-1]) != row["crc32s"][upto]:
+                            raise ValueError(f"file {row['file']}, block {row['block']}, checkpoint {upto}: checksum differs")
+                        upto += 1
+                    raw, shift = b"".join(got), part * STRETCH
+                    ids = pa.array([raw[4 * (x - shift) : 4 * (y - shift)] for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)], pa.binary())
+                    yield pa.record_batch([pa.array(row["documents"][a:b], batch.schema.field("documents").type.value_type), pa.array(starts[a:b] + (before[row["file"]] + row["first"])), ids], names=["id", "start", "ids"])
+
+    return blocks.select("file", "block", "first", "documents", "counts", "n", "stream", "places", "states", "crc32s").mapInArrow(decoded, f"id {kind}, start long, ids binary")
 
 
 def save_documents(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = END_ID, files: int | None = None) -> None:
