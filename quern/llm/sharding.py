@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.llm.common import text_or_empty
+from quern.llm.common import materialise, text_or_empty, with_payload
 
 #: Hex digits of a draw: 52 bits, which a double holds exactly.
 DRAW_DIGITS = 13
@@ -44,15 +44,24 @@ def _best(scores: list[Column]) -> Column:
     return -F.array_max(F.array(*scores))["minus"]
 
 
-def assign_shards(rows: DataFrame, id_col: str, weights: Sequence[float], grown_weight: float | None = None) -> DataFrame:
-    """Adds ``shard`` and, with ``grown_weight``, ``grown_shard``: the shard if one more of that weight is added."""
-    every = [*weights, grown_weight] if grown_weight is not None else list(weights)
+def shard_columns(key: Column, weights: Sequence[float], grown_weight: float | None = None) -> Column:
+    """A struct of ``shard`` and, with ``grown_weight``, ``grown_shard``: the shard if one more of that weight is added."""
+    scores = draws(key, [*weights, grown_weight] if grown_weight is not None else list(weights))
+    best = F.array_max(F.array(*scores[: len(weights)]))
     if grown_weight is None:
-        return rows.withColumn("shard", _best(draws(_key(id_col), every)))
-    scores = draws(_key(id_col), every)
-    at = rows.withColumn("quern_best", F.array_max(F.array(*scores[:-1]))).withColumn("quern_new", scores[-1])
-    shard = -F.col("quern_best.minus")
-    return at.withColumn("shard", shard).withColumn("grown_shard", F.when(F.col("quern_new") > F.col("quern_best"), F.lit(len(weights))).otherwise(shard)).drop("quern_best", "quern_new")
+        return F.struct((-best["minus"]).alias("shard"))
+    # Draws are an array that is evaluated once and passed on, so that no hash is made twice.
+    every = F.transform(F.array(F.array(*scores)), lambda x: F.struct(F.array_max(F.slice(x, 1, len(weights))).alias("old"), F.array_max(x).alias("new")))[0]
+    return F.transform(F.array(every), lambda x: F.struct((-x["old"]["minus"]).alias("shard"), (-x["new"]["minus"]).alias("grown_shard")))[0]
+
+
+def assign_shards(rows: DataFrame, id_col: str, weights: Sequence[float], grown_weight: float | None = None) -> DataFrame:
+    """Adds ``shard`` and, with ``grown_weight``, ``grown_shard``; columns of these names in ``rows`` are an error."""
+    names = ["shard"] if grown_weight is None else ["shard", "grown_shard"]
+    if clash := {c.lower() for c in rows.columns}.intersection(names):
+        raise ValueError(f"rename the columns {sorted(clash)} first")
+    held = with_payload(rows, shard_columns(_key(id_col), weights, grown_weight).alias("drawn"))
+    return held.select("payload.*", *[F.col(f"drawn.{n}") for n in names])
 
 
 def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", grown_weight: float | None = 1.0) -> DataFrame:
@@ -61,20 +70,18 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "do
     ``size`` is the UTF-8 bytes of the text (null: none) plus 16. Slots count from
     0 within a shard without gaps: rows are numbered within buckets of their key's
     hash, and each bucket starts where those before it end. The table of starts
-    has ``len(weights)`` x 4096 rows at most, whatever the input, and is made from
-    the id column alone; no task gets more than a bucket to sort. A null id is a
-    key of its own, rows that repeat an id share its shard. Other columns are
+    has ``len(weights)`` x 4096 rows at most, whatever the input, so it is fit to
+    broadcast. Shards are drawn once and written with ids, sizes and checksums. A
+    null id is a key of its own, rows that repeat an id share its shard and bucket
+    and are sorted there on disk. Texts may be of any length. Other columns are
     ignored, whatever their names; an empty table gives an empty result.
     """
-    bucket = F.substring(F.md5(_key(id_col)), 1, BUCKET_DIGITS)
-    placed = assign_shards(docs.select(F.col(id_col).alias("id")), "id", weights)
-    counts = placed.select("shard", F.substring(F.md5(_key("id")), 1, BUCKET_DIGITS).alias("bucket")).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.substring(F.md5(_key(id_col)), 1, BUCKET_DIGITS).alias("bucket"), shard_columns(_key(id_col), weights, grown_weight).alias("drawn"))
+    rows = materialise(rows.select("id", "size", "text_crc32", "bucket", "drawn.*"), "placed")
+    counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), bucket.alias("bucket"))
-    rows = assign_shards(rows, "id", weights, grown_weight)
     within = Window.partitionBy("shard", "bucket").orderBy("id", "size", "text_crc32")
     numbered = rows.withColumn("within", F.row_number().over(within) - 1).join(F.broadcast(starts), ["shard", "bucket"])
     return numbered.select(
@@ -88,11 +95,16 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], id_col: str = "do
     )
 
 
-def write_shards(docs: DataFrame, path: str, weights: Sequence[float], id_col: str = "doc_id", files_per_shard: int = 8) -> None:
-    """Write the rows of ``docs`` under ``path/shard=N``, each shard in ``files_per_shard`` files or fewer."""
-    placed = assign_shards(docs, id_col, weights)
-    salted = placed.withColumn("quern_salt", F.pmod(F.xxhash64(_key(id_col)), F.lit(files_per_shard)))
-    salted.repartition(len(weights) * files_per_shard, "shard", "quern_salt").drop("quern_salt").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, weights: Sequence[float], id_col: str = "doc_id", files_per_shard: int = 8, name: str = "shard") -> None:
+    """Write the rows of ``docs`` under ``path/<name>=N``, each shard in ``files_per_shard`` files or fewer.
+
+    ``name`` must not be a column of ``docs``. Null ids share a shard, an empty table writes no shard.
+    """
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {name}: choose another name")
+    salt = F.pmod(F.xxhash64(_key(id_col), *[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]), F.lit(files_per_shard))
+    placed = with_payload(docs, shard_columns(_key(id_col), weights)["shard"].alias("at"), salt.alias("salt"))
+    placed.repartition(len(weights) * files_per_shard, "at", "salt").select("payload.*", F.col("at").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def brute_shard(key: str, weights: Sequence[float]) -> int:
