@@ -83,6 +83,8 @@ def gather(blocks: DataFrame, carried: Sequence[str], replies: Sequence[DataFram
     for k, said in enumerate(replies, 1):
         rows = rows.unionByName(said.select("block", F.lit(k).alias("kind"), "slot", "n", *none(kinds), "main", "held"))
 
+    count, names = len(replies), list(carried)
+
     def gathered(table):
         import pyarrow as pa
 
@@ -94,6 +96,6 @@ def gather(blocks: DataFrame, carried: Sequence[str], replies: Sequence[DataFram
             own = own[np.argsort(slots[own])].tolist()
             return [np.concatenate([np.zeros(0, np.int64), *(unpacked(table.column(x)[i].as_py(), int(n[i])) for i in own)]) for x in ("main", "held")]
 
-        return pa.table(of({c: table.column(c)[at] for c in carried}, *(totals(k) for k in range(1, len(replies) + 1))))
+        return pa.table(of({c: table.column(c)[at] for c in names}, *(totals(k) for k in range(1, count + 1))))
 
     return rows.groupBy("block").applyInArrow(gathered, schema)
