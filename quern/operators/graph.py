@@ -88,6 +88,12 @@ def shortest_path(edges: DataFrame, start, goal, max_depth: int = 6) -> DataFram
     return found.select(F.posexplode("path").alias("step", "node"))
 
 
+def shortest_paths(edges: DataFrame, one, other, max_depth: int = 6) -> DataFrame:
+    """(direction, step, node): a shortest path from ``one`` to ``other``, ``forward``, and one back, ``reverse``; each where there is one."""
+    there, back = (shortest_path(edges, a, b, max_depth).select(F.lit(name).alias("direction"), "step", "node") for name, a, b in (("forward", one, other), ("reverse", other, one)))
+    return there.unionByName(back)
+
+
 def treatment_verdict(edges: DataFrame) -> DataFrame:
     """(id, incoming, positive_pct, verdict) for every cited node; a missing treatment counts as a reference."""
     kind = F.coalesce("treatment", F.lit("referred_to"))
@@ -110,20 +116,26 @@ def rising(edges: DataFrame, nodes: DataFrame, since: int) -> DataFrame:
     return nodes.select("id").join(cited, "id", "left").select("id", F.coalesce("citers", F.lit(0)).alias("citers"), F.coalesce("rising", F.lit(0.0)).alias("rising"))
 
 
-def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 20, settle_every: int = 5) -> DataFrame:
-    """(id, rank): power iteration with the rank of nodes without outgoing edges spread over all; ranks add up to 1."""
+def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
+    """(id, rank): power iteration with the rank of nodes without outgoing edges spread over all; ranks add up to 1.
+
+    Ends when the ranks change by no more than ``tolerance`` in all, or after
+    ``max_rounds``. Each round is written to the shared folder, so its plan has
+    the same size as the first one's; two sums reach the driver. A much cited
+    node's shares are added up before the shuffle.
+    """
     links = settle(edges.select("src", "dst").distinct(), "links")
     degree = links.groupBy("src").agg(F.count("*").alias("out"))
     ids = settle(nodes.select("id").distinct().join(degree, F.col("id") == F.col("src"), "left").select("id", "out"), "nodes")
     n = ids.count()
     ranks = ids.select("id", "out", F.lit(1.0 / max(1, n)).alias("rank"))
-    for step in range(rounds):
-        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"))
-        sent = links.join(ranks, links.src == ranks.id).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        ranks = ids.join(sent, F.col("id") == F.col("dst"), "left").join(F.broadcast(lost)).select("id", "out", new.alias("rank"))
-        if (step + 1) % settle_every == 0 or step + 1 == rounds:
-            ranks = settle(ranks, "ranks")
+    for _ in range(max_rounds if n else 0):
+        lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0))).first()[0]
+        sent = links.join(ranks.where("out IS NOT NULL").select("id", (F.col("rank") / F.col("out")).alias("share")), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum("share").alias("got"))
+        new = (1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost) / n)
+        ranks = settle(ranks.join(sent, F.col("id") == F.col("dst"), "left").select("id", "out", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
+        if ranks.agg(F.sum("change")).first()[0] <= tolerance:
+            break
     return ranks.select("id", "rank")
 
 

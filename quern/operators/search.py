@@ -21,16 +21,37 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(f"({WORD})"), 1)
 
 
+# English words that searches leave out.
+STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs
+themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until
+while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there
+when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
+#: The first step of the English Porter stemmer (plurals, -ed, -ing, -y) as (pattern, replacement), tried in this order on words that END fits.
+STEM_STEPS = [
+    (r"^(.*ss)es$", "1"), (r"^(..+i)(?:ed|es)$", "1"), (r"^(.ie)[ds]$", "1"), (r"^(.*[aeiouy].*[^su])s$", "1"), (r"^(.*[aeiouy][^aeiouy].*ee)d(?:ly)?$", "1"),
+    (r"^(.*[aeiouy].*(?:at|bl|iz))(?:edly|ingly|ed|ing)$", "1e"), *[(rf"^(.*[aeiouy].*{c}){c}(?:edly|ingly|ed|ing)$", "1") for c in "bdfgmnprt"], (r"^([^aeiouy]*[aeiouy][^aeiouywx])(?:edly|ingly|ed|ing)$", "1e"),
+    (r"^(.*[aeiouy].*[^e])(?:edly|ed)$", "1"), (r"^(.*[aiouy])(?:edly|ed)$", "1"), (r"^(.*[aeiouy].*)(?:ingly|ing)$", "1"), (r"^(.+[^aeiouy])y$", "1i"),
+]
+STEM_END = r"(?:s|ed|ing|ly|y)$"
+
+
 def stem(token: Column) -> Column:
-    """A light English stemmer: plural and participle endings go from words of five letters or more."""
-    return F.when(F.length(token) >= 5, F.regexp_replace(token, r"(?:sses$|ies$|ing$|ed$|es$|s$)", "")).otherwise(token)
+    """An English word without inflection; words without an ending that could be one are left at once."""
+    return F.when(token.rlike(STEM_END), reduce(lambda t, s: F.regexp_replace(t, s[0], "$" + s[1]), STEM_STEPS, token)).otherwise(token)
+
+
+def lexemes(text: Column | str, english: Column | bool = True) -> Column:
+    """Words to search by: of English texts stems without stop words, of others the words as they are."""
+    words = tokens(text)
+    plain = F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), stem)
+    return plain if english is True else words if english is False else F.when(english, plain).otherwise(words)
 
 
-def postings(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
-    """(key, term, weight): summed weights of a term's occurrences; fields maps columns to the classes A to D."""
+def postings(docs: DataFrame, key: str, fields: Mapping[str, str], english: Column | bool = False) -> DataFrame:
+    """(key, term, weight): summed weights of a term's occurrences; fields maps columns to the classes A to D. ``english``: see ``lexemes``."""
 
     def weighed(column: str, weight: float) -> Column:
-        return F.transform(tokens(F.coalesce(F.col(column), F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+        return F.transform(lexemes(F.coalesce(F.col(column), F.lit("")), english), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
 
     parts = F.concat(*[weighed(c, WEIGHTS[k]) for c, k in fields.items()])
     rows = docs.select(key, F.explode(parts).alias("p")).select(key, "p.term", "p.weight")
@@ -38,6 +59,39 @@ def postings(docs: DataFrame, key: str, fields: Mapping[str, str]) -> DataFrame:
     return rows.groupBy(key, "term").agg((F.sum(F.round(F.col("weight") * 10).cast("long")) / 10).alias("weight"))
 
 
+def query_lexemes(spark, query: str, english: bool = True) -> list[str]:
+    """The lexemes of a search line."""
+    return spark.range(1).select(F.array_distinct(lexemes(F.lit(query), english)).alias("w")).first().w
+
+
+def section_search(sections: DataFrame, key: Sequence[str], text: str, terms: Sequence[str], where: Column | None = None, limit: int = 20, english: Column | bool = True) -> DataFrame:
+    """(*key, score, snippet): sections with all terms, by how often they have them; the snippet is the first 500 characters. The filter runs first."""
+    rows = sections if where is None else sections.where(where)
+    words = lexemes(F.coalesce(F.col(text), F.lit("")), english)
+    counted = rows.select(*key, F.substring(text, 1, 500).alias("snippet"), F.array_compact(F.transform(F.filter(words, lambda w: w.isin(*terms)), lambda w: w)).alias("hits"))
+    fit = counted.where(F.size(F.array_distinct("hits")) == len(set(terms))) if terms else counted.limit(0)
+    return fit.select(*key, F.size("hits").alias("score"), "snippet").orderBy(F.desc("score"), *key).limit(limit)
+
+
+def merge_by_title(lists: Sequence[DataFrame], title: str) -> DataFrame:
+    """Rows of several lists of hits, one for each title, that of the first list which has it; ``list`` counts the lists from 0."""
+    every = reduce(DataFrame.unionByName, [df.withColumn("list", F.lit(n)) for n, df in enumerate(lists)])
+    rest = [c for c in every.columns if c != title]
+    return every.groupBy(F.lower(F.trim(title)).alias("of")).agg(F.min_by(F.struct(title, *rest), F.struct("list", title, *rest)).alias("r")).select("r.*")
+
+
+def boost_kinds(hits: DataFrame, kind: str, kinds: Sequence[str] = ("proposition", "ratio", "headnote"), factor: float = 1.5) -> DataFrame:
+    """Scores of hits on some kinds of vectors times ``factor``."""
+    return hits.withColumn("score", F.when(F.col(kind).isin(*kinds), F.col("score") * factor).otherwise(F.col("score")))
+
+
+def best_snippet(words: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """(key, snippet): that of the word search, else the title, else the chunk of the vector search."""
+    filled = lambda c: F.when(F.trim(c) != "", F.col(c))
+    both = words.select(key, "snippet").join(vectors.select(key, "title", "chunk"), key, "full")
+    return both.select(key, F.coalesce(filled("snippet"), filled("title"), filled("chunk"), F.lit("")).alias("snippet"))
+
+
 def parse_query(query: str) -> dict[str, list]:
     """A search line as {must: [[words that may stand for each other]], not: [words], phrases: [texts]}."""
     phrases = [p for p in re.findall(r'"([^"]+)"', query) if p.strip()]
@@ -79,31 +133,24 @@ def rank_terms(posted: DataFrame, key: str, terms: Sequence[str], limit: int = 2
 def cover_density(docs: DataFrame, key: str, text: str, terms: Sequence[str]) -> DataFrame:
     """(key, score): over the shortest stretches that hold all terms, the sum of 1 / words of the stretch.
 
-    A ranking of our own that rewards closeness; it makes no claim to equal any database's.
+    A ranking of our own that rewards closeness; it makes no claim to equal any
+    database's. One fold over the places of the terms: each hit ends the stretch
+    that begins at the earliest of the terms' last places, and counts if no shorter one began there.
     """
-    wanted = [t.lower() for t in terms]
-    hits = docs.where(F.size(F.array_intersect(tokens(text), F.array(*[F.lit(t) for t in wanted]))) == len(set(wanted))).select(key, tokens(text).alias("words"))
-
-    def scored(source):
-        import pyarrow as pa
-
-        for batch in source:
-            out = []
-            for words in batch.column(1).to_pylist():
-                last: dict[str, int] = {}
-                ends: list[tuple[int, int]] = []
-                for at, word in enumerate(words):
-                    if word in wanted:
-                        last[word] = at
-                        if len(last) == len(set(wanted)):
-                            start = min(last.values())
-                            if ends and ends[-1][0] == start:
-                                continue
-                            ends.append((start, at))
-                out.append(sum(1.0 / (b - a + 1) for a, b in ends))
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.float64())], names=["key", "score"])
-
-    return hits.mapInArrow(scored, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+    listed = F.array(*map(F.lit, wanted))
+    words = tokens(text)
+    places = F.filter(F.transform(words, lambda w, i: F.struct(F.array_position(listed, w).cast("int").alias("term"), i.alias("at"))), lambda x: x["term"] > 0)
+    hits = docs.where(F.size(F.array_intersect(words, listed)) == len(wanted)).select(key, places.alias("places"))
+    nothing = F.struct(F.array(*[F.lit(-1)] * len(wanted)).alias("last"), F.lit(-1).alias("began"), F.lit(0.0).cast("double").alias("score"))
+
+    def step(a: Column, x: Column) -> Column:
+        last = F.transform(a["last"], lambda at, i: F.when(i == x["term"] - 1, x["at"]).otherwise(at))
+        began = F.array_min(last)
+        counts = (began >= 0) & (began != a["began"])
+        return F.struct(last.alias("last"), F.when(counts, began).otherwise(a["began"]).alias("began"), (a["score"] + F.when(counts, F.lit(1.0) / (x["at"] - began + 1)).otherwise(0.0)).alias("score"))
+
+    return hits.select(key, F.round(F.aggregate("places", nothing, step, lambda a: a["score"]), 9).alias("score"))
 
 
 def headline(text: Column | str, terms: Sequence[str], before: int = 20, after: int = 30) -> Column:
@@ -189,10 +236,10 @@ def roll_up(hits: DataFrame, group: str, key: str) -> DataFrame:
 # Fusion.
 
 
-def ranked(hits: DataFrame, name: str, key: str) -> DataFrame:
-    """(key, list, rank) of one list of hits, best score first."""
+def ranked(hits: DataFrame, name: str, key: str, most: int = 1000) -> DataFrame:
+    """(key, list, rank) of the ``most`` best hits of one list, which is what its one window can get."""
     w = Window.partitionBy("list").orderBy(F.desc("score"), key)
-    return hits.select(key, F.lit(name).alias("list"), "score").withColumn("rank", F.row_number().over(w)).select(key, "list", "rank")
+    return hits.orderBy(F.desc("score"), key).limit(most).select(key, F.lit(name).alias("list"), "score").withColumn("rank", F.row_number().over(w)).select(key, "list", "rank")
 
 
 def fuse(lists: Sequence[DataFrame], key: str, k: int = 60, weights: Sequence[float] | None = None) -> DataFrame:
@@ -222,9 +269,9 @@ def cache_hit(cached: DataFrame, query: Sequence[float], least: float = 0.92, ke
 
 
 def verify_holding(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs with ``score`` and ``verdict``: accurate, partial under .75, misrepresented under .5."""
-    score = F.round(cosine(F.col(a), F.col(b)), 6)
-    return pairs.withColumn("score", score).withColumn("verdict", F.when(score < 0.5, "misrepresented").when(score < 0.75, "partial").otherwise("accurate"))
+    """pairs with ``score`` and ``verdict``: accurate, partially_accurate under .75, misrepresented under .5. A missing or zero vector scores 0."""
+    score = F.round(F.coalesce(cosine(F.col(a), F.col(b)), F.lit(0.0)), 6)
+    return pairs.withColumn("score", score).withColumn("verdict", F.when(score < 0.5, "misrepresented").when(score < 0.75, "partially_accurate").otherwise("accurate"))
 
 
 def expand_query(query: str, replaced: Mapping[str, str], act: str) -> tuple[str, list[str]]:

@@ -54,7 +54,7 @@ def semantic_cache_hit(spark, sf_dir):
     return se.cache_hit(vectors, asked)
 
 
-@query(f"SELECT a.vec_id, round({COS}, 6) AS score, CASE WHEN round({COS}, 6) < 0.5 THEN 'misrepresented' WHEN round({COS}, 6) < 0.75 THEN 'partial' ELSE 'accurate' END AS verdict FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+@query(f"SELECT a.vec_id, round({COS}, 6) AS score, CASE WHEN round({COS}, 6) < 0.5 THEN 'misrepresented' WHEN round({COS}, 6) < 0.75 THEN 'partially_accurate' ELSE 'accurate' END AS verdict FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def holding_verification(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     other = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
@@ -77,11 +77,88 @@ def fts_phrase(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(se.matches("text", 'license OR rights -apache "all rights reserved"')).select("doc_id")
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+hits AS (SELECT doc_id, i, w[i] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i] IN ('all', 'rights', 'reserved')),
+last AS (SELECT doc_id, i, max(CASE WHEN term = 'all' THEN i END) OVER o AS a, max(CASE WHEN term = 'rights' THEN i END) OVER o AS b, max(CASE WHEN term = 'reserved' THEN i END) OVER o AS c FROM hits WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ends AS (SELECT doc_id, least(a, b, c) AS began, min(i) AS i FROM last WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL GROUP BY ALL)
+SELECT doc_id, round(sum(1.0::DOUBLE / (i - began + 1)), 9) AS score FROM ends GROUP BY doc_id""")
 def fts_cover_density(spark, sf_dir):
     return se.cover_density(table(spark, sf_dir, "documents"), "doc_id", "text", ["all", "rights", "reserved"])
 
 
+def stem_sql(words: str) -> str:
+    """A list of words without English inflection."""
+    chain = "x"
+    for pattern, said in se.STEM_STEPS:
+        chain = f"regexp_replace({chain}, '{pattern}', '\\{said}')"
+    return f"list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '{se.STEM_END}') THEN {chain} ELSE x END)"
+
+
+WORDS_SQL = r"regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}]+')"
+STOP_SQL = ", ".join(f"'{w}'" for w in se.STOP_WORDS)
+
+
+def lexemes_sql(text: str, english: str = "true") -> str:
+    words = WORDS_SQL.format(text)
+    return f"CASE WHEN {english} THEN {stem_sql(f'list_filter({words}, lambda x: x NOT IN ({STOP_SQL}))')} ELSE {words} END"
+
+
+FIELDS = {"source": "A", "lang": "B", "head": "C", "text": "D"}
+LINE = "licensed rights reserving the warranties"
+
+
+def _fields(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("head", F.substring("text", 1, 100))
+
+
+@query(f"""WITH d AS (SELECT *, substr(text, 1, 100) AS head FROM documents),
+terms AS ({' UNION ALL '.join(f"SELECT doc_id, unnest({lexemes_sql(c, 'lang = ' + chr(39) + 'en' + chr(39))}) AS term, {round(se.WEIGHTS[k] * 10)} AS w FROM d" for c, k in FIELDS.items())}),
+asked AS (SELECT unnest({lexemes_sql(f"'{LINE}'")}) AS term)
+SELECT doc_id, sum(w) / 10 AS score FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 50""")
+def fts_fields_stemmed(spark, sf_dir):
+    posted = se.postings(_fields(spark, sf_dir), "doc_id", FIELDS, F.col("lang") == "en")
+    return se.rank_terms(posted, "doc_id", se.query_lexemes(spark, LINE), 50)
+
+
+@query(f"SELECT doc_id, array_to_string({lexemes_sql('text')}, ' ') AS lexemes FROM documents WHERE lang = 'en'")
+def text_lexemes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(se.lexemes("text"), " ").alias("lexemes"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest(range(len(p)))::INT AS section, unnest(p) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en')),
+w AS (SELECT *, list_filter({lexemes_sql('content')}, lambda x: x IN ('right', 'reserv')) AS hits FROM s)
+SELECT doc_id, section, len(hits)::INT AS score, substr(content, 1, 500) AS snippet FROM w WHERE len(list_distinct(hits)) = 2 ORDER BY score DESC, doc_id, section LIMIT 20""")
+def section_search(spark, sf_dir):
+    sections = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("section", "content"))
+    return se.section_search(sections, ["doc_id", "section"], "content", se.query_lexemes(spark, "rights reserved"), F.col("lang") == "en")
+
+
+@query(f"""WITH fts AS (SELECT p_name AS title, p_partkey AS id, 0 AS list FROM part WHERE list_has_all({lexemes_sql('p_name')}, ['blue']) ORDER BY p_partkey LIMIT 10),
+near AS (SELECT p_name AS title, p_partkey AS id, 1 AS list FROM part WHERE p_size = 7 ORDER BY p_retailprice DESC, p_partkey LIMIT 10)
+SELECT title, id, list FROM (SELECT * FROM fts UNION ALL SELECT * FROM near) QUALIFY row_number() OVER (PARTITION BY lower(trim(title)) ORDER BY list, title, id) = 1""")
+def statute_search(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_partkey").alias("id"), "p_size", "p_retailprice")
+    words = part.where(F.array_contains(se.lexemes("title"), "blue")).orderBy("id").limit(10).select("title", "id")
+    near = part.where("p_size = 7").orderBy(F.desc("p_retailprice"), "id").limit(10).select("title", "id")
+    return se.merge_by_title([words, near], "title")
+
+
+@query(f"SELECT a.vec_id, CASE a.label WHEN 1 THEN 'ratio' WHEN 2 THEN 'headnote' ELSE 'chunk' END AS kind, round(round({COS}, 6) * CASE WHEN a.label IN (1, 2) THEN 1.5 ELSE 1 END, 9) AS score FROM embeddings a, embeddings b WHERE b.vec_id = {QUERY_ID} ORDER BY round({COS}, 6) DESC, a.vec_id LIMIT 100")
+def proposition_boost(spark, sf_dir):
+    vectors, asked = _vectors(spark, sf_dir)
+    hits = se.nearest(vectors, asked, 100).select("vec_id", F.when(F.col("label") == 1, "ratio").when(F.col("label") == 2, "headnote").otherwise("chunk").alias("kind"), "score")
+    return se.boost_kinds(hits, "kind").withColumn("score", F.round("score", 9))
+
+
+@query("""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END AS title, substr(text, 1, 50) AS chunk FROM documents WHERE doc_id % 3 <> 1), w AS (SELECT doc_id, substr(text, 1, 20) AS snippet FROM documents WHERE doc_id % 3 <> 2)
+SELECT doc_id, CASE WHEN trim(coalesce(snippet, '')) <> '' THEN snippet WHEN trim(coalesce(title, '')) <> '' THEN title WHEN trim(coalesce(chunk, '')) <> '' THEN chunk ELSE '' END AS snippet FROM w FULL JOIN v USING (doc_id)""")
+def snippet_precedence(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    words = docs.where("doc_id % 3 <> 2").select("doc_id", F.substring("text", 1, 20).alias("snippet"))
+    vectors = docs.where("doc_id % 3 <> 1").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("").alias("title"), F.substring("text", 1, 50).alias("chunk"))
+    return se.best_snippet(words, vectors, "doc_id")
+
+
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\bthe\b') THEN regexp_replace(regexp_extract(text, '(?is)((?:\S+\s+){0,3}\b(?:the)\b(?:\s+\S+){0,4})', 1), '(?i)\b(the)\b', '**\1**', 'g') ELSE substr(text, 1, 500) END AS headline FROM documents""")
 def fts_headline(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", se.headline("text", ["the"], 3, 4).alias("headline"))
@@ -172,11 +249,33 @@ def authorities(spark, sf_dir):
     return gr.authorities(cites(spark, sf_dir), 1)
 
 
-@query()
+def _paths_sql(name: str, start: str, goal: str) -> str:
+    """Best paths by exact length: at a node's least depth that is its first shortest path."""
+    return f"""{name} AS (SELECT {start} AS node, [{start}] AS path, 0 AS depth
+  UNION ALL SELECT dst, min(list_append(path, dst)), depth + 1 FROM {name} JOIN links ON src = node WHERE depth < 10 GROUP BY dst, depth),
+{name}_best AS (SELECT path FROM {name} WHERE node = {goal} ORDER BY depth LIMIT 1)"""
+
+
+LINKS_SQL = "links AS (SELECT DISTINCT src, dst FROM cites)"
+FIRST, LAST = "(SELECT min(src) FROM cites)", "(SELECT max(dst) FROM cites)"
+
+
+def _ends(edges):
+    ends = edges.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
+    return ends.a, ends.b
+
+
+@query(f"WITH RECURSIVE {CITES_SQL}, {LINKS_SQL}, {_paths_sql('there', FIRST, LAST)} SELECT (unnest(range(len(path))))::INT AS step, unnest(path) AS node FROM there_best")
 def shortest_path(spark, sf_dir):
     edges = cites(spark, sf_dir)
-    ends = edges.agg(F.min("src").alias("a"), F.max("dst").alias("b")).first()
-    return gr.shortest_path(edges, ends.a, ends.b, 10)
+    return gr.shortest_path(edges, *_ends(edges), 10)
+
+
+@query(f"""WITH RECURSIVE {CITES_SQL}, {LINKS_SQL}, {_paths_sql('there', FIRST, LAST)}, {_paths_sql('back', LAST, FIRST)}
+SELECT 'forward' AS direction, (unnest(range(len(path))))::INT AS step, unnest(path) AS node FROM there_best UNION ALL SELECT 'reverse', (unnest(range(len(path))))::INT, unnest(path) FROM back_best""")
+def shortest_paths(spark, sf_dir):
+    edges = cites(spark, sf_dir)
+    return gr.shortest_paths(edges, *_ends(edges), 10)
 
 
 @query(f"WITH {CITES_SQL}, {NODES_SQL} SELECT id, count(dst) AS cited_by FROM nodes LEFT JOIN cites ON dst = id GROUP BY id")
@@ -201,14 +300,18 @@ def treatment_shares(spark, sf_dir):
     return gr.treatment_shares(cites(spark, sf_dir), nodes(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {CITES_SQL}, {NODES_SQL}, links AS (SELECT DISTINCT src, dst FROM cites), deg AS (SELECT src, count(*) AS out FROM links GROUP BY src), n AS (SELECT count(*) AS n FROM nodes),
-pr AS (SELECT id, 0 AS step, 1.0::DOUBLE / (SELECT n FROM n) AS rank FROM nodes
-  UNION ALL SELECT id, step + 1, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) FROM (
-    SELECT nodes.id, s.step, n.n, g.got, s.lost FROM nodes CROSS JOIN n CROSS JOIN (SELECT max(step) AS step, coalesce(sum(rank) FILTER (id NOT IN (SELECT src FROM deg)), 0) AS lost FROM pr) s
-    LEFT JOIN (SELECT dst, sum(rank / out) AS got FROM pr JOIN links ON links.src = pr.id JOIN deg ON deg.src = links.src GROUP BY dst) g ON g.dst = nodes.id WHERE s.step < 5))
-SELECT id, round(rank, 8) AS rank FROM pr WHERE step = 5""")
+def _rank_sql(links: str, nodes: str, tolerance: float, rounds: int) -> str:
+    return f"""deg AS (SELECT src, count(*) AS out FROM {links} GROUP BY src), n AS (SELECT count(*) AS n FROM {nodes}),
+pr AS (SELECT id, 0 AS step, 1.0::DOUBLE / (SELECT n FROM n) AS rank, 1.0::DOUBLE AS change FROM {nodes}
+  UNION ALL SELECT id, step + 1, new, abs(new - rank) FROM (
+    SELECT p.id, s.step, p.rank, 0.15 / n + 0.85 * (coalesce(got, 0) + lost / n) AS new
+    FROM pr p CROSS JOIN n CROSS JOIN (SELECT max(step) AS step, sum(change) AS change, coalesce(sum(rank) FILTER (id NOT IN (SELECT src FROM deg)), 0) AS lost FROM pr) s
+    LEFT JOIN (SELECT dst, sum(rank / out) AS got FROM pr JOIN {links} l ON l.src = pr.id JOIN deg ON deg.src = l.src GROUP BY dst) g ON g.dst = p.id WHERE s.step < {rounds} AND s.change > {tolerance}))"""
+
+
+@query(f"WITH RECURSIVE {CITES_SQL}, {NODES_SQL}, {LINKS_SQL}, {_rank_sql('links', 'nodes', 1e-6, 200)} SELECT id, round(rank, 8) AS rank FROM pr WHERE step = (SELECT max(step) FROM pr)")
 def pagerank(spark, sf_dir):
-    return gr.page_rank(cites(spark, sf_dir), nodes(spark, sf_dir), rounds=5).select("id", F.round("rank", 8).alias("rank"))
+    return gr.page_rank(cites(spark, sf_dir), nodes(spark, sf_dir)).select("id", F.round("rank", 8).alias("rank"))
 
 
 @query(f"""WITH RECURSIVE {CITES_SQL}, {NODES_SQL}, {BOTH_SQL}, walk AS (SELECT id, id AS label FROM nodes UNION SELECT dst, label FROM walk JOIN both_ways ON src = id WHERE label < dst)

@@ -68,41 +68,102 @@ def head_and_tail(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.sha2(tx.head_and_tail("text", 300, 200, "..."), 256).alias("cut_hash"))
 
 
-@query(r"""WITH t AS (SELECT p_partkey, p_name || ' v. ' || p_brand || '.' AS title FROM part) SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\bv(?:s|ersus)?\.?\s', 'v ', 'g'), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM t""")
+@query(r"""WITH t AS (SELECT p_partkey, p_name || CASE p_size % 3 WHEN 0 THEN ' v. ' WHEN 1 THEN '_VS ' ELSE ' versus ' END || p_type || '.' AS title FROM part) SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(title), '\bv(?:s|ersus)?\b\.?', ' v ', 'g'), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g')) AS key FROM t""")
 def title_key(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", tx.title_key(F.concat_ws(" v. ", "p_name", F.concat("p_brand", F.lit(".")))).alias("key"))
+    sign = F.when(F.col("p_size") % 3 == 0, " v. ").when(F.col("p_size") % 3 == 1, "_VS ").otherwise(" versus ")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.title_key(F.concat("p_name", sign, "p_type", F.lit("."))).alias("key"))
 
 
-@query(f"""SELECT o_orderkey, '(' || year(o_orderdate) || ') ' || o_custkey % 9 || ' SCC ' || o_orderkey || '|(' || year(o_orderdate) || ') ' || o_custkey || ' ITR ' || o_orderkey || '|AIR ' || year(o_orderdate) || ' SC ' || o_custkey AS cited FROM orders""")
+REPORTERS = ["({y}) {n} SCC {k}", "[{y}] {n}  SCC {k}", "A.I.R. {y} SC {k}", "{y} Cr.L.J. {k}", "{y}:INSC:{k}", "MANU/SC/{k}/{y}", "[{y}] {n} SCR {k}", "({y}) {n} SCALE {k}", "{y} SCC On Line Del {k}", "[{y}] {n} ITR {k}", "{y} LiveLaw (SC) {k}", "({y}) {n} Xyz {k}"]
+
+
+def _cited_text():
+    y, n, k = F.year("o_orderdate").cast("string"), (F.col("o_custkey") % 9 + 1).cast("string"), F.col("o_orderkey").cast("string")
+
+    def filled(form: str):
+        out = F.lit(form)
+        for name, value in (("{y}", y), ("{n}", n), ("{k}", k)):
+            out = F.replace(out, F.lit(name), value)
+        return out
+
+    nth = lambda shift: F.element_at(F.array(*map(filled, REPORTERS)), ((F.col("o_orderkey") * 7 + shift) % len(REPORTERS) + 1).cast("int"))
+    return F.concat(F.lit("See "), nth(0), F.lit(", relied on in "), nth(5), F.lit("; also "), nth(0), F.lit("."))
+
+
+def _cited_sql() -> str:
+    forms = "[" + ", ".join(f"'{f}'" for f in REPORTERS) + "]"
+    nth = lambda shift: f"replace(replace(replace({forms}[(o_orderkey * 7 + {shift}) % {len(REPORTERS)} + 1], '{{y}}', year(o_orderdate)::VARCHAR), '{{n}}', (o_custkey % 9 + 1)::VARCHAR), '{{k}}', o_orderkey::VARCHAR)"
+    return f"'See ' || {nth(0)} || ', relied on in ' || {nth(5)} || '; also ' || {nth(0)} || '.'"
+
+
+#: The normalisation of citations, as SQL over x.
+NORMAL_SQL = r"""list_transform(list_transform(list_transform(list_transform({}, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))),
+  lambda x: CASE WHEN regexp_matches(x, '^\d{{4}} ?:') THEN regexp_replace(x, ' ?: ?', ':', 'g') WHEN regexp_matches(x, '^MANU ?/') THEN regexp_replace(x, ' ?/ ?', '/', 'g') ELSE x END),
+  lambda x: regexp_replace(array_to_string(list_transform(string_split(x, ' '), lambda w: CASE replace(upper(w), '.', '') WHEN 'AIR' THEN 'AIR' WHEN 'CRLJ' THEN 'CrLJ' WHEN 'VS' THEN 'v.' WHEN 'VERSUS' THEN 'v.' ELSE w END), ' '), 'SCC [Oo]n ?[Ll]ine', 'SCC OnLine', 'g')),
+  lambda x: regexp_replace(regexp_replace(x, '^\[(\d{{4}})\] (\d+) (SCC|ITR|taxmann\.com) ', '(\1) \2 \3 '), '(\d) ?\.$', '\1'))"""
+_ALTERNATIVES = "|".join(f"(?:{p})" for _, p, _ in tx.CITATIONS)
+
+
+@query(f"""WITH t AS (SELECT o_orderkey, {_cited_sql()} AS text FROM orders), m AS (SELECT o_orderkey, regexp_extract_all(text, '(^|[^\\w:])({_ALTERNATIVES})', 2) AS marks FROM t),
+n AS (SELECT o_orderkey, {NORMAL_SQL.format('marks')} AS l FROM m)
+SELECT o_orderkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS cited FROM n""")
 def citation_extract(spark, sf_dir):
-    year, key, cust = F.year("o_orderdate").cast("string"), F.col("o_orderkey").cast("string"), F.col("o_custkey")
-    text = F.concat(F.lit("See ("), year, F.lit(") "), (cust % 9).cast("string"), F.lit(" SCC "), key, F.lit(", ["), year, F.lit("] "), cust.cast("string"), F.lit(" ITR "), key, F.lit(" and AIR "), year, F.lit(" SC "), cust.cast("string"), F.lit("."))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(tx.extract_citations(text), lambda x: x["citation"]), "|").alias("cited"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(tx.extract_citations(_cited_text()), lambda x: x["citation"]), "|").alias("cited"))
 
 
-@query("""SELECT p_partkey, p_size || ',' || array_to_string([x FOR x IN range(p_size + 1, p_size + 4)], ',') || ',9A' AS sections FROM part""")
+@query(r"""WITH t AS (SELECT p_partkey, unnest(range(len(m))) AS i, unnest(m) AS x FROM (SELECT p_partkey, regexp_extract_all(p_size || CASE p_partkey % 4 WHEN 0 THEN ', ' WHEN 1 THEN ' to ' WHEN 2 THEN '-' ELSE ' & ' END || (p_size + p_partkey % 30) || ' and ' || p_size || '-A, 9A(1) of ' || p_type, '\d+(?:-?[A-Z]{1,2}\b)?(?:\(\w+\))*|[-–]|\bto\b') AS m FROM part)),
+k AS (SELECT *, lag(x) OVER w IN ('-', '–', 'to') AS joined, lag(x, 2) OVER w AS low, lead(x) OVER w IN ('-', '–', 'to') AS opens, lead(x, 2) OVER w AS high FROM t WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
+o AS (SELECT p_partkey, i, CASE WHEN x IN ('-', '–', 'to') THEN [] WHEN coalesce(joined, false) AND try_cast(x AS INT) > try_cast(low AS INT) AND try_cast(x AS INT) - try_cast(low AS INT) <= 20 THEN list_transform(range(try_cast(low AS INT) + 1, try_cast(x AS INT) + 1), lambda v: v::VARCHAR)
+  WHEN coalesce(joined, false) THEN [low || '-' || x] WHEN coalesce(opens, false) AND high IS NOT NULL AND NOT coalesce(try_cast(high AS INT) > try_cast(x AS INT) AND try_cast(high AS INT) - try_cast(x AS INT) <= 20, false) THEN [] ELSE [x] END AS l FROM k)
+SELECT p_partkey, array_to_string(flatten(list(l ORDER BY i)), ',') AS sections FROM o GROUP BY p_partkey""")
 def section_lists(spark, sf_dir):
-    size = F.col("p_size")
-    text = F.concat(F.lit("under Sections "), size.cast("string"), F.lit(", "), (size + 1).cast("string"), F.lit("-"), (size + 3).cast("string"), F.lit(" and 9A thereof"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.extract_sections(text), ",").alias("sections"))
+    size, kind = F.col("p_size"), F.col("p_partkey") % 4
+    sign = F.when(kind == 0, ", ").when(kind == 1, " to ").when(kind == 2, "-").otherwise(" & ")
+    text = F.concat(size.cast("string"), sign, (size + F.col("p_partkey") % 30).cast("string"), F.lit(" and "), size.cast("string"), F.lit("-A, 9A(1) of "), "p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.expand_sections(text), ",").alias("sections"))
 
 
-@query("SELECT s_suppkey, s_name || '|B.' || s_suppkey AS judges, s_name AS counsel FROM supplier")
+@query(r"""WITH b AS (SELECT c_custkey, 'Hon''ble Mr. Justice ' || c_name || '; Dr. B.' || c_nationkey || ', J.; MR. ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' ; Shri ' || c_name ELSE '' END AS bench, CASE c_custkey % 3 WHEN 0 THEN 'Mr. ' WHEN 1 THEN 'Smt. Dr. ' ELSE '' END || c_name || CASE c_custkey % 4 WHEN 0 THEN ', Sr. Adv.' WHEN 1 THEN ' Advocate' WHEN 2 THEN ', AOR' ELSE '' END AS counsel FROM customer),
+j AS (SELECT c_custkey, counsel, list_filter(list_transform(string_split(bench, ';'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(trim(x), '(?i)^(?:(?:hon''?ble|the|mr|mrs|ms|dr|justice|shri|smt|chief)\.?\s+)+', ''), '(?i),?\s*\b(?:JJ?|CJI?)\.?\s*$', ''), '^[.,\s]+|[.,\s]+$', '', 'g'))), lambda x: x <> '') AS l FROM b)
+SELECT c_custkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS judges, regexp_replace(regexp_replace(counsel, '^(?:(?:Mr|Smt|Dr)\. )+', ''), '(?:,? (?:Sr\.|Adv\.|Advocate|AOR))+$', '') AS counsel FROM j""")
 def name_parsing(spark, sf_dir):
-    name = F.col("s_name")
-    bench = F.concat(F.lit("Hon'ble Mr. Justice "), name, F.lit("; Dr. B."), F.col("s_suppkey").cast("string"), F.lit(", J.; MR. "), name)
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(tx.parse_judges(bench), "|").alias("judges"), tx.normalize_counsel(F.concat(F.lit("Mr. "), name, F.lit(", Sr. Adv."))).alias("counsel"))
+    name, key = F.col("c_name"), F.col("c_custkey")
+    bench = F.concat(F.lit("Hon'ble Mr. Justice "), name, F.lit("; Dr. B."), F.col("c_nationkey").cast("string"), F.lit(", J.; MR. "), "c_mktsegment", F.when(key % 2 == 0, F.concat(F.lit(" ; Shri "), name)).otherwise(""))
+    before = F.when(key % 3 == 0, "Mr. ").when(key % 3 == 1, "Smt. Dr. ").otherwise("")
+    after = F.when(key % 4 == 0, ", Sr. Adv.").when(key % 4 == 1, " Advocate").when(key % 4 == 2, ", AOR").otherwise("")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(tx.parse_judges(bench), "|").alias("judges"), tx.normalize_counsel(F.concat(before, name, after)).alias("counsel"))
+
+
+TREATMENT_TEXT = "text || ' was ' || ['followed', 'not followed and then applied', 'stood overruled', 'upheld', 'doubted', 'explained'][doc_id % 6 + 1] || ' in ' || source"
+_REST = f"regexp_replace(text, '{dict((n, p) for n, p, _ in tx.TREATMENTS)['not_followed']}', ' ', 'g')"
 
 
-VERB = {"click": "was not followed and then applied", "purchase": "stood overruled", "view": "was upheld"}
+def _treated():
+    said = F.element_at(F.array(*map(F.lit, ["followed", "not followed and then applied", "stood overruled", "upheld", "doubted", "explained"])), (F.col("doc_id") % 6 + 1).cast("int"))
+    return F.concat("text", F.lit(" was "), said, F.lit(" in "), "source")
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'not_followed,followed' WHEN 'purchase' THEN 'overruled' WHEN 'view' THEN 'affirmed' ELSE '' END AS treatments, event_type = 'purchase' AS overruling FROM events""")
+@query(f"""WITH t AS (SELECT doc_id, {TREATMENT_TEXT} AS text FROM documents)
+SELECT doc_id, array_to_string([x FOR x IN [{", ".join(f"CASE WHEN regexp_matches({_REST if name == 'followed' else 'text'}, '{pattern}') THEN '{name}:' || len(regexp_extract_all({_REST if name == 'followed' else 'text'}, '{pattern}')) END" for name, pattern, _ in tx.TREATMENTS)}] IF x IS NOT NULL], ',') AS treatments, regexp_matches(text, '{tx.TREATMENTS[0][1]}') AS overruling FROM t""")
 def treatment_detection(spark, sf_dir):
-    said = F.lit("was cited")
-    for kind, words in VERB.items():
-        said = F.when(F.col("event_type") == kind, words).otherwise(said)
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(tx.treatments(said), lambda x: x["treatment"]), ",").alias("treatments"), tx.is_overruling(said).alias("overruling"))
+    found = F.transform(tx.treatments(_treated()), lambda x: F.concat_ws(":", x["treatment"], x["n"].cast("string")))
+    return docs(spark, sf_dir).select("doc_id", F.array_join(found, ",").alias("treatments"), tx.is_overruling(_treated()).alias("overruling"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TREATMENT_TEXT} AS text, ' in ' || source AS needle FROM documents),
+near AS (SELECT doc_id, instr(text, needle) AS pos, substr(text, greatest(1, instr(text, needle) - 60), least(instr(text, needle) - 1, 60) + length(needle) + 60) AS text FROM t),
+k AS (SELECT doc_id, pos, [{", ".join(f"CASE WHEN regexp_matches({_REST if name == 'followed' else 'text'}, '{pattern}') THEN {sure} ELSE 0.0 END" for name, pattern, sure in tx.TREATMENTS)}] AS s FROM near)
+SELECT doc_id, CASE WHEN pos > 0 AND list_max(s) > 0 THEN [{", ".join(f"'{n}'" for n, _, _ in tx.TREATMENTS)}][list_position(s, list_max(s))] END AS treatment FROM k""")
+def treatment_in_window(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tx.best_treatment(_treated(), F.concat(F.lit(" in "), "source"), 60)["treatment"].alias("treatment"))
+
+
+@query(r"""WITH q AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS x, trim(regexp_replace(lower(substr(text, 1, 300)), '\s+', ' ', 'g')) AS p, trim(regexp_replace(lower(CASE WHEN doc_id % 2 = 0 THEN substr(text, 20, 60) ELSE substr(text, 1, 50) || ' other words' END), '\s+', ' ', 'g')) AS q FROM documents)
+SELECT doc_id, CASE WHEN q = '' OR p = '' THEN false ELSE contains(p, q) OR len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(p, ' ')))) / greatest(len(list_distinct(string_split(q, ' '))), 1) >= 0.85
+  OR (length(q) >= 3 AND len(list_intersect(list_distinct([substr(q, i::BIGINT, 3) FOR i IN range(1, length(q) - 1)]), list_distinct([substr(p, i::BIGINT, 3) FOR i IN range(1, length(p) - 1)]))) / greatest(len(list_distinct([substr(q, i::BIGINT, 3) FOR i IN range(1, length(q) - 1)])), 1) >= 0.85) END AS found FROM q""")
+def fuzzy_quotes(spark, sf_dir):
+    quote = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 20, 60)).otherwise(F.concat(F.substring("text", 1, 50), F.lit(" other words")))
+    return docs(spark, sf_dir).select("doc_id", tx.fuzzy_match(quote, F.substring("text", 1, 300)).alias("found"))
 
 
 @query("""WITH w AS (SELECT p_partkey, list_distinct(flatten([[substr('  ' || w || ' ', i::BIGINT, 3) FOR i IN range(1, length(w) + 2)] FOR w IN regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+') IF w <> ''])) AS g FROM part),
