@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 
@@ -65,14 +66,24 @@ def stab(points: DataFrame, spans: DataFrame, point: str, start: str, end: str,
     return asked.alias("p").join(cells.alias("s"), [F.col(f"p.{key}") == F.col(f"s.{key}"), F.col("p.cell") == F.col("s.cell"), inside], "left").drop(F.col("s.cell")).drop(F.col(f"s.{key}")).drop("cell")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, bucket: int = 30 * 86_400) -> DataFrame:
     """left(key, at, ..) with the last ``value`` of ``right``(key, at, value) at or before each row's time.
 
-    Both sides go through one window per key; right rows come before left rows of the same time.
+    Time is cut into buckets of ``bucket`` seconds, and both sides go through one
+    window per key and bucket, right rows before left rows of the same time; what
+    a bucket starts with is the last value of the buckets before, found over one
+    row a bucket. So a frequent key's rows are dealt over its buckets.
     """
-    both = left.withColumn("quern_side", F.lit(1)).unionByName(right.select(key, at, F.col(value).alias("quern_value")).withColumn("quern_side", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at, "quern_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("quern_value", ignorenulls=True).over(w)).where("quern_side = 1").drop("quern_side", "quern_value")
+    number = F.col(at) if isinstance(left.schema[at].dataType, NumericType) else F.col(at).cast("timestamp").cast("long")
+    step = F.floor(number / bucket)
+    both = left.withColumn("quern_side", F.lit(1)).unionByName(right.select(key, at, F.col(value).alias("quern_value")).withColumn("quern_side", F.lit(0)), allowMissingColumns=True).withColumn("quern_step", step)
+    lasts = both.where("quern_value IS NOT NULL").groupBy(key, "quern_step").agg(F.max_by("quern_value", F.struct(at)).alias("own"))
+    steps = both.select(key, "quern_step").distinct().join(lasts, [key, "quern_step"], "left")
+    earlier = Window.partitionBy(key).orderBy("quern_step").rowsBetween(Window.unboundedPreceding, -1)
+    begins = steps.select(key, "quern_step", F.last("own", ignorenulls=True).over(earlier).alias("quern_before"))
+    within = Window.partitionBy(key, "quern_step").orderBy(at, "quern_side").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("quern_own", F.last("quern_value", ignorenulls=True).over(within)).where("quern_side = 1").join(begins, [key, "quern_step"], "left")
+    return found.select(*left.columns, F.coalesce("quern_own", "quern_before").alias(value))
 
 
 def newest_per_key(rows: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:

@@ -196,8 +196,11 @@ def newest_years(df: DataFrame, n: int = 50) -> DataFrame:
 
 
 def global_facets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: for each column its sorted distinct values, and the span of years."""
-    return df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns], F.min("year").alias("min_year"), F.max("year").alias("max_year"))
+    """(facet, value): the distinct values of each column, and ``min_year`` and ``max_year``; however many, no row holds them all."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
+    values = df.select(F.explode(pairs).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
+    span = df.agg(F.min("year").alias("min_year"), F.max("year").alias("max_year"))
+    return values.unionByName(span.select(F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in ("min_year", "max_year")])).alias("p")).select("p.*"))
 
 
 def outcome_bias(results: DataFrame, query: str, top: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import profiles as op
-from quern.plans.cases import ACTS_SQL, AUTHORS_SQL, BASE_SQL, COUNSEL_SQL, JUDGES_SQL, base_cases, cases
+from quern.plans.cases import ACTS_SQL, AUTHORS_SQL, BASE_SQL, COUNSEL_SQL, JUDGES_SQL, base_cases, benches, cases, counsel_of_cases, order_facts
 from quern.plans.registry import query
 from quern.sources.tables import page, table
 
@@ -23,7 +23,7 @@ def court_stats(spark, sf_dir):
   SELECT judge AS member, count(*) AS cases, count(*) FILTER (author = judge) AS authored FROM judges LEFT JOIN authors USING (case_id) GROUP BY judge)
 SELECT counted.*, (SELECT greatest(1, ceil(count(*) / 20))::BIGINT FROM counted) AS total_pages FROM counted ORDER BY cases DESC, member LIMIT 20 OFFSET 20""")
 def list_judges(spark, sf_dir):
-    return op.list_members(cases(spark, sf_dir), "judge", "author", page=2)
+    return op.list_members(benches(spark, sf_dir), "judge", "author", page=2)
 
 
 @query(f"""WITH {BASE_SQL}, {JUDGES_SQL}, {AUTHORS_SQL}, {ACTS_SQL}, own AS (
@@ -40,7 +40,7 @@ def judge_profile(spark, sf_dir):
 SELECT judge AS member, count(*) AS cases, count(*) FILTER (author = judge) AS authored, round(100.0 * count(*) FILTER (disposal = 'allowed') / count(*), 2) AS allowed_pct
 FROM base JOIN judges USING (case_id) LEFT JOIN authors USING (case_id) WHERE judge IN (2, 3, 7) GROUP BY judge""")
 def judge_compare(spark, sf_dir):
-    return op.compare_members(cases(spark, sf_dir), [2, 3, 7])
+    return op.compare_members(benches(spark, sf_dir).join(order_facts(spark, sf_dir), "case_id"), [2, 3, 7])
 
 
 @query(f"""WITH {BASE_SQL} , c AS (SELECT court, lower(trim(disposal)) AS value, count(*) AS n FROM base GROUP BY ALL)
@@ -63,7 +63,7 @@ def temporal_trends(spark, sf_dir):
 
 @query(f"WITH {JUDGES_SQL} SELECT x.judge AS a, y.judge AS b, count(*) AS n FROM judges x JOIN judges y ON x.case_id = y.case_id AND x.judge < y.judge GROUP BY ALL")
 def bench_cooccurrence(spark, sf_dir):
-    return op.cooccurrence(cases(spark, sf_dir))
+    return op.cooccurrence(benches(spark, sf_dir))
 
 
 WON = "CASE {s} WHEN 'petitioner' THEN disposal IN ('allowed', 'partly allowed') ELSE disposal = 'dismissed' END"
@@ -73,13 +73,13 @@ WON = "CASE {s} WHEN 'petitioner' THEN disposal IN ('allowed', 'partly allowed')
   SELECT x.name, y.name AS opponent, disposal, {WON.format(s='x.side')} AS won FROM counsel x JOIN counsel y ON x.case_id = y.case_id AND x.side <> y.side AND x.name <> y.name JOIN base ON base.case_id = x.case_id)
 SELECT name, opponent, count(*) AS total, count(*) FILTER (won) AS wins, count(*) FILTER (NOT won AND disposal IS NOT NULL) AS losses, round(100.0 * count(*) FILTER (won) / count(*), 2) AS win_rate FROM met GROUP BY ALL""")
 def head_to_head(spark, sf_dir):
-    return op.head_to_head(cases(spark, sf_dir))
+    return op.head_to_head(counsel_of_cases(spark, sf_dir))
 
 
 @query(f"""WITH {COUNSEL_SQL}, {BASE_SQL}, own AS (SELECT counsel.* FROM counsel JOIN base USING (case_id)), sides AS (SELECT name, side, count(*) AS n FROM own GROUP BY ALL)
 SELECT name, count(DISTINCT case_id) AS cases, (SELECT side FROM sides s WHERE s.name = own.name ORDER BY n DESC, side LIMIT 1) AS usual_side FROM own GROUP BY name""")
 def counsel_search_mode(spark, sf_dir):
-    return op.counsel_list(cases(spark, sf_dir))
+    return op.counsel_list(counsel_of_cases(spark, sf_dir))
 
 
 @query(f"""WITH {BASE_SQL}, {COUNSEL_SQL}
@@ -87,7 +87,7 @@ SELECT name, count(*) FILTER (side = 'petitioner') AS as_petitioner, count(*) FI
   round(100.0 * count(*) FILTER ({WON.format(s='side')}) / count(disposal), 2) AS win_rate, min(year) AS first_year, max(year) AS last_year
 FROM base JOIN counsel USING (case_id) GROUP BY name""")
 def counsel_profile(spark, sf_dir):
-    return op.counsel_profile(cases(spark, sf_dir))
+    return op.counsel_profile(counsel_of_cases(spark, sf_dir))
 
 
 @query(f"""WITH {BASE_SQL}, {JUDGES_SQL}, {ACTS_SQL}, own AS (SELECT base.* FROM base JOIN judges USING (case_id) WHERE judge = 3 AND disposal IS NOT NULL),
@@ -110,10 +110,9 @@ def facets_resultset(spark, sf_dir):
     return op.value_counts(base_cases(spark, sf_dir).where("value > 300000"), FACETS)
 
 
-@query(f"""WITH {BASE_SQL} SELECT array_to_string(list_sort(list(DISTINCT court)), '|') AS court, array_to_string(list_sort(list(DISTINCT case_type)), '|') AS case_type, array_to_string(list_sort(list(DISTINCT disposal) FILTER (disposal IS NOT NULL)), '|') AS disposal, min(year) AS min_year, max(year) AS max_year FROM base""")
+@query(f"WITH {BASE_SQL} " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS facet, {c}::VARCHAR AS value FROM base WHERE {c} IS NOT NULL" for c in ("court", "case_type", "disposal")) + " UNION ALL SELECT 'min_year', min(year)::VARCHAR FROM base UNION ALL SELECT 'max_year', max(year)::VARCHAR FROM base")
 def facets_global(spark, sf_dir):
-    found = op.global_facets(base_cases(spark, sf_dir), ["court", "case_type", "disposal"])
-    return found.select(*[F.array_join(c, "|").alias(c) for c in ("court", "case_type", "disposal")], "min_year", "max_year")
+    return op.global_facets(base_cases(spark, sf_dir), ["court", "case_type", "disposal"])
 
 
 FIELDS = ["disposal", "judge", "author", "acts", "counsel"]
@@ -189,7 +188,7 @@ def paged_nulls_last(spark, sf_dir):
 
 @query(f"""WITH {BASE_SQL}, {JUDGES_SQL} SELECT case_id, len(list(judge)) AS n FROM base JOIN judges USING (case_id) GROUP BY case_id ORDER BY n DESC, case_id LIMIT 10""")
 def top_by_array_length(spark, sf_dir):
-    return cases(spark, sf_dir).select("case_id", F.size("judge").cast("long").alias("n")).orderBy(F.desc_nulls_last("n"), "case_id").limit(10)
+    return benches(spark, sf_dir).select("case_id", F.size("judge").cast("long").alias("n")).orderBy(F.desc_nulls_last("n"), "case_id").limit(10)
 
 
 @query("""WITH flat AS (SELECT user_id, json_extract_string(props, '$.k') AS k, max(ts) AS newest, count(*) AS n FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 30 DAY GROUP BY ALL)

@@ -20,7 +20,7 @@ def base_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, court, year, decision_date, case_type, disposal, value."""
     orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     outcome = F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair])
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
     return joined.select(
         F.col("o_orderkey").alias("case_id"), F.col("n_name").alias("court"), F.year("o_orderdate").alias("year"), F.to_date("o_orderdate").alias("decision_date"),
         F.col("o_orderpriority").alias("case_type"), outcome[F.col("o_orderstatus")].alias("disposal"), F.col("o_totalprice").alias("value"), F.col("o_custkey").alias("party"),
@@ -40,6 +40,25 @@ def case_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, year, disposal alone, for what needs no court or party: straight from the orders."""
+    outcome = F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair])
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.year("o_orderdate").alias("year"), outcome[F.col("o_orderstatus")].alias("disposal"))
+
+
+def benches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, judge array, author; nothing but the lines is read, and the array is of one case's few lines."""
+    first = F.min(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey"))).alias("author")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("judge"), first)
+
+
+def counsel_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """case_id, year, disposal, counsel array, from lines and orders alone."""
+    side = F.when(F.col("l_returnflag") == "R", "respondent").otherwise("petitioner")
+    counsel = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sort_array(F.collect_set(F.struct(side.alias("side"), F.col("l_suppkey").alias("name")))).alias("counsel"))
+    return order_facts(spark, sf_dir).join(counsel, "case_id")
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base_cases(spark, sf_dir).join(case_arrays(spark, sf_dir), "case_id", "left")
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +30,16 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return files.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "length")
 
 
+#: Letters of the pieces by which names that hold each other are found; shorter names are matched by equality only.
+PIECE = 4
+
+
 def match_files(files: DataFrame, metadata: DataFrame) -> DataFrame:
-    """files(stem) with metadata(key, ..): by stem, else by stem without a ``_XX`` language ending, else by containment.
+    """files(stem) with metadata(key, ..): by stem, else by stem without a ``_XX`` language ending, else by containment either way.
 
-    Only stems that neither equality matched take part in the containment join.
+    Only stems that neither equality matched take part in the last step. One name
+    holds another only if it has the other's first letters somewhere, so it is an
+    equality join of those with all pieces of that length, checked afterwards.
     """
     keyed = metadata.withColumnRenamed("key", "meta_key")
     short = F.regexp_replace("stem", "_[A-Z]{2}$", "")
@@ -42,15 +47,24 @@ def match_files(files: DataFrame, metadata: DataFrame) -> DataFrame:
     rest = files.join(keyed, files.stem == keyed.meta_key, "left_anti")
     less = rest.join(keyed, short == F.col("meta_key")).withColumn("tier", F.lit(2))
     rest = rest.join(keyed, short == F.col("meta_key"), "left_anti")
-    first = Window.partitionBy("stem").orderBy("meta_key")
-    within = rest.join(keyed, F.col("meta_key").contains(F.col("stem")) | F.col("stem").contains(F.col("meta_key")), "left")
-    within = within.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n").withColumn("tier", F.when(F.col("meta_key").isNotNull(), 3).otherwise(0))
-    return exact.unionByName(less).unionByName(within)
+
+    def pieces(name: str) -> Column:
+        n = F.length(name) - PIECE + 1
+        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(PIECE)))))
+
+    stems, keys = rest.select("stem").distinct(), keyed.select("meta_key").where("meta_key IS NOT NULL").distinct()
+    first = lambda name: F.when(F.length(name) >= PIECE, F.substring(name, 1, PIECE))
+    held = stems.withColumn("piece", first("stem")).join(keys.withColumn("piece", F.explode(pieces("meta_key"))), "piece")
+    holds = stems.withColumn("piece", F.explode(pieces("stem"))).join(keys.withColumn("piece", first("meta_key")), "piece")
+    fits = held.unionByName(holds).where(F.contains("meta_key", F.col("stem")) | F.contains("stem", F.col("meta_key")))
+    best = fits.groupBy("stem").agg(F.min("meta_key").alias("meta_key"))
+    within = rest.join(best, "stem", "left").join(keyed, "meta_key", "left").withColumn("tier", F.when(F.col("meta_key").isNotNull(), 3).otherwise(0))
+    return exact.unionByName(less).unionByName(within.select(exact.columns))
 
 
-def read_records(spark: SparkSession, path: str, names: dict[str, Sequence[str]]) -> DataFrame:
-    """JSON arrays of records with differing field names: each output column is the first of its aliases that is set."""
-    df = spark.read.option("multiLine", "true").json(path)
+def read_records(spark: SparkSession, path: str, names: dict[str, Sequence[str]], lines: bool = False) -> DataFrame:
+    """JSON arrays of records (or ``lines`` of one each) with differing field names: each output column is the first of its aliases that is set."""
+    df = spark.read.option("multiLine", str(not lines).lower()).json(path)
     column = lambda options: F.coalesce(*[F.col(o).cast("string") for o in options if o in df.columns], F.lit(None).cast("string"))
     return df.select(*[column(options).alias(name) for name, options in names.items()])
 
@@ -66,7 +80,7 @@ def union_sources(parts: Sequence[DataFrame]) -> DataFrame:
 def split_sections(texts: DataFrame, text: str = "text", heading: str = r"(?m)^(?=\d+[A-Z]{0,2}\. )") -> DataFrame:
     """One row per numbered section of a statute's text: section_number, section_text."""
     parts = texts.withColumn("part", F.explode(F.split(text, heading))).where(F.col("part").rlike(r"^\d"))
-    return parts.select(*[c for c in texts.columns if c != text], F.regexp_extract("part", r"^(\d+[A-Z]{0,2})\.", 1).alias("section_number"), F.trim(F.regexp_replace("part", r"^\d+[A-Z]{0,2}\.\s*", "")).alias("section_text"))
+    return parts.select(*[c for c in texts.columns if c != text], F.regexp_extract("part", r"^(\d+[A-Z]{0,2})\.", 1).alias("section_number"), F.regexp_replace("part", r"^\d+[A-Z]{0,2}\.\s*|\s+$", "").alias("section_text"))
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
