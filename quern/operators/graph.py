@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.components import connected_components
+from quern.skew import join_groups
 from quern.storage import settle
 
 POSITIVE = ("affirmed", "followed", "referred_to", "explained")
@@ -139,6 +140,30 @@ def page_rank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, toleran
     return ranks.select("id", "rank")
 
 
+def page_rank_within(edges: DataFrame, members: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
+    """(id, community, rank): the ranks of members(id, community) in the graph of their own community; they add up to 1 in each.
+
+    All communities iterate together until their ranks change by no more than ``tolerance`` in all.
+    """
+    one = settle(members.select("id", "community").distinct(), "members")
+    ends = lambda name: one.select(F.col("id").alias(name), F.col("community").alias(f"{name}_of"))
+    links = settle(edges.select("src", "dst").distinct().join(ends("src"), "src").join(ends("dst"), "dst").where("src_of = dst_of").select("src", "dst"), "links")
+    sizes = settle(one.groupBy(F.col("community").alias("of")).agg(F.count("*").alias("n")), "sizes")
+    total = one.count()
+    degree = links.groupBy("src").agg(F.count("*").alias("out"))
+    ranks = join_groups(one, sizes, F.col("community") == F.col("of"), total).join(degree, F.col("id") == F.col("src"), "left")
+    ranks = settle(ranks.select("id", "community", "out", F.col("n").alias("size"), (1.0 / F.col("n")).alias("rank")), "ranks")
+    for _ in range(max_rounds if total else 0):
+        lost = ranks.groupBy(F.col("community").alias("of")).agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("rank"))), F.lit(0.0)).alias("lost"), F.count("*").alias("n"))
+        sent = links.join(ranks.where("out IS NOT NULL").select("id", (F.col("rank") / F.col("out")).alias("share")), F.col("src") == F.col("id")).groupBy("dst").agg(F.sum("share").alias("got"))
+        new = (1 - damping) / F.col("size") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("size"))
+        both = join_groups(ranks.join(sent, F.col("id") == F.col("dst"), "left"), lost, F.col("community") == F.col("of"), total)
+        ranks = settle(both.select("id", "community", "out", "size", new.alias("rank"), F.abs(new - F.col("rank")).alias("change")), "ranks")
+        if ranks.agg(F.sum("change")).first()[0] <= tolerance:
+            break
+    return ranks.select("id", "community", "rank")
+
+
 def max_normalise(ranks: DataFrame, per: str | None = None, digits: int = 2) -> DataFrame:
     """Ranks as parts of 100 of the largest, of all or of each group."""
     keys = [per] if per else []
@@ -154,20 +179,70 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> Data
     return nodes.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
-def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community) by label propagation: each node takes its neighbours' most frequent label, of equal ones the smallest.
-
-    Nodes of even and odd hash move in turn, which keeps pairs from swapping
-    labels for ever. The result is a partition of the nodes, not the optimum of any score.
+def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Of links(src, dst, w), both ways, and labels(id, label): the share of weight inside labels over what chance would put there."""
+    own = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
+    total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    if not total:
+        return 0.0
+    both = links.join(own("src"), "src").join(own("dst"), "dst")
+    inside = both.where("src_label = dst_label").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    chance = both.groupBy("src_label").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+    return inside / total - resolution * chance / total**2
+
+
+def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, levels: int = 4, sweeps: int = 5) -> DataFrame:
+    """(id, community): communities of high modularity, by rounds of local moves and merging of communities into nodes.
+
+    In a sweep the nodes of one half (by a hash with the sweep's number), then those
+    of the other, move to the neighbouring community of the largest gain, of equal
+    gains the smallest label, if that is a gain over their own; as half of the nodes
+    stand still, most moves are gains together as well. A sweep that does not raise
+    the modularity is undone and ends the level, and such a level the whole.
+    Communities are named by their smallest node. Like every method of this kind it
+    finds a good partition, not the best.
     """
-    links = settle(undirected(edges).where("src <> dst"), "links")
-    labels = nodes.select("id", F.col("id").alias("label"))
-    for step in range(rounds):
-        votes = links.join(labels, links.dst == labels.id).groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("best"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2
-        labels = settle(labels.join(best, labels.id == best.src, "left").select("id", F.when(turn & F.col("best").isNotNull(), F.col("best")).otherwise(F.col("label")).alias("label")), "labels")
-    return labels.select("id", F.col("label").alias("community"))
+    links = undirected(edges).where("src <> dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    links = settle(links.select("src", "dst", F.lit(1.0).alias("w")), "links")
+    found = settle(nodes.select("id", F.col("id").alias("community")).distinct(), "found")
+    best = modularity(links, found.withColumnRenamed("community", "label"), resolution)
+    total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    for level in range(levels if total else 0):
+        degree = settle(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degree")
+        labels, reached = settle(degree.select("id", F.col("id").alias("label")), "labels"), best
+        for sweep in range(sweeps):
+            moved = labels
+            for turn in (0, 1):
+                moved = settle(_moves(links, moved, degree, total, resolution, 2 * (level * sweeps + sweep) + turn), "labels")
+            value = modularity(links, moved, resolution)
+            if value <= reached + 1e-6:
+                break
+            labels, reached = moved, value
+        if reached <= best + 1e-9:
+            break
+        best = reached
+        name = settle(labels.groupBy("label").agg(F.min("id").alias("name")), "names")
+        named = labels.join(name, "label").select(F.col("id").alias("of"), "name")
+        found = settle(found.join(named, F.col("community") == F.col("of"), "left").select("id", F.coalesce("name", "community").alias("community")), "found")
+        ends = lambda end: named.select(F.col("of").alias(end), F.col("name").alias(f"{end}_name"))  # noqa: B023, E731
+        links = settle(links.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(F.col("src_name").alias("src"), F.col("dst_name").alias("dst")).agg(F.sum("w").alias("w")), "links")
+    return found
+
+
+def _moves(links: DataFrame, labels: DataFrame, degree: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
+    """labels(id, label) after the nodes whose turn it is have moved."""
+    known = labels.join(degree, "id")
+    sums = known.groupBy("label").agg(F.sum("k").alias("tot"))
+    near = links.where("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("to"))
+    own = known.select(F.col("id").alias("src"), F.col("label").alias("own"), "k")
+    # A node's own label stands among the choices even where no neighbour has it.
+    choices = near.unionByName(labels.select(F.col("id").alias("src"), "label", F.lit(0.0).alias("to"))).groupBy("src", "label").agg(F.sum("to").alias("to"))
+    rated = choices.join(own, "src").join(sums, "label")
+    gain = F.col("to") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / total
+    picked = rated.select("src", "label", "own", F.round(gain, 9).alias("gain")).groupBy("src").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
+    turns = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    both = labels.join(picked, F.col("id") == F.col("src"), "left")
+    return both.select("id", F.when(turns & (F.col("top") > F.col("stay")), F.col("to")).otherwise(F.col("label")).alias("label"))
 
 
 def label_groups(members: DataFrame, group: str, word: str, triggers: DataFrame) -> DataFrame:

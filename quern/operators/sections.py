@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Section kinds and the headings that open them.
 HEADINGS = [
@@ -106,3 +107,32 @@ def section_map(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     joined = rows.groupBy(key, "section").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     both = joined.join(docs.select(key, text), key)
     return both.select(key, "section", F.substring(F.col(text), F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("body"))
+
+
+#: How the first page of a judgment begins.
+COVER = r"(?im)^[ \t]*(?:IN THE (?:SUPREME|HIGH) COURT|REPORTABLE\b|NON-?REPORTABLE\b|(?:CIVIL|CRIMINAL) (?:APPELLATE|ORIGINAL) JURISDICTION)"
+
+
+def strip_leading_bleed(text: Column | str, scan: int = 3000, least: int = 100) -> Column:
+    """A text from its cover on, if that begins within ``scan`` characters and ``least`` or more stand before it (the end of another judgment)."""
+    text = F.col(text) if isinstance(text, str) else text
+    at = F.regexp_instr(F.substring(text, 1, scan), F.lit(COVER))
+    return F.when(at > least, text.substr(at, F.length(text))).otherwise(text)
+
+
+def drop_repeated_lines(docs: DataFrame, key: str, text: str, least: int = 3, longest: int = 200) -> DataFrame:
+    """(key, text): lines of under ``longest`` characters that stand ``least`` times or more in a text (page headers and footers) only where they stand first."""
+    lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("n", "line"))
+    bare = F.trim("line")
+    counted = lines.where((bare != "") & (F.length("line") < longest)).groupBy(key, bare.alias("bare")).agg(F.count("*").alias("times"), F.min("n").alias("first")).where(F.col("times") >= least)
+    marked = lines.withColumn("bare", bare).join(counted, [key, "bare"], "left")
+    kept = marked.where(F.col("times").isNull() | (F.length("line") >= longest) | (F.col("n") == F.col("first")))
+    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias(text))
+
+
+def merge_short(sections: DataFrame, key: str, order: str, text: str, least: int = 100) -> DataFrame:
+    """(key, order, text): sections of under ``least`` characters as the end of the one before them; the first stays what it is."""
+    own = Window.partitionBy(key).orderBy(order)
+    opens = (F.length(text) >= least) | (F.row_number().over(own) == 1)
+    grouped = sections.withColumn("opens", opens.cast("int")).withColumn("part", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(key, "part").agg(F.min(order).alias(order), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"]), "\n").alias(text)).drop("part")

@@ -322,7 +322,18 @@ def components(spark, sf_dir):
 
 @query()
 def communities(spark, sf_dir):
-    return gr.communities(cites(spark, sf_dir), nodes(spark, sf_dir))
+    return gr.louvain(cites(spark, sf_dir), nodes(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {CITES_SQL}, m AS (SELECT c_custkey AS id, c_nationkey AS community FROM customer), links AS (SELECT DISTINCT src, dst FROM cites JOIN m a ON a.id = src JOIN m b ON b.id = dst WHERE a.community = b.community), deg AS (SELECT src, count(*) AS out FROM links GROUP BY src),
+z AS (SELECT community, count(*) AS n FROM m GROUP BY community),
+pr AS (SELECT id, community, 0 AS step, 1.0::DOUBLE / n AS rank, 1.0::DOUBLE AS change FROM m JOIN z USING (community)
+  UNION ALL SELECT id, community, step + 1, new, abs(new - rank) FROM (SELECT p.id, p.community, s.step, s.change, p.rank, 0.15 / n + 0.85 * (coalesce(got, 0) + coalesce(lost, 0) / n) AS new FROM pr p JOIN z USING (community) CROSS JOIN (SELECT max(step) AS step, sum(change) AS change FROM pr) s
+    LEFT JOIN (SELECT community, sum(rank) AS lost FROM pr WHERE id NOT IN (SELECT src FROM deg) GROUP BY community) l ON l.community = p.community LEFT JOIN (SELECT dst, sum(rank / out) AS got FROM pr JOIN links k ON k.src = pr.id JOIN deg ON deg.src = k.src GROUP BY dst) g ON g.dst = p.id WHERE s.step < 200 AND s.change > 1e-3))
+SELECT id, community, round(rank, 8) AS rank FROM pr WHERE step = (SELECT max(step) FROM pr)""")
+def pagerank_within(spark, sf_dir):
+    members = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("community"))
+    return gr.page_rank_within(cites(spark, sf_dir), members, tolerance=1e-3).withColumn("rank", F.round("rank", 8))
 
 
 @query(f"WITH {CITES_SQL}, {NODES_SQL} SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, count(DISTINCT dst) AS cited FROM cites")

@@ -12,7 +12,7 @@ from quern.functions import text as tx
 from quern.operators import graph as gr
 from quern.operators import joins as jo
 from quern.operators import quality as qa
-from quern.operators.sections import chunk_documents, section_map
+from quern.operators.sections import chunk_documents, drop_repeated_lines, merge_short, section_map, strip_leading_bleed
 from quern.plans.registry import query
 from quern.sources import tables as so
 from quern.sources.tables import table
@@ -183,3 +183,24 @@ def chunk_coverage(spark, sf_dir):
     rows = chunk_documents(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("s"))
     covered = F.aggregate("s", F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(F.greatest(a["to"], x["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(x["start"], a["to"]))).alias("n")), lambda a: a["n"])
     return rows.select("doc_id", covered.alias("n"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, text || chr(10) || CASE doc_id % 2 WHEN 0 THEN 'IN THE SUPREME COURT OF INDIA' ELSE '  Reportable' END || ' ' || source AS text FROM documents),
+p AS (SELECT doc_id, text, instr(substr(text, 1, 400), regexp_extract(substr(text, 1, 400), '(?im)^[ \t]*(?:IN THE (?:SUPREME|HIGH) COURT|REPORTABLE\b|NON-?REPORTABLE\b|(?:CIVIL|CRIMINAL) (?:APPELLATE|ORIGINAL) JURISDICTION)')) AS pos, regexp_matches(substr(text, 1, 400), '(?im)^[ \t]*(?:IN THE (?:SUPREME|HIGH) COURT|REPORTABLE\b|NON-?REPORTABLE\b|(?:CIVIL|CRIMINAL) (?:APPELLATE|ORIGINAL) JURISDICTION)') AS hit FROM t)
+SELECT doc_id, sha256(CASE WHEN hit AND pos > 100 THEN substr(text, pos) ELSE text END) AS text_hash FROM p""")
+def leading_bleed(spark, sf_dir):
+    text = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 2 == 0, "IN THE SUPREME COURT OF INDIA").otherwise("  Reportable"), F.lit(" "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(strip_leading_bleed(text, 400), 256).alias("text_hash"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(range(len(x))) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+c AS (SELECT doc_id, trim(line) AS bare, count(*) AS times, min(n) AS first FROM l WHERE trim(line) <> '' AND length(line) < 200 GROUP BY ALL HAVING count(*) >= 3)
+SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY n)) AS text_hash FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.bare = trim(line) WHERE times IS NULL OR length(line) >= 200 OR n = first GROUP BY l.doc_id""".replace("SELECT doc_id, sha256(string_agg", "SELECT l.doc_id, sha256(string_agg"))
+def repeated_line_removal(spark, sf_dir):
+    return drop_repeated_lines(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text").select("doc_id", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, text, CASE WHEN length(text) >= 100 OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS opens FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM s) SELECT conv_id, min(turn) AS turn, string_agg(text, chr(10) ORDER BY turn) AS text FROM g GROUP BY conv_id, part""")
+def short_section_merge(spark, sf_dir):
+    return merge_short(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text")

@@ -111,6 +111,17 @@ def citation_extract(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(tx.extract_citations(_cited_text()), lambda x: x["citation"]), "|").alias("cited"))
 
 
+@query(rf"""WITH t AS (SELECT o_orderkey, 'As held in Messrs ' || replace(o_orderpriority, '-', '. ') || ' and Sons ' || CASE o_orderkey % 3 WHEN 0 THEN 'v.' WHEN 1 THEN 'vs' ELSE 'versus' END || ' State of  Orders' || o_custkey || '. Relied on in Anil Kumar v. Ram Das' || o_custkey % 3 || ', and in Anil  Kumar vs. Ram Das' || o_custkey % 3 || ' too.' AS text FROM orders),
+n AS (SELECT o_orderkey, list_transform(regexp_extract_all(text, '\b(?:{tx.NAMING})\s+({tx.PARTY.replace("'", "''")}(?:\s+{tx.PARTY.replace("'", "''")})*\s+(?:v\.?s?\.?|versus)\s+{tx.PARTY.replace("'", "''")}(?:\s+{tx.PARTY.replace("'", "''")})*)', 1), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), ' (?:v\.?s?\.?|versus) ', ' v. ', 'g'), '\.$', '')) AS l FROM t)
+SELECT o_orderkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS names FROM n""")
+def case_names(spark, sf_dir):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    sign = F.when(key % 3 == 0, "v.").when(key % 3 == 1, "vs").otherwise("versus")
+    third = (cust % 3).cast("string")
+    text = F.concat(F.lit("As held in Messrs "), F.replace("o_orderpriority", F.lit("-"), F.lit(". ")), F.lit(" and Sons "), sign, F.lit(" State of  Orders"), cust.cast("string"), F.lit(". Relied on in Anil Kumar v. Ram Das"), third, F.lit(", and in Anil  Kumar vs. Ram Das"), third, F.lit(" too."))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(tx.case_names(text), "|").alias("names"))
+
+
 @query(r"""WITH t AS (SELECT p_partkey, unnest(range(len(m))) AS i, unnest(m) AS x FROM (SELECT p_partkey, regexp_extract_all(p_size || CASE p_partkey % 4 WHEN 0 THEN ', ' WHEN 1 THEN ' to ' WHEN 2 THEN '-' ELSE ' & ' END || (p_size + p_partkey % 30) || ' and ' || p_size || '-A, 9A(1) of ' || p_type, '\d+(?:-?[A-Z]{1,2}\b)?(?:\(\w+\))*|[-–]|\bto\b') AS m FROM part)),
 k AS (SELECT *, lag(x) OVER w IN ('-', '–', 'to') AS joined, lag(x, 2) OVER w AS low, lead(x) OVER w IN ('-', '–', 'to') AS opens, lead(x, 2) OVER w AS high FROM t WINDOW w AS (PARTITION BY p_partkey ORDER BY i)),
 o AS (SELECT p_partkey, i, CASE WHEN x IN ('-', '–', 'to') THEN [] WHEN coalesce(joined, false) AND try_cast(x AS INT) > try_cast(low AS INT) AND try_cast(x AS INT) - try_cast(low AS INT) <= 20 THEN list_transform(range(try_cast(low AS INT) + 1, try_cast(x AS INT) + 1), lambda v: v::VARCHAR)

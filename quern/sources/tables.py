@@ -30,7 +30,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFr
     return files.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), "length")
 
 
-#: Letters of the pieces by which names that hold each other are found; shorter names are matched by equality only.
+#: Letters of the pieces by which names that hold each other are found; a shorter name is a piece itself.
 PIECE = 4
 
 
@@ -49,11 +49,11 @@ def match_files(files: DataFrame, metadata: DataFrame) -> DataFrame:
     rest = rest.join(keyed, short == F.col("meta_key"), "left_anti")
 
     def pieces(name: str) -> Column:
-        n = F.length(name) - PIECE + 1
-        return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(PIECE)))))
+        every = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - k + 1, F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(k)))
+        return F.array_distinct(F.concat(*map(every, range(1, PIECE + 1))))
 
     stems, keys = rest.select("stem").distinct(), keyed.select("meta_key").where("meta_key IS NOT NULL").distinct()
-    first = lambda name: F.when(F.length(name) >= PIECE, F.substring(name, 1, PIECE))
+    first = lambda name: F.substring(name, 1, PIECE)
     held = stems.withColumn("piece", first("stem")).join(keys.withColumn("piece", F.explode(pieces("meta_key"))), "piece")
     holds = stems.withColumn("piece", F.explode(pieces("stem"))).join(keys.withColumn("piece", first("meta_key")), "piece")
     fits = held.unionByName(holds).where(F.contains("meta_key", F.col("stem")) | F.contains("stem", F.col("meta_key")))
