@@ -89,6 +89,46 @@ def test_rate_limit_denied_requests_do_not_count(spark):
     assert [Window(6, 60)(t) for t in (0,)] == [True]
 
 
+def by_user(spark, sf):
+    rows = sorted((r.user_id, r.ts, r.event_id, r.value) for r in spark.read.parquet(f"{sf}/events.parquet").collect())
+    users = {}
+    for user, ts, event, value in rows:
+        users.setdefault(user, []).append((ts.timestamp(), event, value))
+    return users
+
+
+def test_rate_limit_query(spark, sf):
+    from quern.plans import ALL_QUERIES
+
+    got = {r.event_id: r.allowed for r in ALL_QUERIES["rate_limit_window"](spark, sf).collect()}
+    expected = {}
+    for events in by_user(spark, sf).values():
+        expected |= dict(zip((e for _, e, _ in events), brute_window([t for t, _, _ in events], 3, 6 * 3600), strict=True))
+    assert got == expected and set(got.values()) == {True, False}
+
+
+def test_circuit_breaker_query(spark, sf):
+    from quern.plans import ALL_QUERIES
+
+    got = {r.event_id: r.allowed for r in ALL_QUERIES["circuit_breaker_events"](spark, sf).collect()}
+    expected = {}
+    for events in by_user(spark, sf).values():
+        # After two failures in a row nothing passes for an hour, then one trial.
+        failures, opened = 0, None
+        for t, event, value in events:
+            allowed = opened is None or t - opened >= 3600
+            expected[event] = allowed
+            if not allowed:
+                continue
+            if value < 20:
+                failures += 1
+                if opened is not None or failures >= 2:
+                    opened = t
+            else:
+                failures, opened = 0, None
+    assert got == expected and set(got.values()) == {True, False}
+
+
 def test_breaker():
     b = Breaker(2, 10)
     assert [b(t, bad) for t, bad in ((0, True), (1, True), (2, False), (12, True), (13, False), (23, False), (24, False))] == [True, True, False, True, False, True, True]
