@@ -29,7 +29,7 @@ SCRIPTS = ["other", "latin", "greek", "cyrillic", "hebrew", "arabic", "devanagar
 #: A language is a candidate for a script if at least this share of its words is written in it.
 CANDIDATE_SHARE = 0.001
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: Words of texts whose paths are found together.
 BLOCK_WORDS = 400_000
 MAX_LANGUAGES = 1000

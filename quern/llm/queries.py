@@ -37,7 +37,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op2.simhash_dedup(table(spark, sf_dir, "documents")).drop("quern_fp")
+    return op2.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold("doc_id", 4) == 2
     found = op4.identify(docs, op4.train(docs.where(~held_out)))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans")
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "spans", "margin")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
