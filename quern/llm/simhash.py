@@ -20,8 +20,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quern.llm.common import column_bytes, materialise
+from quern.llm.common import column_bytes, materialise, with_payload
 from quern.llm.components import connected_components
 
 BITS, SEGMENTS, WIDTH = 64, 4, 16
@@ -165,8 +166,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits; ``component_id`` is the smallest id that links reach, the document's own
     included. Null, empty and blank texts have fingerprint 0 and are linked like
     any other. Repeated rows stay repeated and share a component; null ids never
-    are a component's id unless it has no other. Other columns are ignored; an
-    empty table gives an empty result.
+    are a component's id unless it has no other. Texts may be of any length. Other
+    columns are ignored, whatever their names; an empty table gives an empty result.
     """
     rows = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
@@ -179,18 +180,28 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     by_fp = distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     by_fp = materialise(by_fp, "components").withColumnRenamed("fp", "of")
     # Both sides are fresh reads, so adaptive execution can split a hot fingerprint.
-    return rows.join(by_fp, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.col("fp").alias("quern_fp"))
+    return rows.join(by_fp, F.col("fp") == F.col("of"), "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, components: Callable[..., DataFrame] = simhash_dedup, **options) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component the row of the smallest id stays, of equal ids one.
+    """The rows of ``docs`` without near copies, with all their columns, whatever their names.
+
+    Of each component the row of the smallest id stays; a null id is larger than
+    any, so a row without one stays only where no other has one, as in
+    ``simhash_dedup``. Of equal ids the smaller text hash stays, of rows that repeat
+    id and text any one. Null, empty and blank texts are near copies of each other.
+    Texts may be of any length; an empty table gives an empty result.
 
     ``components`` is the rule that gives rows their ``component_id``. Rows are known by id and a hash of their text, which any reading of the table gives alike.
     """
-    mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
-    marked = docs.withColumn("quern_mark", mark)
-    found = materialise(components(marked.select(F.col("quern_mark").alias("mark"), F.col(text_col).alias("text")), "mark", "text", **options).where("mark = component_id").select("mark"), "stay")
-    stay = marked.join(found, F.col("quern_mark") == F.col("mark"), "left_semi")
-    if found.groupBy("mark").count().where("count > 1").take(1):  # rows that repeat id and text
-        stay = stay.dropDuplicates(["quern_mark"])
-    return stay.select(docs.columns)
+    mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    found = components(docs.select(mark.alias("mark"), F.col(text_col).alias("text")), "mark", "text", **options)
+    found = materialise(found.groupBy("mark").agg(F.first(F.col("mark") == F.col("component_id")).alias("stays"), F.count("*").alias("n")).where("NOT stays OR n > 1").withColumnRenamed("mark", "of"), "dropped")
+    rows = with_payload(docs, mark.alias("mark"))
+    kept = rows.join(found.select("of"), F.col("mark") == F.col("of"), "left_anti").select("payload")
+    repeated = found.where("stays")
+    if repeated.take(1):
+        # Rows that repeat id and text: each task sends one of each on.
+        first = F.row_number().over(Window.partitionBy("mark").orderBy(F.lit(1)))
+        kept = kept.unionByName(rows.join(repeated.select("of"), F.col("mark") == F.col("of"), "left_semi").withColumn("nth", first).where("nth = 1").select("payload"))
+    return kept.select("payload.*")
