@@ -19,6 +19,21 @@ def _filled(text: Column) -> Column:
     return F.when(F.trim(text) != "", F.trim(text))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once for a row, and not at each place that names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _first_of_each(items: Column) -> Column:
+    """Entries in their order, of those that differ in case only the first."""
+
+    def kept(items: Column, low: Column) -> Column:
+        numbered = F.transform(F.arrays_zip(items.alias("x"), low.alias("k")), lambda s, i: F.struct(s["x"].alias("x"), (F.array_position(low, s["k"]) == i + 1).alias("first")))
+        return F.transform(F.filter(numbered, lambda s: s["first"]), lambda s: s["x"])
+
+    return _once(F.struct(items.alias("x"), F.transform(items, F.lower).alias("k")), lambda s: kept(s["x"], s["k"]))
+
+
 # Fields.
 
 
@@ -49,10 +64,7 @@ def one_of(value, known: Sequence[str], aliases: dict[str, str] | None = None) -
 def short_list(items, most: int) -> Column:
     """Trimmed entries, each once whatever its case, in their order, ``most`` at most; null for none."""
     kept = F.filter(F.transform(_col(items), lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
-    low = F.transform(kept, F.lower)
-    first = F.filter(F.transform(kept, lambda x, i: F.struct((F.array_position(low, F.lower(x)) == i + 1).alias("first"), x.alias("x"))), lambda s: s["first"])
-    cut = F.slice(F.transform(first, lambda s: s["x"]), 1, most)
-    return F.when(F.size(cut) > 0, cut)
+    return _once(F.slice(_first_of_each(kept), 1, most), lambda cut: F.when(F.size(cut) > 0, cut))
 
 
 def text_between(text, least: int, most: int) -> Column:
@@ -164,9 +176,9 @@ def is_bare_reference(text) -> Column:
 def classify_citations(entries) -> Column:
     """struct(named, bare): valid entries, each once whatever its case, sorted."""
     clean = F.filter(F.transform(_col(entries), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), is_case_citation)
-    low = F.transform(clean, F.lower)
-    first = F.transform(F.filter(F.transform(clean, lambda x, i: F.struct((F.array_position(low, F.lower(x)) == i + 1).alias("first"), x.alias("x"))), lambda s: s["first"]), lambda s: s["x"])
-    return F.struct(F.array_sort(F.filter(first, lambda x: ~is_bare_reference(x))).alias("named"), F.array_sort(F.filter(first, is_bare_reference)).alias("bare"))
+    judged = F.transform(_first_of_each(clean), lambda x: F.struct(x.alias("x"), is_bare_reference(x).alias("bare")))
+    listed = lambda j, bare: F.array_sort(F.transform(F.filter(j, lambda s: s["bare"] == bare), lambda s: s["x"]))
+    return _once(judged, lambda j: F.struct(listed(j, False).alias("named"), listed(j, True).alias("bare")))
 
 
 def graph_key(citation) -> Column:
