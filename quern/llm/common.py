@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.storage import settle as materialise
 from quern.storage import shared_dir
 
-__all__ = ["chunks_by_size", "column_bytes", "fold", "materialise", "shared_dir", "table", "text_or_empty", "with_payload"]
+__all__ = ["chunks_by_size", "column_bytes", "fold", "materialise", "released", "shared_dir", "table", "text_or_empty", "with_payload"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,20 @@ def with_payload(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("payload"), *columns)
 
 
+def released(batches):
+    """A function for mapInArrow that gives Arrow's unused memory back to the system when its task ends, since workers live on."""
+
+    def run(source):
+        import pyarrow as pa
+
+        try:
+            yield from batches(source)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def text_or_empty(column: str | Column = "text") -> Column:
     column = F.col(column) if isinstance(column, str) else column
     return F.coalesce(column, F.lit(""))

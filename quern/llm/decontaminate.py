@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import column_bytes, materialise, with_payload
+from quern.llm.common import column_bytes, materialise, released, with_payload
 
 #: Maps A-Z to a-z and every ASCII character but a-z and 0-9 to a space.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -146,7 +146,7 @@ def _pass(rows: DataFrame, items: list[tuple[str, bytes]], width: int, shard_wor
         if texts:
             yield flush(texts)
 
-    return rows.mapInArrow(batches, schema)
+    return rows.mapInArrow(released(batches), schema)
 
 
 def _text_hash(text_col: str) -> Column:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks_by_size
+from quern.llm.common import chunks_by_size, released
 
 HASH_BITS = 16
 #: The first code points of script ranges, with the script's number; letters elsewhere are of script 0.
@@ -94,7 +94,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *
             at = np.flatnonzero(own)
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(own[at], pa.int64())], names=["lang", "feature", "n"])
 
-    found = rows.mapInArrow(counted, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    found = rows.mapInArrow(released(counted), "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     table = found.toPandas()  # at most MAX_LANGUAGES x (2^HASH_BITS + scripts) rows
     languages = sorted(set(table.lang))
     counts = np.zeros(((1 << HASH_BITS) + len(SCRIPTS), max(1, len(languages))))
@@ -223,7 +223,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(spans, span), pa.array(margin, pa.float64())], names=["id", "lang_pred", "score", "spans", "margin"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(batches, f"id {kind}, lang_pred string, score double, spans array<struct<from:long,to:long,lang:string>>, margin double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(batches), f"id {kind}, lang_pred string, score double, spans array<struct<from:long,to:long,lang:string>>, margin double").withColumnRenamed("id", id_col)
 
 
 def keep_languages(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", *, penalty: float = 12.0, least_margin: float = 0.0) -> DataFrame:
@@ -249,4 +249,4 @@ def keep_languages(docs: DataFrame, training: Column, text_col: str = "text", la
                     stays = [bool(t) and any(map(str.isalpha, t)) for t in texts]
                 yield batch.slice(a, b - a).filter(pa.array(stays))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(released(batches), docs.schema)

@@ -26,14 +26,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks_by_size
+from quern.llm.common import chunks_by_size, released
 
 SPACE = "▁"
 #: Below the least score of a piece: the score of a character spelt in byte pieces.
 SPELLING_PENALTY = 10.0
 #: Boundaries after which a long stretch is checked for a decided prefix.
 WINDOW = 4096
-SHORT, REMEMBERED = 48, 700_000
+SHORT, REMEMBERED = 48, 100_000
 
 
 class PieceCodec:
@@ -58,6 +58,7 @@ class PieceCodec:
         # Stretches between places that no piece reaches across; a text is one stretch if pieces can hold inner spaces.
         self.stretches = re.compile(r"(?s).+" if crossed else r" +[^ ]*|[^ ]+" if broken else r"\n| +[^ \n]*|[^ \n]+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> PieceCodec:
@@ -76,6 +77,10 @@ class PieceCodec:
             pieces[i] = p.id_to_piece(i)
         return cls(pieces, scores, [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
+    def forget(self) -> None:
+        """Let go of remembered stretches, so that an idle worker holds the vocabulary alone."""
+        self.known, self.older = {}, {}
+
     def _spell(self, character: str) -> list[int]:
         return [self.bytes_at[b] for b in (" " if character == SPACE else character).encode()]
 
@@ -140,13 +145,15 @@ class PieceCodec:
         return self._encode(" " + text) if text else b""
 
     def _encode(self, text: str) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, out = self.known, []
+        if len(self.known) > REMEMBERED:  # what was asked for since the last time stays
+            self.known, self.older = {}, self.known
+        known, older, out = self.known, self.older, []
         for stretch in self.stretches.findall(text):
             ids = known.get(stretch)
             if ids is None:
-                ids = np.fromiter(self.viterbi(stretch.replace(" ", SPACE)), "<u4").tobytes()
+                ids = older.get(stretch)
+                if ids is None:
+                    ids = np.fromiter(self.viterbi(stretch.replace(" ", SPACE)), "<u4").tobytes()
                 if len(stretch) <= SHORT:
                     known[stretch] = ids
             out.append(ids)
@@ -185,8 +192,9 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), listed, pa.array(same, pa.bool_())], names=["id", "ids", "round_trip"])
+        own.forget()
 
-    return rows.mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(batches), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -201,4 +209,4 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids
             texts = [own.decode(np.array(i or [], "<u4")) for i in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return rows.mapInArrow(batches, f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(batches), f"id {rows.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
