@@ -67,6 +67,17 @@ def transitions(string: str) -> np.ndarray:
     return at[:-1] * STATES + at[1:]
 
 
+#: All ASCII characters that are no state of their own and do not part strings.
+_LEFT_OUT = bytes(c for c in range(1, 128) if CODES[c] == EDGE)
+
+
+def joined_transitions(strings: list[str]) -> np.ndarray:
+    """The transitions of many strings, none of them empty, one after the other."""
+    joined = "\x00".join(["", *strings, ""]).encode("ascii", "ignore").translate(None, _LEFT_OUT)
+    at = CODES[np.frombuffer(joined, np.uint8)].astype(np.int64)
+    return at[:-1] * STATES + at[1:]
+
+
 @dataclass(frozen=True)
 class MarkovModel:
     ratios: np.ndarray  # log(random / ordinary) of each transition
@@ -77,9 +88,7 @@ class MarkovModel:
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         """The scores of many tokens, none of them empty, at once."""
-        joined = np.frombuffer("\x00".join(["", *tokens, ""]).encode("ascii"), np.uint8)
-        at = CODES[joined].astype(np.int64)
-        ratios = self.ratios[at[:-1] * STATES + at[1:]]
+        ratios = self.ratios[joined_transitions(tokens)]
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
         return np.add.reduceat(ratios, np.cumsum(lengths) - lengths)
 
@@ -120,13 +129,14 @@ def train(samples: DataFrame) -> MarkovModel:
 
     def counted(source):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         held: dict[str, np.ndarray] = {}
         for batch in source:
             for label in ("random", "ordinary"):
-                own = [transitions(s) for s, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if k == label and s]
-                if own:
-                    held[label] = held.get(label, 0) + np.bincount(np.concatenate(own), minlength=STATES * STATES)
+                own = batch.column(0).filter(pc.equal(batch.column(1), label)).drop_null().to_pylist()
+                if own := [s for s in own if s]:
+                    held[label] = held.get(label, 0) + np.bincount(joined_transitions(own), minlength=STATES * STATES)
         for label, n in held.items():
             at = np.flatnonzero(n)
             yield pa.record_batch([pa.array([label] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["label", "pair", "n"])
