@@ -77,10 +77,6 @@ class PieceCodec:
             pieces[i] = p.id_to_piece(i)
         return cls(pieces, scores, [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
-    def forget(self) -> None:
-        """Let go of remembered stretches, so that an idle worker holds the vocabulary alone."""
-        self.known, self.older = {}, {}
-
     def _spell(self, character: str) -> list[int]:
         return [self.bytes_at[b] for b in (" " if character == SPACE else character).encode()]
 
@@ -192,7 +188,6 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 ends = np.cumsum([0, *(len(i) // 4 for i in ids)])
                 listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
                 yield pa.record_batch([batch.column(0).slice(a, b - a), listed, pa.array(same, pa.bool_())], names=["id", "ids", "round_trip"])
-        own.forget()
 
     return rows.mapInArrow(released(batches), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, round_trip boolean").withColumnRenamed("id", id_col)
 
