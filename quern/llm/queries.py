@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quern.llm import decontaminate as op7
 from quern.llm import exact_dedup as op1
 from quern.llm import language_id as op4
+from quern.llm import line_dedup as op12
 from quern.llm import lm_score as op6
 from quern.llm import piece_codec as op9
 from quern.llm import secrets as op5
@@ -132,10 +133,25 @@ FROM best
 """
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op12.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(w) AS line, unnest(range(len(w))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)),
+keyed AS (SELECT doc_id, pos, line, $key AS key FROM lines),
+repeated AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT coalesce(doc_id::VARCHAR, '')) >= 3),
+judged AS (SELECT keyed.*, repeated.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS dropped FROM keyed LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+""".replace("$key", LOWER_SQL.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding]
+    found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding, op12_line_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op10_sharding": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op10_sharding": OP10_SQL, "op12_line_dedup": OP12_SQL}
