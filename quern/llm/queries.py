@@ -18,6 +18,7 @@ from quern.llm import secrets as op5
 from quern.llm import sharding as op10
 from quern.llm import simhash as op2
 from quern.llm import token_output as op8
+from quern.llm import tokenizer_alignment as op11
 from quern.llm import url_filter as op3
 from quern.llm.common import fold, shared_dir, table
 
@@ -133,6 +134,12 @@ FROM best
 """
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = op11.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    found = op11.count_links(op11.with_digests(aligned))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op12.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -149,7 +156,7 @@ FROM judged GROUP BY doc_id
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding, op12_line_dedup]
+    found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding, op11_tokenizer_alignment, op12_line_dedup]
     return {f.__name__: f for f in found}
 
 
