@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontaminate as op7
 from quern.llm import exact_dedup as op1
+from quern.llm import hard_negatives as op13
 from quern.llm import language_id as op4
 from quern.llm import line_dedup as op12
 from quern.llm import lm_score as op6
@@ -155,10 +156,31 @@ FROM judged GROUP BY doc_id
 """.replace("$key", LOWER_SQL.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return op13.mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score FROM rows a, rows r WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding, op11_tokenizer_alignment, op12_line_dedup]
+    found = [op1_exact_dedup, op2_simhash_dedup, op3_url_filter, op4_language_id, op5_secret_scan, op6_lm_scoring, op7_decontamination, op8_token_output, op9_sentencepiece, op10_sharding, op11_tokenizer_alignment, op12_line_dedup, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op10_sharding": OP10_SQL, "op12_line_dedup": OP12_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_decontamination": OP7_SQL, "op10_sharding": OP10_SQL, "op12_line_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
