@@ -18,8 +18,9 @@ is shuffled is a row for each pair of a block, and the blocks' compressed number
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,10 +32,12 @@ from quern.llm.token_output import BYTE_SIGNS
 SPACE = "▁"
 #: A space that both tokenizers begin a token with. White space is meant in Python's sense, which has all that a tokenizer splits at.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Stretches that a worker remembers, and the longest of them.
-REMEMBERED, LONGEST = 150_000, 64
+#: Stretches that a worker remembers.
+REMEMBERED = 200_000
+#: ASCII signs, of which a run is one word for byte-level BPE.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: A block of links is closed at this many.
-BLOCK_LINKS = 1 << 22
+BLOCK_LINKS = 1 << 21
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -53,6 +56,35 @@ def slices(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes
     return [left[e] for e in common], [right[e] for e in common]
 
 
+class Aligned(NamedTuple):
+    """Texts one after the other: ids of a and b, ends of groups in both (counted from a text's first id), and the number of each for every text."""
+
+    a: np.ndarray
+    b: np.ndarray
+    a_ends: np.ndarray
+    b_ends: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+
+
+class Side:
+    """What is remembered of one tokenizer: for each stretch its ids, each as 2 * id + 1 where a group ends with it."""
+
+    def __init__(self):
+        self.values, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
+        self.values, self.sizes = np.concatenate([self.values, values]), np.concatenate([self.sizes, sizes])
+
+    def of(self, stretches: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of stretches one after the other, and the number of each; none of those that are not ``used``."""
+        sizes = np.where(used, self.sizes[stretches], 0)
+        ends = np.cumsum(sizes)
+        return self.values[np.repeat(self.starts[stretches] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+
+
 class Aligner:
     """Encodes with a byte-level BPE (a) and a SentencePiece model that adds a space (b), and aligns their ids."""
 
@@ -62,6 +94,7 @@ class Aligner:
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         signs = {s: bytes([n]) for n, s in enumerate(BYTE_SIGNS)}
         names = {i: token for token, i in self.a.get_vocab(with_added_tokens=True).items()}
         # Tokens outside the alphabet, such as special ones, never come from a text.
@@ -70,58 +103,81 @@ class Aligner:
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("a token stands for no bytes: ends would not tell tokens apart")
-        self.kinds = tuple("<u2" if len(x) <= 1 << 16 else "<u4" for x in (self.a_bytes, self.b_bytes))
         # A piece that holds a space behind another character could reach across a cut: then texts are not cut.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.known: dict[str, tuple | None] = {}
-        self.older: dict[str, tuple | None] = {}
-
-    def _learn(self, new: list[str]) -> dict[str, tuple | None]:
-        """The alignment of each stretch: a's ids, b's ids, for each id of both whether a group ends with it; None if a side spells other bytes."""
-        out = {}
-        ids_of = zip(new, self.a.encode_batch_fast([" " + x for x in new], add_special_tokens=False), self.b.encode(new, num_threads=1), strict=True)
-        for stretch, left, right in ids_of:
-            a, spelt = left.ids, (" " + stretch).encode()
-            if b"".join(map(self.a_bytes.__getitem__, a)) != spelt or b"".join(map(self.b_bytes.__getitem__, right)) != spelt:
-                out[stretch] = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.sides = Side(), Side()
+        self.spelt = np.zeros(0, bool)
+
+    def _a_ids(self, new: list[str]) -> list[list[int]]:
+        """a's ids of a space and each stretch. A word and signs behind it are told apart before merges, which alone decide the rest."""
+        out: list[list[int] | None] = []
+        rest, tokenize = [], self.model.tokenize
+        for n, x in enumerate(new):
+            word = x.rstrip(SIGNS)
+            if word.isalpha() and max(word) < "\u0250":
+                if not word.isascii():
+                    word = "".join(map(BYTE_SIGNS.__getitem__, word.encode()))
+                ids = [t.id for t in tokenize(BYTE_SIGNS[32] + word)]
+                if tail := x[len(x.rstrip(SIGNS)) :]:
+                    ids += [t.id for t in tokenize(tail)]
+                out.append(ids)
             else:
-                flags = []
-                for ids, ends in zip((a, right), slices(a, right, self.a_bytes, self.b_bytes), strict=True):
-                    last = bytearray(len(ids))
-                    for end in ends:
-                        last[end - 1] = 1
-                    flags.append(bytes(last))
-                out[stretch] = (np.array(a, self.kinds[0]).tobytes(), np.array(right, self.kinds[1]).tobytes(), *flags)
+                rest.append(n)
+                out.append(None)
+        for n, found in zip(rest, self.a.encode_batch_fast([" " + new[n] for n in rest], add_special_tokens=False), strict=True):
+            out[n] = found.ids
         return out
 
-    def stretches(self, texts: list[str]) -> Iterator[list[tuple | None]]:
-        """The alignments of the stretches of each text."""
-        if len(self.known) > REMEMBERED:  # what was asked for since the last time stays
-            self.known, self.older = {}, self.known
+    def _learn(self, new: list[str]) -> None:
+        """Aligns new stretches, one behind the other: each begins and ends where tokens of both do."""
+        ids = self._a_ids(new), self.b.encode(new, num_threads=1)
+        sizes = [np.fromiter(map(len, x), np.int64, len(new)) for x in ids]
+        flat = [list(chain.from_iterable(x)) for x in ids]
+        bytes_of = self.a_bytes, self.b_bytes
+        spelt = np.ones(len(new), bool)
+        whole = "".join(" " + x for x in new).encode()
+        if any(b"".join(map(names.__getitem__, x)) != whole for names, x in zip(bytes_of, flat, strict=True)):
+            for n, x in enumerate(new):
+                spelt[n] = all(b"".join(map(names.__getitem__, own[n])) == (" " + x).encode() for names, own in zip(bytes_of, ids, strict=True))
+            good = np.flatnonzero(spelt).tolist()
+            flat = [[i for n in good for i in x[n]] for x in ids]
+            sizes = [np.where(spelt, n, 0) for n in sizes]
+        if "" in new:
+            spelt[new.index("")] = False
+        for side, x, n, ends in zip(self.sides, flat, sizes, slices(*flat, *bytes_of), strict=True):
+            values = 2 * np.array(x, np.int32)
+            values[np.array(ends, np.int64) - 1] += 1
+            side.add(values, n)
+        self.at.update(zip(new, range(len(self.spelt), len(self.spelt) + len(new)), strict=True))
+        self.spelt = np.concatenate([self.spelt, spelt])
+
+    def __call__(self, texts: list[str]) -> Aligned:
+        """Whole texts, one at least; an empty one and one that a side does not spell byte for byte have no ids."""
+        if len(self.at) > REMEMBERED or max(len(s.values) for s in self.sides) > 16 * REMEMBERED:
+            self.forget()
         split = [CUT.split(t) if self.cuts else [t] for t in texts]
-        known, older = self.known, self.older
-        missing = {x for parts in split for x in parts if x not in known}
-        for x in missing & older.keys():
-            known[x] = older[x]
-        here: dict[str, tuple | None] = {}
-        new = list(missing - older.keys())
-        for at, to in chunks_by_size(new, 1 << 20):
-            for x, found in self._learn(new[at:to]).items():
-                (known if len(x) <= LONGEST else here)[x] = found
-        for parts in split:
-            yield [known[x] if x in known else here[x] for x in parts]
-
-    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Of whole texts: a's ids, b's ids, ends in a, ends in b, one after the other, and the number of each for every text."""
-        parts, sizes = ([], [], [], []), np.zeros((4, len(texts)), np.int64)
-        for n, found in enumerate(self.stretches(texts)):
-            if not texts[n] or None in found:
-                continue
-            a, b, *flags = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*found, strict=True), (*self.kinds, "u1", "u1"), strict=True))
-            for k, values in enumerate((a, b, *(np.flatnonzero(f) + 1 for f in flags))):
-                parts[k].append(values.astype(np.int32))
-                sizes[k, n] = len(values)
-        return [np.concatenate([np.zeros(0, np.int32), *x]) for x in parts], list(sizes)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        stretches = list(chain.from_iterable(split))
+        if new := list(set(stretches).difference(self.at)):
+            self._learn(new)
+        at = np.fromiter(map(self.at.__getitem__, stretches), np.int64, len(stretches))
+        first = np.cumsum(counts) - counts
+        used = np.repeat(np.logical_and.reduceat(self.spelt[at], first), counts)
+        ids, ends, numbers = [], [], []
+        for side in self.sides:
+            values, sizes = side.of(at, used)
+            own = np.add.reduceat(sizes, first)
+            last = np.flatnonzero(values & 1)
+            before = np.cumsum(own) - own
+            groups = np.diff(np.searchsorted(last, np.append(before, len(values))))
+            ids.append(values >> 1)
+            ends.append((last + 1 - np.repeat(before, groups)).astype(np.int32))
+            numbers.append((own, groups))
+        return Aligned(*ids, *ends, numbers[0][0], numbers[1][0], numbers[0][1])
 
 
 @lru_cache(maxsize=2)
@@ -134,6 +190,17 @@ def _aligner(a_path: str, b_path: str) -> Aligner:
 
 
 ALIGNED = ("a_ids", "b_ids", "a_ends", "b_ends")
+#: Text that is encoded at once.
+CHUNK = 2 << 20
+
+
+def _chunks(source, a_path: str, b_path: str):
+    """(ids, Aligned) of Arrow batches (id, text), about CHUNK characters or one longer text at a time."""
+    own = _aligner(a_path, b_path)
+    for batch in source:
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for start, to in chunks_by_size(texts, CHUNK):
+            yield batch.column(0).slice(start, to - start), own(texts[start:to])
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,150 +218,120 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     def batches(source):
         import pyarrow as pa
 
-        own = _aligner(a_path, b_path)
-        for batch in source:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for start, to in chunks_by_size(texts, 2 << 20):
-                values, sizes = own(texts[start:to])
-                arrays = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(v)) for v, n in zip(values, sizes, strict=True)]
-                yield pa.record_batch([batch.column(0).slice(start, to - start), *arrays], names=["id", *ALIGNED])
+        for ids, x in _chunks(source, a_path, b_path):
+            sizes = x.n_a, x.n_b, x.n_groups, x.n_groups
+            arrays = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(v, pa.int32())) for v, n in zip(x[:4], sizes, strict=True)]
+            yield pa.record_batch([ids, *arrays], names=["id", *ALIGNED])
 
     lists = ", ".join(f"{c} array<int>" for c in ALIGNED)
     return rows.mapInArrow(released(batches), f"id {rows.schema['id'].dataType.simpleString()}, {lists}").withColumnRenamed("id", id_col)
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """The values of an Arrow list column one after the other, and the number of each row."""
-    return column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-
-
-def render(a_ids: np.ndarray, b_ids: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray, signs: list[str]) -> str:
-    """``a1,a2|b1;a3|b2``: the groups of one text. ``signs`` has three strings for each id: followed by a comma, a bar, a semicolon."""
-    if not len(a_ends):
-        return ""
+def rendered(x: Aligned) -> list[str]:
+    """``a1,a2|b1;a3|b2`` of each text: its groups, the ids of a and of b in order; '' without ids."""
+    ends, texts = [], len(x.n_groups)
+    for e, n in ((x.a_ends, x.n_a), (x.b_ends, x.n_b)):
+        ends.append(e + np.repeat(np.cumsum(n) - n, x.n_groups))
     # A group's ids of a, then those of b: where each id comes in the whole.
-    ends = [np.asarray(e, np.int64) for e in (a_ends, b_ends)]
     a_group, b_group = (np.repeat(np.arange(len(e)), np.diff(e, prepend=0)) for e in ends)
-    a_at = np.arange(len(a_ids)) + np.concatenate(([0], ends[1][:-1]))[a_group]
-    b_at = np.arange(len(b_ids)) + ends[0][b_group]
-    codes = np.zeros(len(a_ids) + len(b_ids), np.int64)
-    codes[a_at], codes[b_at] = 3 * a_ids.astype(np.int64), 3 * b_ids.astype(np.int64)
+    a_at = np.arange(len(x.a)) + np.concatenate(([0], ends[1]))[a_group]
+    b_at = np.arange(len(x.b)) + ends[0][b_group]
+    codes = np.zeros(len(x.a) + len(x.b), np.int64)
+    codes[a_at], codes[b_at] = 3 * x.a.astype(np.int64), 3 * x.b.astype(np.int64)
     codes[a_at[ends[0] - 1]] += 1
     codes[b_at[ends[1] - 1]] += 2
-    return "".join(map(signs.__getitem__, codes.tolist()))[:-1]
-
-
-def id_signs(n: int) -> list[str]:
-    return [f"{i}{sign}" for i in range(n) for sign in ",|;"]
+    signs = _signs(int(codes.max(initial=0)) // 3 >> 16)
+    bounds = np.concatenate(([0], np.cumsum(x.n_a + x.n_b))).tolist()
+    return ["".join(map(signs.__getitem__, codes[bounds[k] : bounds[k + 1]].tolist()))[:-1] for k in range(texts)]
 
 
-def with_digests(aligned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, ``n_a``, ``n_b``, ``n_groups``, ``groups_sha256`` (of ``render``; '' without tokens), ``a_last``, ``b_last`` (the links) of rows of ``align``."""
-    rows = aligned.select(F.col(id_col).alias("id"), *ALIGNED)
+@lru_cache(maxsize=1)
+def _signs(pages: int) -> list[str]:
+    """Three strings for each id below (pages + 1) * 65536: followed by a comma, a bar, a semicolon."""
+    return [f"{i}{sign}" for i in range((pages + 1) << 16) for sign in ",|;"]
 
-    def batches(source):
-        import hashlib
 
-        import pyarrow as pa
-
-        signs: list[str] = []
-        for batch in source:
-            (a, n_a), (b, n_b), (ea, n_g), (eb, _) = (_flat(batch.column(k)) for k in range(1, 5))
-            if (most := int(max(a.max(initial=0), b.max(initial=0)))) >= len(signs) // 3:
-                signs = id_signs(max(most + 1, 1 << 16))
-            places = [np.concatenate(([0], np.cumsum(n))) for n in (n_a, n_b, n_g)]
-            pa_, pb, pg = (p.tolist() for p in places)
-            digests = []
-            for k in range(batch.num_rows):
-                g = slice(pg[k], pg[k + 1])
-                said = render(a[pa_[k] : pa_[k + 1]], b[pb[k] : pb[k + 1]], ea[g], eb[g], signs)
-                digests.append(hashlib.sha256(said.encode()).hexdigest() if said else "")
-            last = [x[e + np.repeat(p[:-1], n_g) - 1] for x, e, p in ((a, ea, places[0]), (b, eb, places[1]))]
-            lists = [pa.ListArray.from_arrays(pa.array(places[2], pa.int32()), pa.array(x.astype(np.int32))) for x in last]
-            counts = [pa.array(n.astype(np.int64)) for n in (n_a, n_b, n_g)]
-            yield pa.record_batch([batch.column(0), *counts, pa.array(digests, pa.string()), *lists], names=["id", "n_a", "n_b", "n_groups", "groups_sha256", "a_last", "b_last"])
-
-    return rows.mapInArrow(released(batches), f"id {rows.schema['id'].dataType.simpleString()}, n_a long, n_b long, n_groups long, groups_sha256 string, a_last array<int>, b_last array<int>").withColumnRenamed("id", id_col)
-
-
-def _blocks(links: DataFrame, payload: str) -> DataFrame:
-    """Materialised (block, payloads, sizes, pairs, counts, places) of (payload, a_last, b_last).
+def _blocks(rows: DataFrame, a_path: str, b_path: str, id_type: str) -> DataFrame:
+    """Materialised (block, ids, n_a, n_b, n_groups, digests, pairs, counts, places): aligned texts in blocks of about BLOCK_LINKS links.
 
     ``pairs`` are the block's different pairs in order, a in the high 32 bits, with
     their ``counts``; ``places`` leads from each link to its pair, compressed.
     """
 
     def batches(source):
+        import hashlib
+
         import pyarrow as pa
         from pyspark import TaskContext
 
-        held, sizes, codes, n, block = [], [], [], 0, 0
+        held, codes, links, block = [], [], 0, 0
         task = TaskContext.get().partitionId() << 32
+        listed = lambda values, kind: pa.array([np.concatenate(values)], pa.list_(kind))
 
         def close():
             pairs, places, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
             places = places.astype(np.min_scalar_type(max(len(pairs) - 1, 0))).tobytes()
-            payloads = pa.concat_arrays(held)
-            listed = pa.ListArray.from_arrays(pa.array([0, len(payloads)], pa.int32()), payloads)
-            columns = {"block": pa.array([task + block]), "payloads": listed, "sizes": pa.array([np.concatenate(sizes).tolist()], pa.list_(pa.int32()))}
-            columns |= {"pairs": pa.array([pairs.tolist()], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int64()))}
-            columns |= {"places": pa.array([pa.Codec("zstd").compress(places, asbytes=True)], pa.binary()), "n": pa.array([n])}
-            return pa.RecordBatch.from_pydict(columns)
-
-        for batch in source:
-            (a, own), (b, _) = (_flat(batch.column(k)) for k in (1, 2))
-            ends = np.cumsum(own)
-            for start, to in chunks_by_size(own.tolist(), BLOCK_LINKS, size=int):
-                low, high = int(ends[start] - own[start]), int(ends[to - 1])
-                held.append(batch.column(0).slice(start, to - start))
-                sizes.append(own[start:to].astype(np.int32))
-                codes.append(a[low:high].astype(np.int64) << 32 | b[low:high])
-                n += high - low
-                if n >= BLOCK_LINKS:
-                    yield close()
-                    held, sizes, codes, n, block = [], [], [], 0, block + 1
+            ids = pa.concat_arrays([x[0] for x in held])
+            numbers = {name: listed([x[k] for x in held], pa.int64()) for k, name in enumerate(("n_a", "n_b", "n_groups"), 1)}
+            columns = {"block": pa.array([task + block]), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), **numbers}
+            columns |= {"digests": pa.array([[d for x in held for d in x[4]]], pa.list_(pa.string())), "pairs": listed([pairs], pa.int64()), "counts": listed([counts], pa.int64())}
+            return pa.RecordBatch.from_pydict(columns | {"places": pa.array([pa.Codec("zstd").compress(places, asbytes=True)], pa.binary())})
+
+        for ids, x in _chunks(source, a_path, b_path):
+            digests = [hashlib.sha256(said.encode()).hexdigest() if said else "" for said in rendered(x)]
+            a, b = (v[e + np.repeat(np.cumsum(n) - n, x.n_groups) - 1] for v, e, n in ((x.a, x.a_ends, x.n_a), (x.b, x.b_ends, x.n_b)))
+            held.append((ids, x.n_a, x.n_b, x.n_groups, digests))
+            codes.append(a.astype(np.int64) << 32 | b)
+            links += len(a)
+            if links >= BLOCK_LINKS:
+                yield close()
+                held, codes, links, block = [], [], 0, block + 1
         if held:
             yield close()
 
-    schema = f"block long, payloads array<{payload}>, sizes array<int>, pairs array<long>, counts array<long>, places binary, n long"
-    return materialise(links.mapInArrow(released(batches), schema), "link-blocks")
+    schema = f"block long, ids array<{id_type}>, n_a array<long>, n_b array<long>, n_groups array<long>, digests array<string>, pairs array<long>, counts array<long>, places binary"
+    return materialise(rows.mapInArrow(released(batches), schema), "link-blocks")
 
 
-def count_links(links: DataFrame) -> DataFrame:
-    """The rows of ``links``(.., a_last, b_last) without these two, with ``n_links``, ``n_best`` and ``count_sum``.
+def score_alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum``, ``groups_sha256``.
 
-    A pair's count is how often all rows hold it linked. ``n_best`` are the links
-    whose count is the highest of their id of b (ties too), ``count_sum`` the sum
-    of the links' counts. Counts are exact and cover all rows. A task holds a block of
-    about ``BLOCK_LINKS`` links, or one longer document. A pair comes once a block
-    however frequent it is. What is broadcast is a number for each id of b.
+    Texts are aligned as ``align`` does, with the same rule for odd rows. A pair's
+    count is how often all rows hold it linked. ``n_best`` are the links whose count
+    is the highest of their id of b (ties too), ``count_sum`` the sum of the links'
+    counts, ``groups_sha256`` the digest of ``rendered`` ('' without ids).
+
+    Counts are exact and cover all rows. A task holds a block of about BLOCK_LINKS
+    links, or one longer document. A pair comes once a block however frequent it
+    is. What is broadcast is a number for each id of b.
     """
-    carried = [c for c in links.columns if c not in ("a_last", "b_last")]
-    rows = links.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in carried]).alias("payload"), "a_last", "b_last")
-    kind = rows.schema["payload"].dataType.simpleString()
-    blocks = _blocks(rows, kind)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    blocks = _blocks(rows, a_path, b_path, id_type)
     sent = blocks.select("block", F.explode(F.arrays_zip("pairs", "counts")).alias("of")).select("block", F.col("of.pairs").alias("pair"), F.col("of.counts").alias("n"))
-    pairs = sent.groupBy("pair").agg(F.sum("n").alias("total"))
-    pairs = materialise(pairs, "link-pairs")
-    best = pairs.groupBy(F.col("pair").bitwiseAND((1 << 32) - 1).alias("b")).agg(F.max("total").alias("best"))
-    totals = sent.join(pairs, "pair").withColumn("b", F.col("pair").bitwiseAND((1 << 32) - 1)).join(F.broadcast(best), "b")
-    said = totals.select("block", F.lit(None).cast(f"array<{kind}>").alias("payloads"), F.lit(None).cast("array<int>").alias("sizes"), F.lit(None).cast("binary").alias("places"), "pair", "total", (F.col("total") == F.col("best")).alias("is_best"))
-    both = blocks.select("block", "payloads", "sizes", "places", F.lit(None).cast("long").alias("pair"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("boolean").alias("is_best")).unionByName(said)
+    pairs = materialise(sent.groupBy("pair").agg(F.sum("n").alias("total")), "link-pairs")
+    b_of = F.col("pair").bitwiseAND((1 << 32) - 1).alias("b")
+    best = pairs.groupBy(b_of).agg(F.max("total").alias("best"))
+    totals = sent.join(pairs, "pair").withColumn("b", b_of).join(F.broadcast(best), "b")
+    carried = ["ids", "n_a", "n_b", "n_groups", "digests", "places"]
+    none = lambda columns, schema: [F.lit(None).cast(schema[c].dataType).alias(c) for c in columns]
+    said = totals.select("block", *none(carried, blocks.schema), "pair", "total", (F.col("total") == F.col("best")).alias("is_best"))
+    both = blocks.select("block", *carried, *none(["pair", "total", "is_best"], said.schema)).unionByName(said)
 
     def scored(table):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        own = table.filter(pc.is_null(table.column("pair")))
-        told = table.filter(pc.is_valid(table.column("pair"))).sort_by("pair")
-        total, top = told.column("total").to_numpy(), told.column("is_best").to_numpy().astype(np.int64)
-        sizes = np.array(own.column("sizes")[0].as_py(), np.int64)
+        of_block = pc.is_null(table.column("pair"))
+        own, told = table.filter(of_block), table.filter(pc.invert(of_block)).sort_by("pair")
+        total, top = told.column("total").to_numpy(), told.column("is_best").to_numpy(zero_copy_only=False).astype(np.int64)
+        lists = {c: own.column(c).combine_chunks().flatten() for c in carried[:-1]}
+        sizes = lists["n_groups"].to_numpy()
         width = np.min_scalar_type(max(len(total) - 1, 0))
         raw = pa.Codec("zstd").decompress(own.column("places")[0].as_py(), int(sizes.sum()) * width.itemsize, asbytes=True)
         at, ends = np.frombuffer(raw, width), np.concatenate(([0], np.cumsum(sizes)))
-        summed = lambda values: np.diff(np.concatenate(([0], np.cumsum(values[at])))[ends]) if len(values) else np.zeros(len(sizes), np.int64)
-        payloads = own.column("payloads").combine_chunks().flatten()
-        return pa.table([payloads, pa.array(sizes), pa.array(summed(top)), pa.array(summed(total))], names=["payload", "n_links", "n_best", "count_sum"])
+        summed = lambda values: np.diff(np.concatenate(([0], np.cumsum(values[at])))[ends])
+        return pa.table({"id": lists["ids"], "n_a": lists["n_a"], "n_b": lists["n_b"], "n_groups": sizes, "n_links": sizes, "n_best": summed(top), "count_sum": summed(total), "groups_sha256": lists["digests"]})
 
-    found = both.groupBy("block").applyInArrow(scored, f"payload {kind}, n_links long, n_best long, count_sum long")
-    return found.select("payload.*", "n_links", "n_best", "count_sum")
+    schema = f"id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+    return both.groupBy("block").applyInArrow(scored, schema).withColumnRenamed("id", id_col)

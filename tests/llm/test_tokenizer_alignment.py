@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import tokenizer_alignment
 from quern.llm.queries import queries, tokenizer_path
-from quern.llm.tokenizer_alignment import Aligner, align, count_links, render, slices, with_digests
+from quern.llm.tokenizer_alignment import Aligned, Aligner, align, rendered, score_alignment, slices
 from quern.llm.token_output import BYTE_SIGNS
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -81,14 +81,17 @@ def texts(n, seed=2):
 
 
 def test_stretches_give_the_ids_of_whole_texts(tokenizers):
-    own, all_texts = Aligner(tokenizer_path(A), tokenizer_path(B)), [*filter(None, ODD), *texts(3000)]
-    values, sizes = own(all_texts)
+    own, all_texts = Aligner(tokenizer_path(A), tokenizer_path(B)), [*filter(None, ODD), "", *texts(3000)]
     assert own.cuts
-    at = [np.concatenate(([0], np.cumsum(n))) for n in sizes]
-    signs = tokenizer_alignment.id_signs(1 << 16)
-    for k, text in enumerate(all_texts):
-        parts = [v[p[k] : p[k + 1]] for v, p in zip(values, at, strict=True)]
-        assert render(*parts, signs) == said(groups_of(text, tokenizers)), repr(text)
+    for text, found in zip(all_texts, rendered(own(all_texts)), strict=True):
+        assert found == said(groups_of(text, tokenizers)), repr(text)
+
+
+def test_every_letter_and_sign(tokenizers):
+    own = Aligner(tokenizer_path(A), tokenizer_path(B))
+    some = [x for c in map(chr, [*range(1, 0x300), *range(0x370, 0x3000, 7), 0xFB01, 0xFF21, 0x1D400]) for x in (f"{c}", f"ab{c}", f"x {c}b c{c} {c}.")]
+    for text, found in zip(some, rendered(own(some)), strict=True):
+        assert found == said(groups_of(text, tokenizers)), repr(text)
 
 
 def test_without_cuts_the_same(tokenizers, monkeypatch):
@@ -97,8 +100,8 @@ def test_without_cuts_the_same(tokenizers, monkeypatch):
     own = Aligner(tokenizer_path(A), tokenizer_path(B))
     own.cuts = False
     monkeypatch.setattr(tokenizer_alignment, "REMEMBERED", 10)
-    for x, y in zip([*cut[0], *cut[1]], [*own(some)[0], *own(some)[1]], strict=True):
-        assert np.array_equal(x, y)
+    for _ in range(2):
+        assert all(np.array_equal(x, y) for x, y in zip(cut, own(some), strict=True))
 
 
 def test_slices():
@@ -111,15 +114,20 @@ def test_slices():
 @pytest.mark.parametrize("block", [1, 50, 1 << 22])
 def test_counts_over_all_documents(spark, tokenizers, tmp_path, block, monkeypatch):
     monkeypatch.setattr(tokenizer_alignment, "BLOCK_LINKS", block)
+    monkeypatch.setattr(tokenizer_alignment, "CHUNK", 3 * block)
     rows = [*enumerate([*ODD, *texts(60), "the same again and again", "the same again and again"]), (3, "the same again"), (3, "the same again"), (None, "no id")]
     more = ", ".join("`" + c.replace("`", "``") + "` map<string,int>" for c in CLASHES)
     spark.createDataFrame([(*r, *[None] * len(CLASHES)) for r in rows], f"doc_id long, text string, {more}").repartition(3).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
-    found = count_links(with_digests(align(docs, tokenizer_path(A), tokenizer_path(B))))
+    found = score_alignment(docs, tokenizer_path(A), tokenizer_path(B))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     assert sorted((tuple(r[c] for c in names) for r in found.collect()), key=repr) == brute(rows, tokenizers)
-    none = count_links(with_digests(align(docs.where("false"), tokenizer_path(A), tokenizer_path(B))))
+    none = score_alignment(docs.where("false"), tokenizer_path(A), tokenizer_path(B))
     assert none.collect() == []
+    for row in align(docs, tokenizer_path(A), tokenizer_path(B)).collect():
+        own = Aligned(*(np.array(x, np.int32) for x in row[1:]), *(np.array([len(x)]) for x in row[1:4]))
+        assert rendered(own)[0] in {said(groups_of(t, tokenizers)) for i, t in rows if i == row.doc_id}
+    assert align(docs.where("false"), tokenizer_path(A), tokenizer_path(B)).collect() == []
 
 
 def test_query_on_real_rows(spark, sf, tokenizers):
