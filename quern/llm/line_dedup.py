@@ -5,8 +5,8 @@ documents of each hash are counted; lines whose hash too many documents share
 are dropped except in the last of these documents; the lines that stay are put
 together again by position.
 
-Only hashes, ids and positions of lines are shuffled for it. Texts meet the
-positions of their dropped lines once, at the end.
+Lines are normalised once; only their hashes, ids and positions are written and
+shuffled. Texts meet the positions of their dropped lines once, at the end.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held at once, never those of several rows. Other columns are ignored, whatever
     their names; an empty table gives an empty result.
     """
-    lines = _hashed_lines(docs, id_col, text_col, min_chars)
+    lines = materialise(_hashed_lines(docs, id_col, text_col, min_chars), "hashed-lines")
     repeated = materialise(repeated_lines(lines, min_docs), "repeated-lines")
     total = repeated.agg(F.sum("n")).first()[0] or 0
     same = (F.col("low") == F.col("of_low")) & (F.col("high") == F.col("of_high"))
