@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators import index as ix
+from quern.operators import vector_index as vx
 from quern.plans.registry import query
 from quern.plans.retrieval import WORDS_SQL, lexemes_sql, stem_sql
 from quern.sources.tables import table
@@ -79,3 +80,32 @@ def rank_many_lines(spark, sf_dir):
     ix.build_index(table(spark, sf_dir, "documents"), "doc_id", {"text": "D", "source": "A"}, path)
     asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("of"), "text")
     return ix.rank_many(spark, path, asked, "of", "text").select("query.conv_id", "query.turn", "rank", "doc", "score")
+
+
+def _vectors(spark, sf_dir) -> tuple[str, DataFrame, DataFrame]:
+    """The folder of an index of all embeddings, the rows, and the queries: ids divisible by 50."""
+    path, rows = _folder(spark), table(spark, sf_dir, "embeddings")
+    vx.build_vectors(rows, path)
+    return path, rows, rows.where("vec_id % 50 = 0")
+
+
+def _named(found: DataFrame) -> DataFrame:
+    return found.select("query", "rank", F.col("key").alias("vec_id"), "score")
+
+
+@query()
+def ann_nearest(spark, sf_dir):
+    """The ten nearest of all rows for each id divisible by 50, from as many cells as a sample needs. Tests measure the recall."""
+    path, rows, asked = _vectors(spark, sf_dir)
+    return _named(vx.search_vectors(spark, path, asked, 10, probes=vx.probes_for(spark, path, rows, 10)))
+
+
+COSINE = "round(list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))), 6)"
+
+
+@query(f"""WITH rows AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT b.vec_id AS query, (row_number() OVER (PARTITION BY b.vec_id ORDER BY {COSINE} DESC, a.vec_id))::INT AS rank, a.vec_id, {COSINE} AS score FROM rows a, rows b WHERE b.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def ann_every_cell(spark, sf_dir):
+    """The same over all cells: what is left to chance is the rounding of bytes alone."""
+    path, _, asked = _vectors(spark, sf_dir)
+    return _named(vx.search_vectors(spark, path, asked, 10, probes=vx.MAX_CELLS, rerank=200))
