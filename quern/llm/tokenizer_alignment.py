@@ -41,17 +41,13 @@ BLOCK_LINKS = 1 << 21
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def slices(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[int], list[int]]:
-    """Where the groups of two id lists over the same bytes end: numbers of ids of ``a`` and of ``b`` up to each end that both have."""
-
-    def ends(ids: list[int], spelt: list[bytes]) -> dict[int, int]:
-        at, out = 0, {}
-        for n, i in enumerate(ids, 1):
-            at += len(spelt[i])
-            out[at] = n
-        return out
+def slices(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where the groups of two token lists over the same bytes end, from the tokens' sizes in bytes: numbers of tokens of a and of b up to each end that both have."""
+
+    def ends(sizes: np.ndarray) -> dict[int, int]:
+        return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1), strict=True))
 
-    left, right = ends(a, a_bytes), ends(b, b_bytes)
+    left, right = ends(a_sizes), ends(b_sizes)
     common = sorted(left.keys() & right.keys())
     return [left[e] for e in common], [right[e] for e in common]
 
@@ -82,7 +78,11 @@ class Side:
         """The values of stretches one after the other, and the number of each; none of those that are not ``used``."""
         sizes = np.where(used, self.sizes[stretches], 0)
         ends = np.cumsum(sizes)
-        return self.values[np.repeat(self.starts[stretches] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
+        return self.values[np.repeat(self.starts[stretches] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def keep(self, stretches: np.ndarray) -> None:
+        values, sizes = self.of(stretches, np.ones(len(stretches), bool))
+        self.values, self.starts, self.sizes = values, np.cumsum(sizes) - sizes, sizes
 
 
 class Aligner:
@@ -105,29 +105,40 @@ class Aligner:
             raise ValueError("a token stands for no bytes: ends would not tell tokens apart")
         # A piece that holds a space behind another character could reach across a cut: then texts are not cut.
         self.cuts = not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.forget()
-
-    def forget(self) -> None:
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.at: dict[str, int] = {}
         self.sides = Side(), Side()
-        self.spelt = np.zeros(0, bool)
+        self.spelt, self.uses = np.zeros(0, bool), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the stretches that were used most since the last time: at most half of what is remembered, and short ones only."""
+        most = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        short = (self.sides[0].sizes < 64) & (self.uses > 1)
+        kept = np.sort(most[short[most]])
+        for side in self.sides:
+            side.keep(kept)
+        names = list(self.at)  # in the order of their numbers
+        self.at = {names[n]: k for k, n in enumerate(kept.tolist())}
+        self.spelt, self.uses = self.spelt[kept], np.zeros(len(kept), np.int64)
 
     def _a_ids(self, new: list[str]) -> list[list[int]]:
         """a's ids of a space and each stretch. A word and signs behind it are told apart before merges, which alone decide the rest."""
         out: list[list[int] | None] = []
-        rest, tokenize = [], self.model.tokenize
+        rest, words, tokenize = [], {"": []}, self.model.tokenize
         for n, x in enumerate(new):
             word = x.rstrip(SIGNS)
-            if word.isalpha() and max(word) < "\u0250":
-                if not word.isascii():
-                    word = "".join(map(BYTE_SIGNS.__getitem__, word.encode()))
-                ids = [t.id for t in tokenize(BYTE_SIGNS[32] + word)]
-                if tail := x[len(x.rstrip(SIGNS)) :]:
-                    ids += [t.id for t in tokenize(tail)]
-                out.append(ids)
-            else:
+            if not (word.isalpha() and max(word) < "\u0250"):
                 rest.append(n)
                 out.append(None)
+                continue
+            ids, tail = words.get(word), x[len(word) :]
+            if ids is None:
+                spelt = word if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode()))
+                ids = words[word] = [t.id for t in tokenize(BYTE_SIGNS[32] + spelt)]
+            signs = words.get(tail)
+            if signs is None:
+                signs = words[tail] = [t.id for t in tokenize(tail)]
+            out.append(ids + signs)
         for n, found in zip(rest, self.a.encode_batch_fast([" " + new[n] for n in rest], add_special_tokens=False), strict=True):
             out[n] = found.ids
         return out
@@ -148,12 +159,13 @@ class Aligner:
             sizes = [np.where(spelt, n, 0) for n in sizes]
         if "" in new:
             spelt[new.index("")] = False
-        for side, x, n, ends in zip(self.sides, flat, sizes, slices(*flat, *bytes_of), strict=True):
-            values = 2 * np.array(x, np.int32)
+        flat = [np.array(x, np.int64) for x in flat]
+        for side, x, n, ends in zip(self.sides, flat, sizes, slices(self.a_sizes[flat[0]], self.b_sizes[flat[1]]), strict=True):
+            values = (2 * x).astype(np.int32)
             values[np.array(ends, np.int64) - 1] += 1
             side.add(values, n)
         self.at.update(zip(new, range(len(self.spelt), len(self.spelt) + len(new)), strict=True))
-        self.spelt = np.concatenate([self.spelt, spelt])
+        self.spelt, self.uses = np.concatenate([self.spelt, spelt]), np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def __call__(self, texts: list[str]) -> Aligned:
         """Whole texts, one at least; an empty one and one that a side does not spell byte for byte have no ids."""
@@ -165,6 +177,7 @@ class Aligner:
         if new := list(set(stretches).difference(self.at)):
             self._learn(new)
         at = np.fromiter(map(self.at.__getitem__, stretches), np.int64, len(stretches))
+        self.uses += np.bincount(at, minlength=len(self.uses))
         first = np.cumsum(counts) - counts
         used = np.repeat(np.logical_and.reduceat(self.spelt[at], first), counts)
         ids, ends, numbers = [], [], []

@@ -105,10 +105,19 @@ def test_without_cuts_the_same(tokenizers, monkeypatch):
 
 
 def test_slices():
-    spelt = [b"a", b"b", b"ab", b"abc", b"c", b"ca"]
-    assert slices([0, 1, 4], [2, 4], spelt, spelt) == ([2, 3], [1, 2])
-    assert slices([2, 5, 1], [0, 1, 4, 2], spelt, spelt) == ([1, 3], [2, 4])
-    assert slices([], [], spelt, spelt) == ([], [])
+    assert slices(np.array([1, 1, 1]), np.array([2, 1])) == ([2, 3], [1, 2])
+    assert slices(np.array([2, 2, 1]), np.array([1, 1, 1, 2])) == ([1, 3], [2, 4])
+    assert slices(np.array([], int), np.array([], int)) == ([], [])
+
+
+def test_forgetting_changes_nothing(tokenizers, monkeypatch):
+    monkeypatch.setattr(tokenizer_alignment, "REMEMBERED", 40)
+    own, rng = Aligner(tokenizer_path(A), tokenizer_path(B)), random.Random(7)
+    pool = texts(60, seed=3)
+    for _ in range(30):
+        some = rng.choices(pool, k=5)
+        assert rendered(own(some)) == [said(groups_of(t, tokenizers)) for t in some]
+    assert len(own.at) == len(own.spelt) == len(own.uses) == len(own.sides[0].sizes)
 
 
 @pytest.mark.parametrize("block", [1, 50, 1 << 22])
