@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import chunks_by_size, released
+from quern.llm.common import chunks_by_size, released, with_payload
 
 HASH_BITS = 16
 #: The first code points of script ranges, with the script's number; letters elsewhere are of script 0.
@@ -65,9 +65,10 @@ class LanguageModel:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *, max_texts: int = 5_000) -> LanguageModel:
     """Learn from ``labelled``(text, lang); null texts and languages are left out.
 
-    About ``max_texts`` rows of each language are used, those with the smallest
-    hashes of the whole row: enough for trigram counts, not more where very many
-    texts are equal, and all rows of a language that has few.
+    About ``max_texts`` different texts of each language are used, those with the
+    smallest hashes of the text: enough for trigram counts, fewer where many rows
+    repeat a text, and all texts of a language that has few. Texts that repeat are
+    learnt from once, at any size. No other column has a part in it.
     """
     known = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     language = F.col(lang_col).cast("string")
@@ -75,9 +76,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", *
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     shares = [x for lang, n in totals.items() if n > max_texts for x in (F.lit(lang), F.lit(int((1 << 30) * max_texts / n)))]
+    rows = known.select(F.col(text_col).alias("text"), language.alias("lang"))
     if shares:
-        known = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(1 << 30)) < F.coalesce(F.create_map(*shares)[language], F.lit(1 << 30)))
-    rows = known.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.coalesce(F.create_map(*shares)[F.col("lang")], F.lit(1 << 30)))
+    rows = rows.dropDuplicates(["text", "lang"])
 
     def counted(source):
         import pyarrow as pa
@@ -236,17 +238,19 @@ def keep_languages(docs: DataFrame, training: Column, text_col: str = "text", la
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs.where(training), text_col, lang_col))
     place = docs.columns.index(text_col)
+    # One struct, so that no column's name or type is Arrow's or SQL's concern.
+    rows = with_payload(docs)
 
     def batches(source):
         import pyarrow as pa
 
         labeller = Labeller(shared.value, penalty)
         for batch in source:
-            for a, b, texts in _chunks(batch.column(place)):
+            for a, b, texts in _chunks(batch.column(0).field(place)):
                 if shared.value.languages:
                     stays = [lang != "und" and margin >= least_margin for lang, _, _, margin in labeller(texts)]
                 else:
                     stays = [bool(t) and any(map(str.isalpha, t)) for t in texts]
                 yield batch.slice(a, b - a).filter(pa.array(stays))
 
-    return docs.mapInArrow(released(batches), docs.schema)
+    return rows.mapInArrow(released(batches), rows.schema).select("payload.*")

@@ -96,13 +96,15 @@ class MarkovModel:
 def labelled_samples(docs: DataFrame, text_col: str = "text", *, max_texts: int = 50_000) -> DataFrame:
     """(string, label) rows from texts: what the patterns find is ``random``, other tokens are ``ordinary``.
 
-    About ``max_texts`` rows of ``docs`` are used, those with the smallest hashes of the whole row.
+    About ``max_texts`` different texts of ``docs`` are used, those with the smallest
+    hashes, at any size each once; no other column has a part in it.
     """
     known = docs.where(F.col(text_col).isNotNull())
     total = known.count()
-    if total > max_texts:
-        known = known.where(F.pmod(F.xxhash64(*known.columns), F.lit(1 << 30)) < int((1 << 30) * max_texts / total))
     rows = known.select(F.col(text_col).alias("text"))
+    if total > max_texts:
+        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * max_texts / total))
+    rows = rows.dropDuplicates(["text"])
 
     def sampled(source):
         import pyarrow as pa

@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
 from pyspark.sql.window import Window
 
 from quern.llm.common import materialise, text_or_empty, with_payload
@@ -102,7 +103,8 @@ def write_shards(docs: DataFrame, path: str, weights: Sequence[float], id_col: s
     """
     if name.lower() in {c.lower() for c in docs.columns}:
         raise ValueError(f"docs has a column {name}: choose another name")
-    salt = F.pmod(F.xxhash64(_key(id_col), *[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]), F.lit(files_per_shard))
+    hashed = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]  # maps and variants have no hash
+    salt = F.pmod(F.xxhash64(_key(id_col), *hashed), F.lit(files_per_shard))
     placed = with_payload(docs, shard_columns(_key(id_col), weights)["shard"].alias("at"), salt.alias("salt"))
     placed.repartition(len(weights) * files_per_shard, "at", "salt").select("payload.*", F.col("at").alias(name)).write.partitionBy(name).parquet(path)
 
