@@ -18,6 +18,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import materialise
+
 #: Fixed values: (verdict, host and path).
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 LABELS = ("allow", "block")
@@ -68,15 +70,71 @@ class UrlModel:
         return held
 
 
-def prune(rules: list[tuple[tuple[str, ...], str, float, float]]) -> list[tuple[tuple[str, ...], str, float, float]]:
-    """Drops a rule if part of its tokens gives the same label with at least its confidence; best rules first.
+def pruned(rules: DataFrame) -> DataFrame:
+    """rules(tokens, label, confidence, support) without those of which a part of the tokens gives the same label with at least their confidence."""
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("tokens")).cast("int") - 2)
+    longer = rules.where(F.size("tokens") > 1).withColumn("mask", F.explode(masks))
+    parts = longer.withColumn("part", F.expr("filter(tokens, (t, i) -> (mask & shiftleft(1, i)) != 0)"))
+    better = rules.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("least"))
+    worse = parts.join(better, ["part", "label"]).where("least >= confidence").select("tokens", "label").distinct()
+    return rules.join(worse, ["tokens", "label"], "left_anti")
+
+
+#: Frequent sets up to which FP-growth, which has no bound on their length, is left to find them.
+MOST_SETS = 200_000
+
+
+def _most_sets(merged: DataFrame, least: int) -> float:
+    """An upper bound on the frequent sets: a row of n tokens has 2^n sets, and a frequent set is in ``least`` rows."""
+    return (merged.agg(F.sum(F.pow(F.lit(2.0), F.size("tokens") + 1))).first()[0] or 0.0) / least
+
+
+def _short_sets(merged: DataFrame, least: int, max_tokens: int) -> DataFrame:
+    """(tokens, label, confidence, support rows) of all sets of ``max_tokens`` tokens at most that ``least`` rows have with a label.
 
-    A rule of k tokens has 2^k - 2 parts to look up, so this is linear in the rules.
+    For rows with many frequent tokens, whose sets of all lengths nobody could
+    count: rows with the same tokens are one with a number, and each task sums up the
+    sets of its rows before they are shuffled; a set of three or more is counted only
+    if each pair in it is frequent.
     """
-    best: dict[tuple[tuple[str, ...], str], float] = {(t, label): c for t, label, c, _ in rules}
-    parts = lambda t: (p for k in range(1, len(t)) for p in combinations(t, k))
-    kept = [r for r in rules if not any(best.get((p, r[1]), -1.0) >= r[2] for p in parts(r[0]))]
-    return sorted(kept, key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1]))
+    held = materialise(merged.groupBy(F.array_sort("tokens").alias("tokens")).agg(*[F.sum((F.col("label") == x).cast("long")).alias(x) for x in LABELS]), "url-rows")
+
+    def sets(sizes: range, pairs: frozenset):
+        def counted(source):
+            import pyarrow as pa
+
+            total: dict[tuple, list[int]] = {}
+
+            def rows():
+                out = pa.record_batch([pa.array(map(list, total), pa.list_(pa.string())), *(pa.array([n[k] for n in total.values()], pa.int64()) for k in range(len(LABELS)))], names=["tokens", *LABELS])
+                total.clear()
+                return out
+
+            for batch in source:
+                for tokens, *numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for size in sizes:
+                        for some in combinations(tokens, size):
+                            if size > 2 and not all(p in pairs for p in combinations(some, 2)):
+                                continue
+                            own = total.setdefault(some, [0] * len(LABELS))
+                            for k, n in enumerate(numbers):
+                                own[k] += n
+                    if len(total) > 500_000:
+                        yield rows()
+            yield rows()
+
+        found = held.mapInArrow(counted, "tokens array<string>, " + ", ".join(f"{x} long" for x in LABELS))
+        return found.groupBy("tokens").agg(*[F.sum(x).alias(x) for x in LABELS])
+
+    frequent = F.greatest(*LABELS) >= least
+    short = materialise(sets(range(1, min(2, max_tokens) + 1), frozenset()).where(frequent), "url-pairs")
+    # As many as pairs of frequent tokens, which are at most the mean number of tokens over the least share.
+    pairs = frozenset(tuple(r.tokens) for r in short.where(F.size("tokens") == 2).select("tokens").collect())
+    longer = sets(range(3, max_tokens + 1), pairs).where(frequent) if max_tokens > 2 else short.limit(0)
+    every = short.unionByName(longer)
+    told = [F.struct(F.lit(x).alias("label"), F.col(x).alias("n")) for x in LABELS]
+    rules = every.select("tokens", sum((F.col(x) for x in LABELS[1:]), F.col(LABELS[0])).alias("all"), F.explode(F.array(*told)).alias("of"))
+    return rules.select("tokens", "of.label", (F.col("of.n") / F.col("all")).alias("confidence"), F.col("of.n").alias("n")).where(F.col("n") >= least)
 
 
 def merged_tokens(rows: DataFrame, least: int) -> tuple[DataFrame, dict[str, str]]:
@@ -107,7 +165,9 @@ def mine(labelled: DataFrame, *, min_support: float = 0.02, min_rows: int = 10,
     A rule has a share of ``min_support`` of the labelled rows, and ``min_rows`` of
     them at least, ``max_tokens`` tokens at most, and ``min_confidence``. All such
     rules that pruning leaves are kept; their number depends on the supports and
-    not on the rows.
+    not on the rows. FP-growth finds the sets; where rows have so many frequent
+    tokens that sets of all lengths could be more than MOST_SETS, sets of the
+    lengths that are asked for are counted instead, which gives the same rules.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -117,10 +177,17 @@ def mine(labelled: DataFrame, *, min_support: float = 0.02, min_rows: int = 10,
     if total < least:
         return UrlModel([])
     merged, stands_for = merged_tokens(rows, least)
-    items = merged.select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(items)
-    found = model.associationRules.where((F.size("antecedent") <= max_tokens) & F.element_at("consequent", 1).startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
-    return UrlModel(prune([(tuple(sorted(r.antecedent)), r.consequent[0].removeprefix("label="), float(r.confidence), float(r.support)) for r in found.collect()]), stands_for)
+    merged = materialise(merged, "url-tokens")
+    if _most_sets(merged, least) <= MOST_SETS:
+        items = merged.select(F.concat("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(items)
+        found = model.associationRules.where((F.size("antecedent") <= max_tokens) & F.element_at("consequent", 1).startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
+        rules = found.select(F.array_sort("antecedent").alias("tokens"), F.substring_index(F.element_at("consequent", 1), "=", -1).alias("label"), F.col("confidence").cast("double").alias("confidence"), F.col("support").cast("double").alias("support"))
+    else:
+        found = _short_sets(merged, least, max_tokens).where(F.col("confidence") >= min_confidence)
+        rules = found.select("tokens", "label", "confidence", (F.col("n") / total).alias("support"))
+    best = pruned(materialise(rules, "url-rules")).collect()
+    return UrlModel(sorted(((tuple(r.tokens), r.label, r.confidence, r.support) for r in best), key=lambda r: (-r[2], -r[3], len(r[0]), r[0], r[1])), stands_for)
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules=RULES, default: str = "allow", **mining) -> DataFrame:
