@@ -20,6 +20,11 @@ def _chain(text: Column, steps: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda t, s: F.regexp_replace(t, *s), steps, text)
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once for a row, and not at each place that names it."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def squash(text) -> Column:
     """Lower-cased, with runs of white space as one blank and none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.lower(_col(text)), r"^\s+|\s+$", ""), r"\s+", " ")
@@ -154,14 +159,23 @@ def normalize_citation(citation) -> Column:
     between their parts no blanks stand around these; the year of some reporters
     gets round brackets; a dot after the last number goes.
     """
-    said = F.trim(F.regexp_replace(_col(citation), r"\s+", " "))
-    tight = F.when(said.rlike(r"^\d{4} ?:"), F.regexp_replace(said, " ?: ?", ":")).when(said.rlike("^MANU ?/"), F.regexp_replace(said, " ?/ ?", "/")).otherwise(said)
     spelt = F.create_map(*[F.lit(x) for pair in CITATION_WORDS.items() for x in pair])
-    words = F.transform(F.split(tight, " "), lambda w: F.coalesce(spelt[F.upper(F.replace(w, F.lit("."), F.lit("")))], w))
-    line = F.regexp_replace(F.array_join(words, " "), "SCC [Oo]n ?[Ll]ine", "SCC OnLine")
-    year, volume, reporter = (F.regexp_extract(line, r"^\[(\d{4})\] (\d+) (\S+) ", n) for n in (1, 2, 3))
-    rest = F.regexp_replace(line, r"^\[\d{4}\] \d+ \S+ ", "")
-    return F.regexp_replace(F.when(reporter.isin(*ROUND_YEAR), F.concat(F.lit("("), year, F.lit(") "), F.concat_ws(" ", volume, reporter, rest))).otherwise(line), r"(\d) ?\.$", "$1")
+
+    def tight(said: Column) -> Column:
+        return F.when(said.rlike(r"^\d{4} ?:"), F.regexp_replace(said, " ?: ?", ":")).when(said.rlike("^MANU ?/"), F.regexp_replace(said, " ?/ ?", "/")).otherwise(said)
+
+    def line(said: Column) -> Column:
+        words = F.transform(F.split(tight(said), " "), lambda w: F.coalesce(spelt[F.upper(F.replace(w, F.lit("."), F.lit("")))], w))
+        return F.regexp_replace(F.array_join(words, " "), "SCC [Oo]n ?[Ll]ine", "SCC OnLine")
+
+    def bracketed(line: Column) -> Column:
+        year, volume, reporter = (F.regexp_extract(line, r"^\[(\d{4})\] (\d+) (\S+) ", n) for n in (1, 2, 3))
+        rest = F.regexp_replace(line, r"^\[\d{4}\] \d+ \S+ ", "")
+        round_year = F.concat(F.lit("("), year, F.lit(") "), F.concat_ws(" ", volume, reporter, rest))
+        return F.when(F.startswith(line, F.lit("[")) & reporter.isin(*ROUND_YEAR), round_year).otherwise(line)
+
+    said = once(F.trim(F.regexp_replace(_col(citation), r"\s+", " ")), line)
+    return F.regexp_replace(once(said, bracketed), r"(\d) ?\.$", "$1")
 
 
 #: Reporters and their patterns, in the order of priority, with confidence.
@@ -211,13 +225,18 @@ def extract_citations(text) -> Column:
 
     generic = CITATIONS[-1][0]
     word = lambda x: F.upper(F.regexp_extract(x, r"([A-Za-z]+)\s+\d+$", 1))
-    found = F.array_distinct(F.filter(F.transform(marks, item), lambda c: (c["reporter"] != generic) | ~word(c["citation"]).isin(*NO_REPORTERS)))
-    return F.aggregate(
-        found,
-        F.struct(F.slice(found, 1, 0).alias("kept"), F.lit(0).alias("generic")),
-        lambda a, x: F.when((x["reporter"] == generic) & (a["generic"] >= 10), a).otherwise(F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), (a["generic"] + (x["reporter"] == generic).cast("int")).alias("generic"))),
-        lambda a: a["kept"],
-    )
+    unknown = lambda c: c["reporter"] == generic
+    found = F.array_distinct(F.filter(F.transform(marks, item), lambda c: ~unknown(c) | ~word(c["citation"]).isin(*NO_REPORTERS)))
+
+    def step(a: Column, x: Column) -> Column:
+        more = F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), (a["generic"] + unknown(x).cast("int")).alias("generic"))
+        return F.when(unknown(x) & (a["generic"] >= 10), a).otherwise(more)
+
+    def first_ten(f: Column) -> Column:
+        few = F.size(F.filter(f, unknown)) <= 10
+        return F.when(few, f).otherwise(F.aggregate(f, F.struct(F.slice(f, 1, 0).alias("kept"), F.lit(0).alias("generic")), step, lambda a: a["kept"]))
+
+    return once(found, first_ten)
 
 
 #: A word of a party's name, with the small words between two of them, and phrases after which a case is named.
@@ -254,7 +273,7 @@ def expand_sections(text) -> Column:
         sign = x.isin("-", "–", "to")
         return F.struct(F.when(sign, a["out"]).otherwise(grown).alias("out"), sign.alias("range"))
 
-    return F.aggregate(tokens, F.struct(F.slice(tokens, 1, 0).alias("out"), F.lit(False).alias("range")), step, lambda a: a["out"])
+    return once(tokens, lambda t: F.aggregate(t, F.struct(F.slice(t, 1, 0).alias("out"), F.lit(False).alias("range")), step, lambda a: a["out"]))
 
 
 def extract_sections(text) -> Column:
@@ -340,13 +359,27 @@ def trigram_similarity(a, b) -> Column:
     return overlap(x, y, F.array_union(x, y))
 
 
+def thirds(text: Column) -> Column:
+    """The different stretches of three characters of a text; a text is taken apart once, so long ones cost no square."""
+
+    def joined(c: Column) -> Column:
+        begins = F.when(F.size(c) >= 3, F.sequence(F.lit(0), F.size(c) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(begins, lambda i: F.concat(c[i], c[i + 1], c[i + 2])))
+
+    return once(F.filter(F.split(text, ""), lambda x: x != ""), joined)
+
+
 def fuzzy_match(quote, passage, threshold: float = 0.85) -> Column:
-    """Whether the passage has the quote, or at least the threshold of its words or of its character trigrams."""
-    q, p = squash(quote), squash(passage)
-    thirds = lambda s: F.array_distinct(F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3)))).otherwise(F.expr("array('')")))
-    words = lambda s: F.array_distinct(F.split(s, " "))
-    near = (overlap(words(q), words(p), words(q)) >= threshold) | ((F.length(q) >= 3) & (overlap(thirds(q), thirds(p), thirds(q)) >= threshold))
-    return F.when((q == "") | (p == ""), False).otherwise(F.contains(p, q) | near)
+    """Whether the passage has the quote, or at least the threshold of its words or of its character trigrams. Each part of the quote is looked up in the passage."""
+
+    def judged(x: Column) -> Column:
+        q, p = x["q"], x["p"]
+        share = lambda parts, there: F.size(F.filter(parts, there)) / F.greatest(F.size(parts), F.lit(1))
+        words = once(F.array_distinct(F.split(q, " ")), lambda w: share(w, lambda v: F.contains(F.concat(F.lit(" "), p, F.lit(" ")), F.concat(F.lit(" "), v, F.lit(" ")))))
+        near = (words >= threshold) | (once(thirds(q), lambda t: share(t, lambda v: F.contains(p, v))) >= threshold)
+        return F.when((q == "") | (p == ""), False).otherwise(F.contains(p, q) | near)
+
+    return once(F.struct(squash(quote).alias("q"), squash(passage).alias("p")), judged)
 
 
 def cache_key(*parts) -> Column:

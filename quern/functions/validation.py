@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import CITATIONS, extract_citations
+from quern.functions.text import once as _once
 
 
 def _col(c: Column | str) -> Column:
@@ -19,19 +20,15 @@ def _filled(text: Column) -> Column:
     return F.when(F.trim(text) != "", F.trim(text))
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value worked out once for a row, and not at each place that names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _first_of_each(items: Column) -> Column:
-    """Entries in their order, of those that differ in case only the first."""
+    """Entries in their order, of those that differ in case only the first; by sorting, so that long lists cost no square."""
 
-    def kept(items: Column, low: Column) -> Column:
-        numbered = F.transform(F.arrays_zip(items.alias("x"), low.alias("k")), lambda s, i: F.struct(s["x"].alias("x"), (F.array_position(low, s["k"]) == i + 1).alias("first")))
-        return F.transform(F.filter(numbered, lambda s: s["first"]), lambda s: s["x"])
+    def firsts(s: Column) -> Column:
+        return F.filter(s, lambda e, i: (i == 0) | ~F.get(s, i - 1)["k"].eqNullSafe(e["k"]))
 
-    return _once(F.struct(items.alias("x"), F.transform(items, F.lower).alias("k")), lambda s: kept(s["x"], s["k"]))
+    numbered = F.sort_array(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    in_order = F.sort_array(F.transform(_once(numbered, firsts), lambda e: F.struct(e["i"], e["x"])))
+    return F.transform(in_order, lambda e: e["x"])
 
 
 # Fields.
@@ -160,12 +157,28 @@ def impact_label(weight) -> Column:
 
 # Lists of citations and acts.
 
+#: Words that begin a reference to a part of an act, and the letters of clipped words.
+REFERENCE_WORDS = ("section", "sections", "sec", "article", "articles", "art", "order", "rule", "clause")
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
 
 def is_case_citation(text) -> Column:
     """Whether an entry can be a case: 5 to 300 characters on one line, a capital, digit or bracket first, and not a number, a docket or a section."""
-    t = F.trim(_col(text))
-    bad = t.rlike(r"^\d{2,5}\s+[Oo]f\s+\d{4}$|^[\d\s]+$|^\d{3,4}\s+[A-Z][a-z]\s*\d*$|[_~`\n\r]|(?i)^(?:sections?|sec\.?|articles?|art\.?|order|rule|clause)\s")
-    return F.coalesce(F.length(t).between(5, 300) & t.rlike(r"^[\p{Lu}\d(\[]") & ~bad, F.lit(False))
+    def judged(t: Column) -> Column:
+        words = F.split(t, r"\s+")
+        number = lambda w, least, most: F.length(w).between(least, most) & (F.translate(w, "0123456789", "") == "")
+        n = F.size(words)
+        first, second, third = (F.coalesce(F.get(words, F.lit(k)), F.lit("")) for k in range(3))
+        all_numbers = F.forall(words, lambda w: F.translate(w, "0123456789", "") == "")
+        docket = (n == 3) & number(first, 2, 5) & (F.lower(second) == "of") & number(third, 4, 4)
+        # A number with two letters behind it, and perhaps a number at these or after them.
+        letters = F.rtrim(second, F.lit("0123456789"))
+        clipped = number(first, 3, 4) & (F.length(letters) == 2) & (letters == F.initcap(letters)) & (F.translate(letters, LETTERS, "") == "") & ((n == 2) | (n == 3) & (letters == second) & number(third, 1, 99))
+        section = (n > 1) & F.lower(F.rtrim(first, F.lit("."))).isin(*REFERENCE_WORDS)
+        odd = F.length(F.translate(t, "_~`\n\r", "")) < F.length(t)
+        return F.length(t).between(5, 300) & t.rlike(r"^[\p{Lu}\d(\[]") & ~(all_numbers | docket | clipped | section | odd)
+
+    return F.coalesce(_once(F.trim(_col(text)), judged), F.lit(False))
 
 
 def is_bare_reference(text) -> Column:
@@ -186,9 +199,13 @@ def graph_key(citation) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(_col(citation)), F.lit("."), F.lit("")), r"\s+", " "))
 
 
+#: References inside other text: [Y] V REP P, (Y) V REP P, (Y) REP OnLine C P.
+EMBEDDED = [r"\[\d{4}\]\s+\d+\s+[A-Z][A-Za-z.]*\s+\d+", r"\(\d{4}\)\s+\d+\s+[A-Z][A-Za-z.]*\s+\d+", r"\(?\d{4}\)?\s+[A-Z][A-Za-z]*\s+OnLine\s+\w+\s+\d+"]
+
+
 def embedded_citations(text) -> Column:
-    """The graph keys of references inside a longer citation: [Y] V REP P, (Y) V REP P, (Y) REP OnLine C P."""
-    marks = F.regexp_extract_all(_col(text), F.lit(r"(\[\d{4}\]\s+\d+\s+[A-Z][A-Za-z.]*\s+\d+|\(\d{4}\)\s+\d+\s+[A-Z][A-Za-z.]*\s+\d+|\(?\d{4}\)?\s+[A-Z][A-Za-z]*\s+OnLine\s+\w+\s+\d+)"), 1)
+    """The graph keys of references inside a longer citation."""
+    marks = F.regexp_extract_all(_col(text), F.lit("(" + "|".join(EMBEDDED) + ")"), 1)
     return F.array_distinct(F.transform(marks, graph_key))
 
 

@@ -40,9 +40,15 @@ def court_names(spark, sf_dir):
 
 
 def repair_sql(x: str) -> str:
-    for word in rc.SCANNED_WORDS:
-        x = f"regexp_replace({x}, '{rc.scanned(word)}', '{word}', 'g')"
-    return f"array_to_string(list_transform(string_split({x}, ' '), lambda w: CASE WHEN regexp_matches(w, '^[(]?[1lIzZ2][0-9oO]{{3}}[),.]*$') THEN translate(w, 'lIzZoO', '111100') ELSE w END), ' ')"
+    words = "[" + ", ".join(f"'{w}'" for w in rc.act_words()) + "]"
+    known = f"CASE WHEN length({{0}}) >= {rc.LEAST_REPAIRED} THEN list_filter({words}, lambda k: levenshtein(k, {{0}}) <= 1)[1] END"
+    w, at = f"string_split({x}, ' ')", "{}[{}]"
+    one = lambda k: at.format("q.w", k)
+    pair = lambda k: known.format(f"concat({one(k)}, {one(f'{k} + 1')})")
+    fixed = f"CASE WHEN n > 1 AND {pair('n - 1')} IS NOT NULL THEN NULL WHEN n < len(q.w) AND {pair('n')} IS NOT NULL THEN {pair('n')} ELSE coalesce({known.format(one('n'))}, {one('n')}) END"
+    listed = f"list_filter(list_transform(range(1, len(q.w) + 1), lambda n: {fixed}), lambda v: v IS NOT NULL)"
+    years = f"list_transform({listed}, lambda v: CASE WHEN regexp_matches(v, '^[(]?[1lIzZ2][0-9oO]{{3}}[),.]*$') THEN translate(v, 'lIzZoO', '111100') ELSE v END)"
+    return f"list_transform([{{'w': {w}}}], lambda q: array_to_string({years}, ' '))[1]"
 
 
 def act_sql(x: str) -> str:

@@ -120,9 +120,9 @@ def fts_fields_stemmed(spark, sf_dir):
     return se.rank_terms(posted, "doc_id", se.query_lexemes(spark, LINE), 50)
 
 
-@query(f"SELECT doc_id, array_to_string({lexemes_sql('text')}, ' ') AS lexemes FROM documents WHERE lang = 'en'")
+@query(f"""SELECT doc_id, array_to_string({lexemes_sql('text', "lang = 'en'")}, ' ') AS lexemes FROM documents""")
 def text_lexemes(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(se.lexemes("text"), " ").alias("lexemes"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(se.lexemes("text", F.col("lang") == "en"), " ").alias("lexemes"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest(range(len(p)))::INT AS section, unnest(p) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE lang = 'en')),
@@ -197,7 +197,7 @@ def hybrid_page(spark, sf_dir):
 # The citation graph: a customer cites the customer of the next order.
 TREATMENT = {"1-URGENT": "overruled", "2-HIGH": "followed", "3-MEDIUM": None, "4-NOT SPECIFIED": "distinguished", "5-LOW": "applied"}
 CITES_SQL = """cites AS (SELECT a.o_custkey AS src, b.o_custkey AS dst, a.o_orderkey AS ord, CASE a.o_orderpriority WHEN '1-URGENT' THEN 'overruled' WHEN '2-HIGH' THEN 'followed' WHEN '4-NOT SPECIFIED' THEN 'distinguished' WHEN '5-LOW' THEN 'applied' END AS treatment
-  FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderstatus = 'P' AND a.o_custkey <> b.o_custkey)"""
+  FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_custkey <> b.o_custkey)"""
 NODES_SQL = "nodes AS (SELECT c_custkey AS id, (1990 + c_custkey % 10)::INT AS year FROM customer)"
 
 
@@ -207,7 +207,7 @@ def cites(spark, sf_dir):
     for priority, said in TREATMENT.items():
         if said:
             kind = F.when(F.col("o_orderpriority") == priority, said).otherwise(kind)
-    a = orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("ord"), kind.alias("treatment"), (F.col("o_orderkey") + 1).alias("next"))
+    a = orders.select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("ord"), kind.alias("treatment"), (F.col("o_orderkey") + 1).alias("next"))
     b = orders.select(F.col("o_orderkey").alias("next"), F.col("o_custkey").alias("dst"))
     return a.join(b, "next").where("src <> dst").select("src", "dst", "ord", "treatment")
 

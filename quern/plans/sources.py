@@ -128,12 +128,12 @@ def header_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(sc.in_header(names, F.col("text"), 300), "|").alias("kept"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, substr(regexp_replace(text, '[\[\]\n]', ' ', 'g'), 1, 200) AS body FROM documents WHERE length(text) > 40)
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(text, '[\[\]\n]', ' ', 'g') AS body FROM documents WHERE length(text) > 40)
 SELECT doc_id, substr(body, 1, 30) || '[1] (' || trim('note ' || doc_id) || ')' || substr(body, 31) || chr(10) AS text FROM t""")
 def footnotes(spark, sf_dir):
-    body = F.substring(F.regexp_replace("text", r"[\[\]\n]", " "), 1, 200)
-    text = F.concat(F.substring(body, 1, 30), F.lit("[1]"), body.substr(31, 200), F.lit("\n[1] note "), F.col("doc_id").cast("string"))
-    return table(spark, sf_dir, "documents").where("length(text) > 40").select("doc_id", rc.inline_footnotes(text).alias("text"))
+    rows = table(spark, sf_dir, "documents").where("length(text) > 40").select("doc_id", F.regexp_replace("text", r"[\[\]\n]", " ").alias("body"))
+    text = F.concat(F.substring("body", 1, 30), F.lit("[1]"), F.substring("body", 31, 1 << 30), F.lit("\n[1] note "), F.col("doc_id").cast("string"))
+    return rows.select("doc_id", rc.inline_footnotes(text).alias("text"))
 
 
 @query("SELECT o_orderkey, replace(replace(replace('STATE ' || CASE o_orderkey % 3 WHEN 0 THEN '0F' WHEN 1 THEN '1N' ELSE 'T0' END || ' ' || o_orderpriority || ' 0FX', ' 0F ', ' OF '), ' 1N ', ' IN '), ' T0 ', ' TO ') AS title FROM orders")
@@ -148,10 +148,10 @@ def paragraph_ranges(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.paragraph_range(text).alias("r")).select("doc_id", "r.least", "r.most")
 
 
-@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' x–y' || chr(10) || 'Page 3 of 9' || chr(10) || chr(10) || chr(10) || 'z', '[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '(?m)^[ \t]*(?:[Pp]age[ \t]+)?\d{1,4}(?:[ \t]+of[ \t]+\d{1,4})?[ \t]*$', '', 'g'), '(\w)[\x{2013}\x{2014}](\w)', '\1-\2', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS clean_hash FROM documents WHERE lang = 'en'""")
+@query(r"""SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' x–y' || chr(10) || 'Page 3 of 9' || chr(10) || chr(10) || chr(10) || 'z', '[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{00AD}]', '', 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '(?m)^[ \t]*(?:[Pp]age[ \t]+)?\d{1,4}(?:[ \t]+of[ \t]+\d{1,4})?[ \t]*$', '', 'g'), '(\w)[\x{2013}\x{2014}](\w)', '\1-\2', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS clean_hash FROM documents""")
 def cleaned_texts(spark, sf_dir):
     text = F.concat("text", F.lit(" x–y\nPage 3 of 9\n\n\nz"))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(tx.clean_text(text), 256).alias("clean_hash"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(tx.clean_text(text), 256).alias("clean_hash"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) ELSE 1900 END::INT AS year, CASE WHEN o_orderkey % 7 >= 5 THEN 'constitutional' WHEN o_orderkey % 7 = 4 THEN 'full' WHEN o_orderkey % 7 IN (2, 3) THEN 'division' WHEN o_orderkey % 7 = 1 THEN 'single' ELSE 'named' END AS bench_type FROM orders")

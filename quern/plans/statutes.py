@@ -132,9 +132,9 @@ def next_bounds(spark, sf_dir):
     return pr.next_bounds(rows, "o_custkey", "o_orderkey", "total").drop("total")
 
 
-@query("SELECT text AS citation, min_by(doc_id, doc_id) AS doc_id, min_by(source, doc_id) AS source FROM (SELECT trim(substr(text, 1, 40)) AS text, doc_id, source FROM documents) GROUP BY text")
+@query("SELECT text AS citation, min_by(doc_id, doc_id) AS doc_id, min_by(source, doc_id) AS source FROM (SELECT trim(text) AS text, doc_id, source FROM documents) GROUP BY text")
 def first_attribution(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.trim(F.substring("text", 1, 40)).alias("citation"), "doc_id", "source")
+    rows = table(spark, sf_dir, "documents").select(F.trim("text").alias("citation"), "doc_id", "source")
     return st.first_by_order(rows, "citation", F.col("doc_id"))
 
 

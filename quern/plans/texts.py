@@ -169,12 +169,12 @@ def treatment_in_window(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", tx.best_treatment(_treated(), F.concat(F.lit(" in "), "source"), 60)["treatment"].alias("treatment"))
 
 
-@query(r"""WITH q AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS x, trim(regexp_replace(lower(substr(text, 1, 300)), '\s+', ' ', 'g')) AS p, trim(regexp_replace(lower(CASE WHEN doc_id % 2 = 0 THEN substr(text, 20, 60) ELSE substr(text, 1, 50) || ' other words' END), '\s+', ' ', 'g')) AS q FROM documents)
+@query(r"""WITH q AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS x, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS p, trim(regexp_replace(lower(CASE WHEN doc_id % 2 = 0 THEN substr(text, 20, 60) ELSE substr(text, 1, 50) || ' other words' END), '\s+', ' ', 'g')) AS q FROM documents)
 SELECT doc_id, CASE WHEN q = '' OR p = '' THEN false ELSE contains(p, q) OR len(list_intersect(list_distinct(string_split(q, ' ')), list_distinct(string_split(p, ' ')))) / greatest(len(list_distinct(string_split(q, ' '))), 1) >= 0.85
   OR (length(q) >= 3 AND len(list_intersect(list_distinct([substr(q, i::BIGINT, 3) FOR i IN range(1, length(q) - 1)]), list_distinct([substr(p, i::BIGINT, 3) FOR i IN range(1, length(p) - 1)]))) / greatest(len(list_distinct([substr(q, i::BIGINT, 3) FOR i IN range(1, length(q) - 1)])), 1) >= 0.85) END AS found FROM q""")
 def fuzzy_quotes(spark, sf_dir):
     quote = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 20, 60)).otherwise(F.concat(F.substring("text", 1, 50), F.lit(" other words")))
-    return docs(spark, sf_dir).select("doc_id", tx.fuzzy_match(quote, F.substring("text", 1, 300)).alias("found"))
+    return docs(spark, sf_dir).select("doc_id", tx.fuzzy_match(quote, F.col("text")).alias("found"))
 
 
 @query("""WITH w AS (SELECT p_partkey, list_distinct(flatten([[substr('  ' || w || ' ', i::BIGINT, 3) FOR i IN range(1, length(w) + 2)] FOR w IN regexp_split_to_array(lower(p_name), '[^\\p{L}\\p{N}]+') IF w <> ''])) AS g FROM part),
