@@ -1,4 +1,4 @@
-"""Tables that change: versioned upserts, a queue of retries."""
+"""Tables that are written: versioned upserts, a queue of retries, archives."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quern.plans.registry import query
+from quern.sources.archive import register, write_archives
 from quern.sources.tables import table
 from quern.sources.versioned import VersionedTable
 from quern.storage import shared_dir
@@ -41,3 +42,14 @@ def retry_queue(spark, sf_dir):
     """Errors of users as failed jobs, purchases as successes: retries after one, two and four hours, then the dead letters."""
     kind = F.col("event_type")
     return retry_plan(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", kind == "error", kind == "purchase", base=3600)
+
+
+@query("SELECT doc_id || '.' || lang AS name, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS content_sha256 FROM documents")
+def archive_round_trip(spark, sf_dir):
+    """All texts into TAR archives, and their members back by offset, in splits of 1 MB."""
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(".", F.col("doc_id").cast("string"), "lang").alias("name"), "text").repartition(8)
+    write_archives(docs, path, "name", "text").count()
+    register(spark)
+    found = spark.read.format("quern_tar").option("splitBytes", 1 << 20).load(path)
+    return found.select("name", "size", F.sha2("content", 256).alias("content_sha256"))
