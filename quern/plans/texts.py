@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions import provisions as pv
 from quern.functions import text as tx
 from quern.plans.registry import query
 from quern.sources.tables import table
@@ -209,3 +210,20 @@ SELECT conv_id, turn, coalesce(text = previous, false) AS repeated FROM f""")
 def previous_row(spark, sf_dir):
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.col("text") == before, F.lit(False)).alias("repeated"))
+
+
+#: A reference put into each document, by its number; what it means stands in the SQL, which knows no pattern.
+REFERENCE = """CASE doc_id % 4 WHEN 0 THEN ' under Sections ' || doc_id || ', ' || (doc_id + 1) || 'A and ' || (doc_id + 2) || '(1) read with Section ' || (doc_id + 3) || ' IPC. '
+  WHEN 1 THEN ' Articles ' || (doc_id % 300 + 1) || ' to ' || (doc_id % 300 + 3) || '; Order ' || (doc_id % 50 + 1) || ' Rules ' || (doc_id % 20 + 1) || ' and ' || (doc_id % 20 + 2) || ' CPC. '
+  WHEN 2 THEN ' u/s ' || doc_id || ' of the Water Supply Act, 1974, r. ' || (doc_id + 5) || ' of it. ' ELSE ' Section of Article and Order. ' END"""
+
+
+@query(f"""SELECT doc_id, array_to_string(CASE doc_id % 4
+  WHEN 0 THEN ['Indian Penal Code: Section ' || doc_id, 'Indian Penal Code: Section ' || (doc_id + 1) || 'A', 'Indian Penal Code: Section ' || (doc_id + 2) || '(1)', 'Indian Penal Code: Section ' || (doc_id + 3)]
+  WHEN 1 THEN ['Constitution of India: Article ' || (doc_id % 300 + 1), 'Constitution of India: Article ' || (doc_id % 300 + 2), 'Constitution of India: Article ' || (doc_id % 300 + 3), 'Code of Civil Procedure: Order ' || (doc_id % 50 + 1) || ' Rule ' || (doc_id % 20 + 1), 'Code of Civil Procedure: Order ' || (doc_id % 50 + 1) || ' Rule ' || (doc_id % 20 + 2)]
+  WHEN 2 THEN ['Water Supply Act: Section ' || doc_id, '?: Rule ' || (doc_id + 5)] ELSE [] END, '|') AS provisions FROM documents""")
+def statute_provisions(spark, sf_dir):
+    """The provisions that whole texts name, with one reference put in front of each."""
+    found = pv.statute_references(F.concat(F.expr(REFERENCE), F.coalesce("text", F.lit(""))))
+    said = F.transform(found, lambda x: F.concat(F.coalesce(x["act"], F.lit("?")), F.lit(": "), x["provision"]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(said, "|").alias("provisions"))
