@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.storage import settle
+
 WORD = r"[\p{L}\p{N}]+"
 #: Weights of the field classes D, C, B, A.
 WEIGHTS = {"D": 0.1, "C": 0.2, "B": 0.4, "A": 1.0}
@@ -188,7 +190,8 @@ QUERY_BLOCK = 10_000
 def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, key, score, rank) for many queries: each task keeps its k best a query, then the best of all tasks.
 
-    Queries are taken in blocks of QUERY_BLOCK vectors, the most that any task holds.
+    Queries are taken in blocks of QUERY_BLOCK vectors, the most that the driver and
+    any task hold; a block's answers are written before the next one is read.
     """
     import numpy as np
 
@@ -220,6 +223,9 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
             yield pa.record_batch([pa.array(np.repeat(names, n)), pa.array(held_keys.ravel()), pa.array(np.round(held_scores, 6).ravel())], names=["query", key, "score"])
 
         part = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(best, f"query long, {key} long, score double")
+        if blocks > 1:
+            part = settle(part, "nearest")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], f"query long, {key} long, score double, rank int")

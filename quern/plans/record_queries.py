@@ -80,11 +80,10 @@ def even_year_ranges(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT user_id, CASE WHEN event_id % 5 > 0 THEN ts::DATE END AS d, event_id FROM events)
-SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY d IS NULL, d, event_id) AS line FROM e GROUP BY user_id""")
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY d IS NULL, d, event_id))::INT AS place, d AS date, event_id FROM e""")
 def timelines(spark, sf_dir):
     day = F.when(F.col("event_id") % 5 > 0, F.to_date("ts"))
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", day.alias("date"), F.col("event_id").cast("string").alias("label")))).alias("events"))
-    return rows.select("user_id", F.array_join(F.transform(rc.timeline("events"), lambda e: e["label"]), ",").alias("line"))
+    return rc.timeline_rows(table(spark, sf_dir, "events").select("user_id", day.alias("date"), "event_id"), "user_id", "date", "event_id")
 
 
 @query(r"SELECT page_id, substr(replace(replace(lower(url), ' ', '_'), ',', ''), 1, 100) AS slug, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(url, '/', ' ANDD '), '\bANDD\b', 'AND', 'g'), '\bORR\b', 'OR', 'g'), '\bNOTT\b', 'NOT', 'g'), '\bNEAR\b', 'AND', 'g') AS line FROM pages")
