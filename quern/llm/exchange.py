@@ -99,3 +99,71 @@ def gather(blocks: DataFrame, carried: Sequence[str], replies: Sequence[DataFram
         return pa.table(of({c: table.column(c)[at] for c in names}, *(totals(k) for k in range(1, count + 1))))
 
     return rows.groupBy("block").applyInArrow(gathered, schema)
+
+
+def exchange_values(blocks: DataFrame, sent_of: Callable, answer_of: Callable, slots: int) -> DataFrame:
+    """As ``exchange``, with values beside the keys: (block, slot, n, told) for every block and slot.
+
+    ``sent_of(batch, i)`` gives the sorted different keys (uint64) of row i of
+    ``blocks``(block, ..) and a list of unsigned arrays beside them. A slot holds
+    what all blocks sent of its keys: ``answer_of(at, m, values)`` gets for each
+    entry which of the m different keys it has, and returns a flag for each of these
+    and a list of unsigned arrays. ``told`` has a block's flags as bits, then the
+    arrays for its flagged keys alone.
+    """
+
+    def packets(source):
+        import pyarrow as pa
+
+        for batch in source:
+            for i in range(batch.num_rows):
+                keys, values = sent_of(batch, i)
+                if not len(keys):
+                    continue
+                slot = ((keys >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
+                cuts = np.concatenate(([0], np.flatnonzero(slot[1:] != slot[:-1]) + 1, [len(keys)])).tolist()
+                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+                columns = [
+                    pa.array([batch.column("block")[i].as_py()] * len(spans), pa.int64()),
+                    pa.array(slot[cuts[:-1]].astype(np.int64)),
+                    pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                    pa.array([[packed(v[a:b]) for v in values] for a, b in spans], pa.list_(pa.binary())),
+                ]
+                yield pa.record_batch(columns, names=["block", "slot", "keys", "sent"])
+
+    def answer(table):
+        import pyarrow as pa
+
+        raw = [np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]
+        n = [len(x) for x in raw]
+        values = [np.concatenate([unpacked(x, k) for x, k in zip(column, n, strict=True)]) for column in zip(*table.column("sent").to_pylist(), strict=True)]
+        different, at = np.unique(np.concatenate(raw), return_inverse=True)
+        flags, told = answer_of(at, len(different), values)
+        replies = [[np.packbits(flags[own]).tobytes(), *(packed(t[own[flags[own]]]) for t in told)] for own in np.split(at, np.cumsum(n)[:-1])]
+        return pa.table([table.column("block"), table.column("slot"), pa.array(n, pa.int32()), pa.array(replies, pa.list_(pa.binary()))], names=["block", "slot", "n", "told"])
+
+    sent = blocks.mapInArrow(packets, "block long, slot long, keys binary, sent array<binary>")
+    return sent.groupBy("slot").applyInArrow(answer, "block long, slot long, n int, told array<binary>")
+
+
+def gather_values(blocks: DataFrame, carried: Sequence[str], replies: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """Hands ``of`` each block (its columns ``carried`` as Arrow scalars by name) with the flags of its keys and the arrays told of the flagged ones."""
+    kinds = [(c, blocks.schema[c].dataType.simpleString()) for c in carried]
+    rows = blocks.select("block", F.lit(None).cast("long").alias("slot"), F.lit(0).alias("n"), F.lit(None).cast("array<binary>").alias("told"), *carried)
+    rows = rows.unionByName(replies.select("block", "slot", "n", "told", *[F.lit(None).cast(kind).alias(c) for c, kind in kinds]))
+    names = list(carried)
+
+    def gathered(table):
+        import pyarrow as pa
+
+        slots = table.column("slot").to_pylist()
+        at = slots.index(None)
+        own = sorted((s, i) for i, s in enumerate(slots) if s is not None)
+        n = [table.column("n")[i].as_py() for _, i in own]
+        told = [table.column("told")[i].as_py() for _, i in own]
+        flags = [np.unpackbits(np.frombuffer(t[0], np.uint8), count=k).astype(bool) for t, k in zip(told, n, strict=True)]
+        marked = [int(f.sum()) for f in flags]
+        columns = [np.concatenate([unpacked(x, k) if k else np.zeros(0, np.int64) for x, k in zip(c, marked, strict=True)]) for c in list(zip(*told, strict=True))[1:]]
+        return pa.table(of({c: table.column(c)[at] for c in names}, np.concatenate([np.zeros(0, bool), *flags]), columns))
+
+    return rows.groupBy("block").applyInArrow(gathered, schema)
