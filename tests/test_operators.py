@@ -235,6 +235,17 @@ def test_file_matching(spark):
     assert {r.stem: (r.v, r.tier) for r in src.match_files(files, meta).collect()} == {"a": (1, 1), "b_EN": (2, 2), "c": (3, 3), "zz": (None, 0)}
 
 
+def test_file_matching_of_alike_names(spark):
+    """Names that all begin alike, repeated keys, nulls; no side is sent through the driver."""
+    files = spark.createDataFrame([(f"copy of Customer#{n:09d} scanned",) for n in range(200)] + [("Customer#000000007_EN",), (None,), ("stomer#00000000",), ("7_EN",)], "stem string")
+    meta = spark.createDataFrame([(f"Customer#{n:09d}", n) for n in range(200)] + [("Customer#000000007", -7), (None, -1)], "key string, v int")
+    found = src.match_files(files, meta)
+    rows = {(r.stem, r.v, r.tier) for r in found.collect()}
+    assert {r for r in rows if r[0] and r[0].startswith("copy")} == {(f"copy of Customer#{n:09d} scanned", n, 3) for n in range(200)} | {("copy of Customer#000000007 scanned", -7, 3)}
+    assert {r for r in rows if not r[0] or not r[0].startswith("copy")} == {("Customer#000000007_EN", 7, 2), ("Customer#000000007_EN", -7, 2), (None, None, 0), ("stomer#00000000", 0, 3), ("7_EN", None, 0)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores(spark):
     assert one(spark, sc.recency(F.col("y"), 2025), y=2015) == 0.5
     acts = lambda year: one(spark, sc.cross_references(F.col("a"), F.lit(year).cast("int")), a=["BNS", "IPC"])
