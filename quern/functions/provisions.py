@@ -23,6 +23,8 @@ CODES = {
 KINDS = {"Section": r"sections?|secs?\.?|u/s|s\.", "Article": r"articles?|arts?\.?", "Order": r"orders?", "Rule": r"rules?|r\.", "Regulation": r"regulations?", "Clause": r"clauses?"}
 NUMBER = r"(?:\d+[A-Z]{0,2}|[IVXL]+)(?:\(\w{1,4}\))*"
 SIGN = r"[-–]|\bto\b"
+#: Where a reference may begin and its numbers end: not inside a word of any alphabet, nor in a mail address (r.23@example.com).
+START, END = r"(?<![\p{L}\p{N}_@])", r"(?![\w.+-]*@)"
 BETWEEN = rf"(?:\s*(?:,|/|&|\band\b|\bor\b|{SIGN})\s*)+"
 READ_WITH = r"read\s+with|r/w"
 #: Acts of the constitution's articles, of orders and rules where none is named, and the last article.
@@ -34,11 +36,11 @@ WIDEST = 20
 def _phrase(codes: Mapping[str, str]) -> str:
     """A pattern of a reference; its first group is the provisions, its second the act."""
     kind = "(?i:" + "|".join(KINDS.values()) + ")"
-    listed = rf"{NUMBER}(?:(?:{BETWEEN}|\s+(?=(?i:rules?|r\.)\s))(?:{kind}\s*)?{NUMBER})*"
+    listed = rf"{NUMBER}{END}(?:(?:{BETWEEN}|\s+(?=(?i:rules?|r\.)\s))(?:{kind}\s*)?{NUMBER}{END})*"
     known = "|".join(sorted((c.replace(".", r"\.") for c in codes), key=len, reverse=True))
     named = r"(?:[A-Z][A-Za-z]+\s+)(?:(?:of|and|the|for|[A-Z(][A-Za-z()]*)\s+){0,8}?(?:Act|Code|Rules|Regulations|Agreement|Order|Sanhita|Adhiniyam)\b"
     act = rf"(?:\s*,?\s*(?:of\s+)?(?:the\s+)?({named}|(?:{known})(?!\w)))?"
-    return rf"(\b{kind}\s*{listed}(?:\s*,?\s*(?i:{READ_WITH})\s+(?:{kind}\s*)?{listed})*){act}"
+    return rf"({START}{kind}\s*{listed}(?:\s*,?\s*(?i:{READ_WITH})\s+(?:{kind}\s*)?{listed})*){act}"
 
 
 def _kind(token: Column) -> Column:

@@ -21,6 +21,7 @@ CASES = {
     "Section 5 of the Act": [(None, "Section 5")],
     "Section 302 IPC, again Section 302 IPC": [(IPC, "Section 302")],
     "the section was read; in order to rule": [],
+    "write to r.23@mail3.example.com or s.4.x@example.org": [], "mehr für. V und Zé.\n r. I": [(None, "Rule I")],
     "": [], None: [],
 }
 
