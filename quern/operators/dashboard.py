@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.graph import k_hop, undirected
+from quern.storage import settle
 
 #: Treatments that count as negative, the least share of recent citers and the least citers of a rising case.
 NEGATIVE = ("overruled", "not_followed", "per_incuriam", "distinguished")
@@ -87,6 +88,26 @@ def equivalents(pairs: DataFrame) -> DataFrame:
     return undirected(pairs.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
+def class_links(rows: DataFrame, key: str, of: Sequence[str]) -> DataFrame:
+    """rows(key, of) as edges both ways between all keys that share a class, the columns ``of``, each once, none to itself.
+
+    Only two keys that both are in several classes can meet twice, so only their
+    edges are compared; the rest, which is the square of each class, goes out as it
+    is joined. Rows with a null key or a null in ``of`` have no edges.
+    """
+    known = settle(rows.select(F.col(key).alias("key"), *of).dropna().distinct(), "class-members")
+    # No window: a key has a row a class, and a class may hold most keys.
+    several = known.groupBy("key").agg((F.count("*") > 1).alias("several"))
+    known = settle(known.join(several, "key"), "class-keys")
+    a, b = (known.select(F.col("key").alias(n), *of, F.col("several").alias(f"{n}_several")) for n in ("src", "dst"))
+    met = a.join(b.hint("merge"), list(of)).where("src <> dst")
+    twice = F.col("src_several") & F.col("dst_several")
+    once = met.where(~twice).select("src", "dst")
+    if not known.where("several").take(1):
+        return once
+    return once.unionByName(met.where(twice).select("src", "dst").distinct())
+
+
 def attribute_nodes(rows: DataFrame, key: str, attributes: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (kind, name, cases) and edges (id, name) of what an array column names."""
     edges = rows.select(F.col(key).alias("id"), F.explode(attributes).alias("name")).where("name IS NOT NULL AND trim(name) <> ''").distinct()

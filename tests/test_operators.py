@@ -246,6 +246,17 @@ def test_file_matching_of_alike_names(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_class_links_compare_only_what_can_meet_twice(spark):
+    from quern.operators.dashboard import class_links
+
+    rows = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 1), (2, "b", 1), (3, "b", 1), (3, "b", 1), (4, "b", 1), (5, "c", 1), (None, "a", 1), (6, None, 1)], "k long, x string, y int")
+    found = class_links(rows, "k", ["x", "y"])
+    one = {(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(one | {(b, a) for a, b in one})
+    alone = class_links(rows.where("x = 'a'"), "k", ["x", "y"])
+    assert alone.count() == 6 and "HashAggregate" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores(spark):
     assert one(spark, sc.recency(F.col("y"), 2025), y=2015) == 0.5
     acts = lambda year: one(spark, sc.cross_references(F.col("a"), F.lit(year).cast("int")), a=["BNS", "IPC"])
