@@ -185,6 +185,8 @@ def nearest(vectors: DataFrame, query: Sequence[float], k: int = 10, where: Colu
 
 #: Query vectors that one batch of work may hold.
 QUERY_BLOCK = 10_000
+#: Queries and rows that a task scores at a time: 8 MB of scores, whatever the batch.
+QUERY_SLICE, ROW_SLICE = 512, 2048
 
 
 def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -210,17 +212,34 @@ def batch_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str
             import pyarrow as pa
 
             names, asked = shared.value
-            held_scores, held_keys = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+            cuts = range(0, len(names), QUERY_SLICE)
+            held = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)) for _ in cuts]  # query, score, key of the best
+            least = np.full(len(names), -np.inf)  # the k-th score of each query, once it has k
             for batch in source:
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                rows = np.array(batch.column(1).to_pylist(), np.float64)
-                rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                scores = np.concatenate((held_scores, asked @ rows.T), axis=1)
-                every = np.concatenate((held_keys, np.broadcast_to(keys, (len(names), len(keys)))), axis=1)
-                order = np.lexsort((every, -np.round(scores, 6)), axis=1)[:, :k]
-                held_scores, held_keys = np.take_along_axis(scores, order, 1), np.take_along_axis(every, order, 1)
-            n = held_keys.shape[1]
-            yield pa.record_batch([pa.array(np.repeat(names, n)), pa.array(held_keys.ravel()), pa.array(np.round(held_scores, 6).ravel())], names=["query", key, "score"])
+                for at in range(0, batch.num_rows, ROW_SLICE):
+                    own = batch.slice(at, ROW_SLICE)
+                    keys = own.column(0).to_numpy(zero_copy_only=False)
+                    rows = np.array(own.column(1).to_pylist(), np.float64)
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+                    for n, cut in enumerate(cuts):
+                        scores = np.round(asked[cut : cut + QUERY_SLICE] @ rows.T, 6)
+                        scores[np.isnan(scores)] = -np.inf  # last
+                        bound = least[cut : cut + QUERY_SLICE]
+                        if len(keys) > k and np.isneginf(bound).any():
+                            bound = np.maximum(bound, np.partition(scores, -k, axis=1)[:, -k])
+                        q, r = np.nonzero(scores >= bound[:, None])
+                        if not len(q):
+                            continue
+                        q, s, x = (np.concatenate(p) for p in zip(held[n], (q, scores[q, r], keys[r]), strict=True))
+                        order = np.lexsort((x, -s, q))
+                        q, s, x = q[order], s[order], x[order]
+                        nth = np.arange(len(q)) - np.searchsorted(q, q)
+                        held[n] = tuple(p[nth < k] for p in (q, s, x))
+                        full = nth == k - 1
+                        least[cut + q[full]] = s[full]
+            for cut, (q, s, x) in zip(cuts, held, strict=True):
+                s[np.isneginf(s)] = np.nan
+                yield pa.record_batch([pa.array([names[cut + i] for i in q.tolist()], pa.int64()), pa.array(x, pa.int64()), pa.array(s)], names=["query", key, "score"])
 
         part = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(best, f"query long, {key} long, score double")
         if blocks > 1:

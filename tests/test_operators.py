@@ -257,6 +257,27 @@ def test_class_links_compare_only_what_can_meet_twice(spark):
     assert alone.count() == 6 and "HashAggregate" not in alone._jdf.queryExecution().executedPlan().toString()
 
 
+def test_batch_nearest_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    from quern.operators import search as se
+
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-2, 3, (150, 4)).astype(float)
+    rows[7] = rows[8] = rows[9] = rows[3]
+    vectors = spark.createDataFrame([(n, r.tolist()) for n, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(se, "QUERY_SLICE", 7)
+    monkeypatch.setattr(se, "ROW_SLICE", 11)
+    found = {}
+    for r in se.batch_nearest(vectors, vectors.where("vec_id % 3 = 0"), 5).collect():
+        found[r.query, r.rank] = (r.vec_id, r.score)
+    unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+    for q in range(0, 150, 3):
+        scores = np.round(unit @ unit[q], 6)
+        best = np.lexsort((np.arange(150), -scores))[:5]
+        assert [found[q, n + 1] for n in range(5)] == [(int(x), scores[x]) for x in best]
+
+
 def test_scores(spark):
     assert one(spark, sc.recency(F.col("y"), 2025), y=2015) == 0.5
     acts = lambda year: one(spark, sc.cross_references(F.col("a"), F.lit(year).cast("int")), a=["BNS", "IPC"])
