@@ -117,8 +117,10 @@ def outcome(disposal, case_type, ratio, text) -> Column:
     disposal, case_type, ratio = (_filled(_col(c)) for c in (disposal, case_type, ratio))
     said = F.concat(F.lit("The "), F.lower(F.coalesce(case_type, F.lit("case"))), F.lit(" was "), F.lower(disposal), F.lit("."))
     structured = F.substring(F.concat_ws(" ", said, F.concat(first_sentence(ratio, 150), F.lit("."))), 1, 300)
-    found = F.regexp_extract(F.right(_col(text), F.lit(3000)), rf"([^.]*{OUTCOME}[^.]*\.?)", 1)
-    return F.when(disposal.isNotNull(), structured).otherwise(F.substring(_filled(found), 1, 200))
+    # A stop is in no outcome, so the text is cut into sentences first and each is searched once.
+    sentences = F.split(F.right(_col(text), F.lit(3000)), r"(?<=\.)", -1)
+    found = _once(F.get(F.filter(sentences, lambda x: x.rlike(OUTCOME)), F.lit(0)), _filled)
+    return F.when(disposal.isNotNull(), structured).otherwise(F.substring(found, 1, 200))
 
 
 def fix_case_type(case_type, number) -> Column:

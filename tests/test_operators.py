@@ -278,6 +278,22 @@ def test_batch_nearest_in_slices(spark, monkeypatch):
         assert [found[q, n + 1] for n in range(5)] == [(int(x), scores[x]) for x in best]
 
 
+def test_outcomes_of_long_sentences(spark):
+    """The time of a sentence grows with its length, not with its square."""
+    import time
+
+    from quern.functions.validation import outcome
+
+    rows = spark.range(2000).select(F.concat(F.lit("One. "), F.repeat(F.lit("word and "), 300), F.col("id").cast("string"), F.lit("\nthe appeal  is partly allowed. More.")).alias("t"))
+    none = F.lit(None).cast("string")
+    began = time.monotonic()
+    assert rows.select(outcome(none, none, none, F.col("t")).alias("o")).where("startswith(o, 'word and word')").count() == 2000
+    plain = rows.select(outcome(none, none, none, F.repeat(F.lit("petition of "), 250)).alias("o"))
+    assert plain.where("o IS NOT NULL").count() == 0 and time.monotonic() - began < 12
+    ends = spark.createDataFrame([("a. The suit is dismissed",), (". case is remanded..",), ("",), (None,)], "t string").select(outcome(none, none, none, F.col("t")).alias("o"))
+    assert [r.o for r in ends.collect()] == ["The suit is dismissed", "case is remanded.", None, None]
+
+
 def test_scores(spark):
     assert one(spark, sc.recency(F.col("y"), 2025), y=2015) == 0.5
     acts = lambda year: one(spark, sc.cross_references(F.col("a"), F.lit(year).cast("int")), a=["BNS", "IPC"])
