@@ -294,6 +294,12 @@ def test_outcomes_of_long_sentences(spark):
     assert [r.o for r in ends.collect()] == ["The suit is dismissed", "case is remanded.", None, None]
 
 
+def test_acts_are_repaired_once(spark):
+    from quern.functions import records as rc
+
+    assert str(rc.normalize_acts("acts", {})._jc).count("levenshtein") == 2 * len(rc.act_words())
+
+
 def test_scores(spark):
     assert one(spark, sc.recency(F.col("y"), 2025), y=2015) == 0.5
     acts = lambda year: one(spark, sc.cross_references(F.col("a"), F.lit(year).cast("int")), a=["BNS", "IPC"])
