@@ -81,13 +81,13 @@ REPORTERS = ["({y}) {n} SCC {k}", "[{y}] {n}  SCC {k}", "A.I.R. {y} SC {k}", "{y
 def _cited_text():
     y, n, k = F.year("o_orderdate").cast("string"), (F.col("o_custkey") % 9 + 1).cast("string"), F.col("o_orderkey").cast("string")
 
-    def filled(form: str):
-        out = F.lit(form)
+    def filled(form):
         for name, value in (("{y}", y), ("{n}", n), ("{k}", k)):
-            out = F.replace(out, F.lit(name), value)
-        return out
+            form = F.replace(form, F.lit(name), value)
+        return form
 
-    nth = lambda shift: F.element_at(F.array(*map(filled, REPORTERS)), ((F.col("o_orderkey") * 7 + shift) % len(REPORTERS) + 1).cast("int"))
+    # One form is chosen, then filled in.
+    nth = lambda shift: filled(F.element_at(F.array(*map(F.lit, REPORTERS)), ((F.col("o_orderkey") * 7 + shift) % len(REPORTERS) + 1).cast("int")))
     return F.concat(F.lit("See "), nth(0), F.lit(", relied on in "), nth(5), F.lit("; also "), nth(0), F.lit("."))
 
 

@@ -300,6 +300,12 @@ def test_acts_are_repaired_once(spark):
     assert str(rc.normalize_acts("acts", {})._jc).count("levenshtein") == 2 * len(rc.act_words())
 
 
+def test_citations_try_each_pattern_once(spark):
+    from quern.functions import text as tx
+
+    assert str(tx.extract_citations("text")._jc).count("LiveLaw") == 2  # to find all, and to tell which
+
+
 def test_scores(spark):
     assert one(spark, sc.recency(F.col("y"), 2025), y=2015) == 0.5
     acts = lambda year: one(spark, sc.cross_references(F.col("a"), F.lit(year).cast("int")), a=["BNS", "IPC"])
