@@ -9,6 +9,9 @@ joins lose nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +20,12 @@ from quern.storage import settle
 
 #: Words before a citation that do not belong to it.
 LEADS = r"^(?:see|cf\.?|per|in)\s+"
-#: Characters of a gram, and words of one.
-CHARS, WORDS = 3, 3
+#: Characters of a gram, and most words of one.
+CHARS, WORDS = 3, 8
+#: Bits of the filter of quotes' stretches, 16 MB whatever the quotes; those that share a bit only let through more.
+FILTER_BITS = 27
+#: Words of texts that a task hashes at a time.
+SLICE = 1 << 20
 
 
 def citation_key(text: Column | str) -> Column:
@@ -109,11 +116,105 @@ def _split(text: Column | str) -> Column:
     return F.split(squash(text), " ")
 
 
-def _word_grams(words: Column, n: Column | int) -> Column:
-    """Hashes of all stretches of n words, by where they begin."""
-    size = F.lit(n) if isinstance(n, int) else n
-    begins = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(begins, lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, size), " ")))
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _grams_of(hashes: np.ndarray, lengths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, grams) for each n of the ascending ``lengths``: of all stretches of n words that begin at 0, 1, .. a hash, from the words' hashes."""
+    grams, size = np.zeros(len(hashes), np.uint64), 0
+    for n in lengths:
+        while size < n:
+            grams = (((grams << np.uint64(23)) | (grams >> np.uint64(41))) ^ np.roll(hashes, -size)) * np.uint64(0x9E3779B97F4A7C15)
+            size += 1
+        yield n, grams ^ (grams >> np.uint64(29))
+
+
+def _sliced(batch, lists: int):
+    """The batch in parts whose lists have SLICE values or so; a longer one is a part of its own."""
+    held = np.cumsum(np.diff(batch.column(lists).offsets.to_numpy())) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of an Arrow column of lists of longs: all values, the row of each, and its place there."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _quote_grams(quotes: DataFrame) -> DataFrame:
+    """(quote, n, most, part, length, at, gram): of each part of a quote its stretches of WORDS words, or the part if it has fewer."""
+
+    def batches(source):
+        import pyarrow as pa
+
+        for batch in (part for whole in source for part in _sliced(whole, 3)):
+            hashes, row, at = _flat(batch.column(3))
+            n, cuts = (batch.column(c).to_numpy().astype(np.int64)[row] for c in (1, 2))
+            part = ((at + 1) * (cuts + 1) - 1) // np.maximum(n, 1)
+            begins, ends = -(-part * n // (cuts + 1)), -(-(part + 1) * n // (cuts + 1))
+            length = np.minimum(ends - begins, WORDS)
+            for size, grams in _grams_of(hashes, np.unique(length).tolist()):
+                own = np.flatnonzero((length == size) & (at + size <= ends))
+                yield pa.record_batch([batch.column(0).take(pa.array(row[own])), *(pa.array(x[own].astype(np.int32)) for x in (n, cuts, part, length, at)), pa.array(grams[own].view(np.int64))], names=["quote", "n", "most", "part", "length", "at", "gram"])
+
+    kind = quotes.schema["quote"].dataType.simpleString()
+    return quotes.select("quote", "n", "most", _hashed(F.col("words"))).mapInArrow(batches, f"quote {kind}, n int, most int, part int, length int, at int, gram long")
+
+
+def _passage_grams(passages: DataFrame, grams: DataFrame) -> DataFrame:
+    """(passage, gram, pos): the stretches of passages(passage, words) that may be among ``grams``, by a filter of bits.
+
+    The filter keeps what no quote has out of the shuffle. It is a table of bits by
+    hash, so what it lets through still has to meet its gram in a join.
+    """
+    spark = passages.sparkSession
+    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # WORDS at most
+    spot = F.shiftrightunsigned("gram", 64 - FILTER_BITS)
+    longs = grams.groupBy(F.shiftrightunsigned(spot, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(gram, {64 - FILTER_BITS}) & 63 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[longs.column("i").to_numpy()] = longs.column("bits").to_numpy().view(np.uint64)
+    sent = spark.sparkContext.broadcast(bits)
+
+    def batches(source):
+        import pyarrow as pa
+
+        own = sent.value
+        for batch in (part for whole in source for part in _sliced(whole, 1)):
+            hashes, row, pos = _flat(batch.column(1))
+            left = np.bincount(row, minlength=batch.num_rows)[row] - pos
+            for size, found in _grams_of(hashes, lengths):
+                at = found >> np.uint64(64 - FILTER_BITS)
+                kept = np.flatnonzero((left >= size) & ((own[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool))
+                yield pa.record_batch([batch.column(0).take(pa.array(row[kept])), pa.array(found[kept].view(np.int64)), pa.array(pos[kept].astype(np.int32))], names=["passage", "gram", "pos"])
+
+    return passages.select("passage", _hashed(F.col("words"))).mapInArrow(batches, f"passage {passages.schema['passage'].dataType.simpleString()}, gram long, pos int")
+
+
+def nearest_end(quote: list[str], window: list[str]) -> tuple[int, int]:
+    """(changes, end): the fewest changes that make a stretch of ``window`` the quote, and where the first such stretch ends.
+
+    A column of ``align`` at a time, as bits that tell where it rises and falls (Myers).
+    """
+    has: dict[str, int] = {}
+    for i, word in enumerate(quote):
+        has[word] = has.get(word, 0) | 1 << i
+    top = len(quote) - 1
+    every = (1 << len(quote)) - 1
+    rises, falls, changes = every, 0, len(quote)
+    best = (changes, 0)
+    for j, word in enumerate(window, 1):
+        same = has.get(word, 0)
+        down = same | falls
+        across = (((same & rises) + rises) ^ rises) | same
+        up, low = falls | (every & ~(across | rises)), rises & across
+        changes += (up >> top & 1) - (low >> top & 1)
+        if changes < best[0]:
+            best = (changes, j)
+        up, low = up << 1 & every, low << 1 & every
+        rises, falls = low | (every & ~(down | up)), up & down
+    return best
 
 
 def align(quote: list[str], window: list[str], most: int) -> tuple[int, int, int] | None:
@@ -141,34 +242,26 @@ def find_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str = "quote",
     words. One row for each pair of a quote and a passage that has it, the place
     with the fewest changes, of these the first. Null and blank texts match nothing; ids are
     unique and not null. Quotes of n words may have e = percent n / 100 changes: cut
-    into e + 1 parts, one part is there unchanged, so the rarest stretch of up to
-    WORDS words of each part leads to every place, in whole passages. A task
+    into e + 1 parts, one part is there unchanged, so each part, or its rarest stretch
+    of WORDS words if it has more, leads to every place, in whole passages. A task
     verifies places one by one, each within the quote's length and its changes.
     """
     q = quotes.where(F.trim(text) != "").select(F.col(quote_id).alias("quote"), _split(text).alias("words"))
     q = q.where("words[0] != ''").withColumn("n", F.size("words")).withColumn("most", F.floor(F.col("n") * percent / 100).cast("int"))
     q = settle(q, "quotes")
-    length = F.least(F.floor(F.col("n") / (F.col("most") + 1)).cast("int"), F.lit(WORDS))  # the shortest part has no fewer words
-    grams = q.withColumn("length", length).select("quote", "n", "most", "length", F.posexplode(_word_grams(F.col("words"), length)).alias("at", "gram"))
-    # The part that a stretch lies in as a whole, if it does.
-    part = F.floor(((F.col("at") + 1) * (F.col("most") + 1) - 1) / F.col("n"))
-    begins = F.ceil(part * F.col("n") / (F.col("most") + 1))
-    ends = F.ceil((part + 1) * F.col("n") / (F.col("most") + 1))
-    grams = grams.withColumn("part", part).where((F.col("at") >= begins) & (F.col("at") + F.col("length") <= ends))
-    grams = settle(grams, "quote-grams")
-    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # WORDS at most
-    if not lengths:
-        lengths = [WORDS]
-    p = passages.where(F.trim(text) != "").select(F.col(passage_id).alias("passage"), _split(text).alias("words"))
-    listed = F.flatten(F.array(*[F.transform(_word_grams(F.col("words"), n), lambda g, i: F.struct(g.alias("gram"), i.alias("pos"))) for n in lengths]))
-    of_passages = p.select("passage", F.explode(listed).alias("g")).select("passage", "g.gram", "g.pos")
-    there = of_passages.join(grams.select("gram").distinct(), "gram", "left_semi")
+    grams = settle(_quote_grams(q), "quote-grams")
+    whole = passages.where(F.trim(text) != "").select(F.col(passage_id).alias("passage"), F.col(text).alias("text"))
+    split = lambda rows: rows.select("passage", _split("text").alias("words"))
+    there = settle(_passage_grams(split(whole), grams), "passage-grams")
     counted = there.groupBy("gram").agg(F.count("*").alias("df"))
     seeds = grams.join(counted, "gram").groupBy("quote", "n", "most", "part").agg(F.min_by(F.struct("gram", "at"), F.struct("df", "at")).alias("s"))
     seeds = settle(seeds.select("quote", "n", "most", "s.gram", "s.at"), "seeds")
     start = F.greatest(F.col("pos") - F.col("at") - F.col("most"), F.lit(0))
-    places = of_passages.join(seeds, "gram").select("passage", "quote", start.alias("from"), (F.col("pos") - F.col("at") + F.col("n") + F.col("most")).alias("to")).distinct()
-    asked = places.join(p, "passage").select("passage", "quote", "from", F.expr("slice(words, from + 1, to - from)").alias("window"))
+    places = there.join(seeds, "gram").select("passage", "quote", start.alias("from"), (F.col("pos") - F.col("at") + F.col("n") + F.col("most")).alias("to")).distinct()
+    places = settle(places, "places")
+    # Only passages with a place are cut into words again.
+    held = split(whole.join(places.select("passage").distinct(), "passage", "left_semi"))
+    asked = places.join(held, "passage").select("passage", "quote", "from", F.expr("slice(words, from + 1, to - from)").alias("window"))
     asked = asked.join(q.select("quote", "words", "most"), "quote")
 
     def verified(batches):
@@ -177,8 +270,12 @@ def find_quotes(quotes: DataFrame, passages: DataFrame, quote_id: str = "quote",
         for batch in batches:
             out = []
             for quote, passage, at, window, words, most in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if found := align(words, window, most):
-                    out.append((quote, passage, found[0], at + found[1], at + found[2], " ".join(window[found[1] : found[2]])))
+                changes, end = nearest_end(words, window)
+                if changes <= most:
+                    # The stretch ends there, so no more than the quote's length and its changes before it can belong to it.
+                    cut = max(0, end - len(words) - changes)
+                    begin = cut + align(words, window[cut:end], most)[1] if changes else cut
+                    out.append((quote, passage, changes, at + begin, at + end, " ".join(window[begin:end])))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (batch.schema.types[0], batch.schema.types[1], pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["quote", "passage", "changes", "start", "end", "stretch"])
 
     kinds = {c: asked.schema[c].dataType.simpleString() for c in ("quote", "passage")}

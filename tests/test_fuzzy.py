@@ -96,3 +96,29 @@ def test_empty_tables(spark):
     none, some = spark.createDataFrame([], "quote long, passage long, n long, id long, text string, key string"), spark.createDataFrame([(1, 1, 1, 1, "a b c", "a b c")], "quote long, passage long, n long, id long, text string, key string")
     assert fz.find_quotes(none, some).collect() == [] and fz.find_quotes(some, none).collect() == []
     assert fz.fuzzy_join(none.select("n", "text"), some).collect() == [] and fz.fuzzy_join(some.select("n", "text"), none).first().tier == 0
+
+
+def test_nearest_end_is_that_of_the_alignment():
+    rng = random.Random(5)
+    for _ in range(2000):
+        quote, window = rng.choices("abc", k=rng.randint(1, 70)), rng.choices("abc", k=rng.randint(0, 80))
+        changes, start, end = fz.align(quote, window, 100)
+        assert fz.nearest_end(quote, window) == (changes, end)
+        cut = max(0, end - len(quote) - changes)
+        assert fz.align(quote, window[cut:end], 100) == (changes, start - cut, end - cut) and (changes or start == end - len(quote))
+
+
+def test_common_words_lead_to_few_places(spark, monkeypatch):
+    """Quotes and passages that share a frequent stretch, but no whole part, do not meet."""
+    settled, settle = {}, fz.settle
+
+    def counted(df, name):
+        settled[name] = settle(df, name)
+        return settled[name]
+
+    monkeypatch.setattr(fz, "settle", counted)
+    quotes = [(n, f"of the law q{n} r{n} s{n}") for n in range(100)]
+    passages = [(n, f"v{n} w{n} of the law x{n} y{n} z{n} " + (quotes[n][1] if n < 3 else "")) for n in range(300)]
+    found = fz.find_quotes(spark.createDataFrame(quotes, "quote long, text string"), spark.createDataFrame(passages, "passage long, text string")).collect()
+    assert sorted((r.quote, r.passage, r.changes) for r in found) == [(n, n, 0) for n in range(3)]
+    assert settled["places"].count() == 3
