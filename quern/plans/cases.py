@@ -14,6 +14,8 @@ from quern.sources.tables import table
 
 #: What an order's status stands for.
 OUTCOMES = {"F": "allowed", "O": "dismissed", "P": "partly allowed"}
+#: Lines of orders in a task, or so: what their arrays and the pairs made of these take of its memory is about 150 MB.
+TASK_LINES = 1 << 19
 
 
 def base_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +29,22 @@ def base_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def by_case(lines: DataFrame, total: int) -> DataFrame:
+    """``total`` lines, those of a case in one of as many tasks as they need, so that a task holds no more of a larger table."""
+    return lines.repartition(max(lines.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_LINES)), "l_orderkey")
+
+
+def lines_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    return by_case(lines, lines.count())
+
+
 def case_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, judge array, author, acts array, counsel array of (side, name), from the lines of each order."""
     lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     side = F.when(F.col("l_returnflag") == "R", "respondent").otherwise("petitioner")
     joined = lines.join(part, lines.l_partkey == part.p_partkey, "left")
-    return joined.groupBy(F.col("l_orderkey").alias("case_id")).agg(
+    return by_case(joined, lines.count()).groupBy(F.col("l_orderkey").alias("case_id")).agg(
         F.sort_array(F.collect_set("l_suppkey")).alias("judge"),
         F.min(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey"))).alias("author"),
         F.sort_array(F.collect_set("p_brand")).alias("acts"),
@@ -49,13 +61,13 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, judge array, author; nothing but the lines is read, and the array is of one case's few lines."""
     first = F.min(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey"))).alias("author")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("judge"), first)
+    return lines_by_case(spark, sf_dir).groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sort_array(F.collect_set("l_suppkey")).alias("judge"), first)
 
 
 def counsel_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """case_id, year, disposal, counsel array, from lines and orders alone."""
     side = F.when(F.col("l_returnflag") == "R", "respondent").otherwise("petitioner")
-    counsel = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sort_array(F.collect_set(F.struct(side.alias("side"), F.col("l_suppkey").alias("name")))).alias("counsel"))
+    counsel = lines_by_case(spark, sf_dir).groupBy(F.col("l_orderkey").alias("case_id")).agg(F.sort_array(F.collect_set(F.struct(side.alias("side"), F.col("l_suppkey").alias("name")))).alias("counsel"))
     return order_facts(spark, sf_dir).join(counsel, "case_id")
 
 

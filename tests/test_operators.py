@@ -429,3 +429,14 @@ def test_components_of_a_long_shuffled_path(spark):
     assert {r.id: r.component for r in gr.components(edges, nodes).collect()} == {**dict.fromkeys(ids, 0), 400: 400, 401: 400, 500: 500}
     with pytest.raises(RuntimeError):
         gr.components(edges, nodes, max_rounds=1)
+
+
+def test_tasks_of_cases_grow_with_the_lines(spark, sf, monkeypatch):
+    """However many lines there are, a task that makes arrays and pairs of cases gets about TASK_LINES of them."""
+    from quern.plans import cases
+
+    total = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(cases, "TASK_LINES", total // 40)
+    for made in (cases.benches, cases.counsel_of_cases, cases.case_arrays):
+        rows = made(spark, sf)
+        assert rows.rdd.getNumPartitions() >= 40 and rows.count() == rows.select("case_id").distinct().count()
