@@ -40,7 +40,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingle similarity 0.8 or more connect, the one with the smallest doc_id stays.
 
-    A null id counts as the largest. Texts without words, null ones too, are alike; of rows that repeat id and text any one stays.
+    SimHash proposes links first, an exact join finds those that it misses. A null id counts as the largest. Texts without words, null ones too, are alike; of rows that repeat id and text any one stays.
     """
     return drop_near_copies(docs, components=similar_components)
 

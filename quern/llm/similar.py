@@ -1,10 +1,13 @@
 """Near-duplicates by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-An exact similarity join, without a sketch that could miss a pair. In one order
+SimHash, completed by an exact similarity join, so that no pair is missed. In one order
 of all shingles, two sets that are similar enough share a shingle among the
 first n - ceil(0.8 n) + 1 of each. Any order serves; frequent shingles of a
 sample come last in it, so that common passages seldom are in a prefix.
 
+0. SimHash proposes first: fingerprints of the same shingles that differ in 3 bits
+   or fewer link their texts. It misses pairs and has others that are not similar
+   enough, so what it proposes is verified, and the join below finds the rest.
 1. Prefixes are packed into blocks, and an exchange tells which of their shingles
    another text has as well, and in which text each of these comes first.
 2. The sets that share a shingle (a large group of near copies, maybe) are held
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import chunks_by_size, column_bytes, materialise, released
 from quern.llm.components import connected_components
 from quern.llm.exchange import exchange_values, gather_values
-from quern.llm.simhash import SALTS, SEED
+from quern.llm.simhash import BITS, BLOCK, SALTS, SEED, link
 from quern.skew import join_groups
 
 #: Texts of which one is sampled for frequent shingles, and the most shingles that are put last. Neither changes results.
@@ -90,8 +93,16 @@ def _node(tokens: np.ndarray) -> int:
     return xxh64_intdigest(tokens.tobytes(), SEED)
 
 
+def _fingerprint(own: np.ndarray) -> np.ndarray:
+    """The SimHash of a set of hashes: a bit is set if it is set in over half of them; 0 for an empty set."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(own), BLOCK):
+        total += np.unpackbits(own[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > len(own), bitorder="little").view("<i8")[0]
+
+
 def _prefixes(rows: DataFrame, size: int) -> DataFrame:
-    """(id, node, n, bits, tokens): of every row its set's hash, size and bitmap, and the hashes of the set's prefix."""
+    """(id, node, n, fp, bits, tokens): of every row its set's hash, size, SimHash and bitmap, and the hashes of the set's prefix."""
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))
 
     def batches(source):
@@ -99,19 +110,20 @@ def _prefixes(rows: DataFrame, size: int) -> DataFrame:
 
         late = last.value
         for batch in source:
-            nodes, sizes, bitmaps, prefixes = [], [], [], []
+            nodes, sizes, fps, bitmaps, prefixes = [], [], [], [], []
             for text in column_bytes(batch, "text"):
                 own = _hashes(text, size)
                 nodes.append(_node(own))
                 sizes.append(len(own))
+                fps.append(_fingerprint(own))
                 bitmaps.append(np.packbits(np.bincount((own & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64))
                 spot = np.minimum(np.searchsorted(late, own), max(0, len(late) - 1))
                 put_last = late[spot] == own if len(late) else np.zeros(len(own), bool)
                 prefixes.append(np.concatenate((own[~put_last], own[put_last]))[: len(own) - (4 * len(own) + 4) // 5 + 1].tobytes())
             bits = pa.ListArray.from_arrays(pa.array(np.arange(0, LONGS * (len(nodes) + 1), LONGS), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bitmaps])))
-            yield pa.record_batch([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), bits, pa.array(prefixes, pa.binary())], names=["id", "node", "n", "bits", "tokens"])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.int64)), bits, pa.array(prefixes, pa.binary())], names=["id", "node", "n", "fp", "bits", "tokens"])
 
-    return rows.mapInArrow(released(batches), f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, bits array<long>, tokens binary")
+    return rows.mapInArrow(released(batches), f"id {rows.schema['id'].dataType.simpleString()}, node long, n int, fp long, bits array<long>, tokens binary")
 
 
 def _packed(one: DataFrame) -> DataFrame:
@@ -306,13 +318,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) ->
     return materialise(both.select("a", "b", "x", "y").mapInArrow(released(checked), "a long, b long"), "links")
 
 
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """(a, b): the nodes that SimHash links at 3 bits or fewer, enough of them to keep its components whole.
+
+    Of nodes with one fingerprint the smallest stands for them.
+    """
+    known = materialise(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")), "fingerprints")
+    alike = join_groups(nodes.select("node", "fp"), known.where("n > 1").withColumnRenamed("fp", "of"), F.col("fp") == F.col("of"), nodes.count())
+    lead = lambda end: known.select(F.col("fp").alias(end), F.col("lead").alias(f"{end}_lead"))
+    linked = link(known.select("fp")).distinct().join(lead("a"), "a").join(lead("b"), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+    pairs = alike.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).unionByName(linked)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _links(blocks: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """Links (a, b) between nodes, enough of them to keep every component whole."""
     pair = lambda p, q: [F.least(f"{p}.node", f"{q}.node").alias("a"), F.greatest(f"{p}.node", f"{q}.node").alias("b")]
     marks = nodes.select("node", "n", "bits")
-    # First each set with the leaders of its tokens.
+    # First what SimHash proposes, and each set with the leaders of its tokens.
     shared = materialise(_shared(blocks), "shared-blocks")
-    stars = _listed(shared, {"a": "a", "b": "b"}, "a long, b long").distinct()
+    stars = _listed(shared, {"a": "a", "b": "b"}, "a long, b long").unionByName(_proposed(nodes)).distinct()
     stars = stars.join(marks.alias("p"), F.col("a") == F.col("p.node")).join(marks.alias("q"), (F.col("b") == F.col("q.node")) & _near("p", "q")).select("a", "b")
     stars = materialise(stars, "candidates")
     links = _verified(stars, nodes, rows, size)
@@ -339,7 +364,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
     rows = docs.select(own.alias("id"), F.col(text_col).alias("text"))
     found = materialise(_prefixes(rows, shingle), "prefixes")
-    nodes = materialise(found.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
+    nodes = materialise(found.groupBy("node").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "nodes")
     repeated = materialise(nodes.where("copies > 1").select("node"), "repeated")
     once = found.select("node", "n", "tokens").join(repeated, "node", "left_anti")
     one = once.union(found.select("node", "n", "tokens").join(repeated, "node", "left_semi").dropDuplicates(["node"]))

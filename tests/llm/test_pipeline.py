@@ -104,3 +104,26 @@ def test_similar_components_of_families(spark, tmp_path, share, monkeypatch):
     assert found == dict(enumerate(brute_similar(texts, range(len(texts)))))
     assert len(set(found.values())) > 20
     assert similar_components(spark.read.parquet(path).limit(0)).count() == 0
+
+
+def test_simhash_proposes_links_first(spark, tmp_path):
+    """SimHash gives candidates of the stage: all texts of one fingerprint, and those of fingerprints 3 bits apart, meet."""
+    rng = random.Random(8)
+    vocabulary = [f"w{n}" for n in range(500)]
+    base = rng.choices(vocabulary, k=400)
+    texts = [None, "", "a b"] + [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(0, 400, 20)] + [" ".join(rng.choices(vocabulary, k=50)) for _ in range(20)]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    rows = similar._prefixes(spark.read.parquet(path).selectExpr("doc_id AS id", "text"), 5).cache()
+    fps = {r.node: r.fp % (1 << 64) for r in rows.collect()}
+    for r in rows.collect():
+        hashes = similar._hashes((texts[r.id] or "").encode(), 5)
+        assert fps[r.node] == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+    root = {n: n for n in fps}
+    find = lambda x: x if root[x] == x else find(root[x])
+    found = similar._proposed(rows.dropDuplicates(["node"])).collect()
+    for a, b in found:
+        assert (fps[a] ^ fps[b]).bit_count() <= 3 and a < b
+        root[find(a)] = find(b)
+    near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert len(near) > 10 and all(find(a) == find(b) for a, b in near)
