@@ -7,9 +7,11 @@ into tiles of at most TILE vectors, so that a cell with most of all vectors is m
 tiles.
 
 A search scores the tiles of each query's ``probes`` nearest cells by their bytes,
-keeps the best ``rerank`` and gives these their exact scores. Tiles meet queries by
-(cell, tile, part of the cell's queries): a group has one tile and PART queries or
-so, however many rows or queries a cell has.
+keeps the best ``rerank`` and gives these their exact scores. Tiles meet queries in
+blocks of BLOCK rows and PART queries or so, however many rows or queries a cell has;
+a block keeps a query's ``rerank`` best of all its tiles, so what is left to sort
+follows the blocks, not the cells, in partitions of at most MERGED rows. For the exact
+scores a tile comes once for each PART of the queries that ask for it.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from quern.storage import settle
 
 #: Cells at most, rows of the sample for each cell, vectors in a tile, queries in a group, folders of the tiles.
 MAX_CELLS, SAMPLE, TILE, PART, SHELVES = 4096, 64, 2048, 4096, 64
+#: Rows of the index in a block, queries that a block scores at a time, candidates in a partition where blocks are merged.
+BLOCK, SLICE, MERGED = 1 << 16, 512, 1 << 19
+#: Blocks and parts of the queries that small tables are cut into as well, if these have so many rows or queries each.
+SPREAD, SPREAD_ROWS, SPREAD_QUERIES = 8, 4096, 256
 #: Probed cells up to which a search names them to the scan.
 NAMED = 1024
 TILES = "cell int, tile long, n int, keys array<long>, codes binary, scales binary, vectors binary, shelf int"
@@ -145,6 +151,11 @@ def search_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int =
         return spark.createDataFrame([], empty)
     most = min(probes, len(centres))
 
+    tiles = spark.read.schema(TILES).parquet(f"{path}/tiles")
+    total, wide = tiles.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], asked.count()
+    over = max(1, math.ceil(total / BLOCK), min(SPREAD, total // SPREAD_ROWS))  # cells share a block by their number
+    least = max(1, min(SPREAD, wide // SPREAD_QUERIES))
+
     def nearest(batches):
         import pyarrow as pa
 
@@ -153,21 +164,24 @@ def search_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int =
                 part = batch.slice(at, 4096)
                 scores = _matrix(part.column(1)) @ centres.T
                 cells = np.argpartition(-scores, most - 1, axis=1)[:, :most].astype(np.int32)
-                rows = pa.array(np.repeat(np.arange(part.num_rows), most))
-                yield pa.record_batch([part.column(0).take(rows), part.column(1).take(rows), pa.array(cells.ravel())], names=["query", "vector", "cell"])
-
-    probed = settle(asked.mapInArrow(nearest, "query long, vector array<float>, cell int"), "probes")
-    parts = settle(probed.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")), "probe-parts")
-    tiles = spark.read.schema(TILES).parquet(f"{path}/tiles")
-    named = [r.cell for r in parts.select("cell").limit(NAMED + 1).collect()]
+                cells = np.take_along_axis(cells, np.argsort(cells % over, axis=1, kind="stable"), 1).ravel()
+                row = np.repeat(np.arange(part.num_rows), most)
+                cuts = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(cells % over) != 0)]) if len(row) else row
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[cuts, len(row)], pa.int32()), pa.array(cells))
+                yield pa.record_batch([part.column(0).take(pa.array(row[cuts])), part.column(1).take(pa.array(row[cuts])), pa.array(cells[cuts] % over, pa.int32()), lists], names=["query", "vector", "block", "cells"])
+
+    probed = settle(asked.mapInArrow(nearest, "query long, vector array<float>, block int, cells array<int>"), "probes")
+    named = [r.cell for r in probed.select(F.explode("cells").alias("cell")).distinct().limit(NAMED + 1).collect()]
     if len(named) <= NAMED:
         tiles = tiles.where(F.col("cell").isin(*named) & F.col("shelf").isin(*{c % SHELVES for c in named}) if named else F.lit(False))
-    dealt = probed.join(parts, "cell").select("cell", "query", "vector", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"))
-    meets = dealt.join(tiles.select("cell", "tile"), "cell")
+    # A block with a large cell is cut by tiles, one that many queries probe by queries.
+    held = tiles.groupBy((F.col("cell") % over).alias("block")).agg(F.ceil(F.sum("n") / (2 * BLOCK)).cast("int").alias("cuts"))
+    sizes = settle(probed.groupBy("block").agg(F.count("*").alias("asked")).join(held, "block").select("block", "asked", "cuts", F.greatest(F.ceil(F.col("asked") / PART), F.lit(least)).cast("int").alias("parts")), "blocks")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    coded = ["cell", "tile", "n", "keys", "codes", "scales"]
     none = lambda names: [F.lit(None).cast(tiles.schema[c].dataType).alias(c) for c in names]
-    coded = ["n", "keys", "codes", "scales"]
-    of_tiles = tiles.join(parts, "cell").select("cell", "tile", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<float>").alias("vector"), *coded)
-    both = meets.select("cell", "tile", "part", "query", "vector", *none(coded)).unionByName(of_tiles)
+    meets = probed.join(sizes, "block").select("block", upto("cuts").alias("cut"), F.pmod(F.xxhash64("query"), F.col("parts")).cast("int").alias("part"), "query", "vector", "cells", *none(coded))
+    of_tiles = tiles.withColumn("block", F.col("cell") % over).join(sizes, "block").select("block", F.pmod(F.xxhash64("tile"), F.col("cuts")).cast("int").alias("cut"), upto("parts").alias("part"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("array<int>").alias("cells"), *coded)
 
     def scored(table):
         import pyarrow as pa
@@ -176,28 +190,63 @@ def search_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int =
         own, told = table.filter(pc.is_valid(table.column("n"))), table.filter(pc.is_valid(table.column("query")))
         if not told.num_rows or not own.num_rows:
             return schema.empty_table()
-        n, cell = own.column("n")[0].as_py(), own.column("cell")[0].as_py()
-        codes = np.frombuffer(own.column("codes")[0].as_py(), np.int8).reshape(n, -1).astype(np.float32)
-        scales, keys = np.frombuffer(own.column("scales")[0].as_py(), "<f4"), np.array(own.column("keys")[0].as_py(), np.int64)
-        vectors = _matrix(told.column("vector").combine_chunks())
-        scores = vectors @ centres[cell][:, None] + (vectors @ codes.T) * scales
-        best = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :rerank]
-        size = best.shape[1]
-        columns = [np.repeat(told.column("query").to_numpy(), size), np.full(best.size, own.column("tile")[0].as_py()), best.ravel(), keys[best].ravel(), np.take_along_axis(scores, best, 1).ravel()]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+        lists, here = told.column("cells").combine_chunks(), np.unique(own.column("cell").to_numpy())
+        flat, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(here, flat), len(here) - 1)
+        probes_cell = np.zeros((told.num_rows, len(here)), bool)
+        probes_cell[row[here[at] == flat], at[here[at] == flat]] = True
+        vectors, asked = _matrix(told.column("vector").combine_chunks()), told.column("query").to_numpy()
+        opened = []
+        for r in own.select(coded).to_batches():
+            for cell, tile, n, keys, codes, scales in zip(*(r.column(c) for c in range(6)), strict=True):
+                codes = np.frombuffer(codes.as_buffer(), np.int8).reshape(n.as_py(), -1)
+                opened.append((int(np.searchsorted(here, cell.as_py())), cell.as_py(), tile.as_py(), keys.values.to_numpy(), codes, np.frombuffer(scales.as_buffer(), "<f4")))
+        def merged(best, pending, bound):
+            best = [np.concatenate(p) for p in zip(best, *pending, strict=True)]
+            order = np.lexsort((best[3], -best[4], best[0]))
+            nth = np.arange(len(order)) - np.searchsorted(best[0][order], best[0][order])
+            best = [p[order[nth < rerank]] for p in best]
+            full = nth[nth < rerank] == rerank - 1
+            bound[best[0][full]] = best[4][full]
+            return best
+
+        out = []
+        for cut in range(0, len(asked), SLICE):
+            mine = vectors[cut : cut + SLICE]
+            best, pending, waiting = [np.zeros(0, f.type.to_pandas_dtype()) for f in schema], [], 0
+            bound = np.full(len(mine), -np.inf, np.float32)  # the rerank-th score of each query, once it has as many
+            for place, cell, tile, keys, codes, scales in opened:
+                some = np.flatnonzero(probes_cell[cut : cut + SLICE, place])
+                if not len(some):
+                    continue
+                scores = mine[some] @ centres[cell][:, None] + (mine[some] @ codes.astype(np.float32).T) * scales
+                low = bound[some]
+                if len(keys) > rerank and np.isneginf(low).any():
+                    low = np.maximum(low, np.partition(scores, -rerank, axis=1)[:, -rerank])
+                q, x = np.nonzero(scores >= low[:, None])
+                if not len(q):
+                    continue
+                pending.append([some[q], np.full(len(q), tile), x, keys[x], scores[q, x]])
+                waiting += len(q)
+                if waiting >= rerank * len(mine):  # sorted as seldom as that, since a bound still lets some through
+                    best, pending, waiting = merged(best, pending, bound), [], 0
+            best = merged(best, pending, bound)
+            out.append(pa.table([pa.array(c, f.type) for c, f in zip([asked[cut + best[0].astype(np.int64)], *best[1:]], schema, strict=True)], schema=schema))
+        return pa.concat_tables(out)
 
     import pyarrow as pa
 
     schema = pa.schema([("query", pa.int64()), ("tile", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("near", pa.float64())])
-    found = both.groupBy("cell", "tile", "part").applyInArrow(scored, "query long, tile long, at int, key long, near double")
+    found = meets.unionByName(of_tiles).groupBy("block", "cut", "part").applyInArrow(scored, "query long, tile long, at int, key long, near double")
+    rows = sizes.agg(F.coalesce(F.sum(F.col("asked") * F.col("cuts")), F.lit(0))).first()[0] * rerank
+    dealt = found.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / MERGED)), "query")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "key"))
-    best = found.withColumn("nth", nth).where(F.col("nth") <= rerank).select("query", "tile", "at", "key")
+    best = settle(dealt.withColumn("nth", nth).where(F.col("nth") <= rerank).select("query", "tile", "at", "key"), "candidates")
     # Exact scores: a tile's vectors meet the queries that it has candidates for, again in parts.
-    wanted = settle(best, "candidates").join(asked.select(F.col("key").alias("query"), "vector"), "query")
-    wanted = wanted.groupBy("tile", "query").agg(F.first("vector").alias("vector"), F.collect_list(F.struct("at", "key")).alias("rows"))
-    wanted = wanted.withColumn("slot", F.pmod(F.xxhash64("query"), F.lit(64)).cast("int"))
-    slots = wanted.select("tile", "slot").distinct()
-    full = tiles.join(slots, "tile").select("tile", "slot", F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("array<struct<at:int,key:long>>").alias("rows"), "n", "vectors")
+    parts = settle(best.groupBy("tile").agg(F.ceil(F.count("*") / PART).cast("int").alias("slots")), "slots")
+    wanted = best.groupBy("tile", "query").agg(F.collect_list(F.struct("at", "key")).alias("rows")).join(asked.select(F.col("key").alias("query"), "vector"), "query")
+    wanted = wanted.join(parts, "tile").withColumn("slot", F.pmod(F.xxhash64("query"), F.col("slots")).cast("int"))
+    full = tiles.join(parts, "tile").select("tile", upto("slots").alias("slot"), F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("array<struct<at:int,key:long>>").alias("rows"), "n", "vectors")
     both = wanted.select("tile", "slot", "query", "vector", "rows", F.lit(None).cast("int").alias("n"), F.lit(None).cast("binary").alias("vectors")).unionByName(full)
 
     def exact(table):
@@ -205,6 +254,8 @@ def search_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int =
         import pyarrow.compute as pc
 
         own, told = table.filter(pc.is_valid(table.column("n"))), table.filter(pc.is_valid(table.column("query")))
+        if not told.num_rows:  # no query of the tile fell into this slot
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "key", "score"])
         rows = np.frombuffer(own.column("vectors")[0].as_py(), "<f4").reshape(own.column("n")[0].as_py(), -1)
         lists = told.column("rows").combine_chunks()
         sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()

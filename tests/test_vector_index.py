@@ -88,3 +88,25 @@ def test_empty_tables(spark, tmp_path):
     vx.build_vectors(one, str(tmp_path / "j"))
     assert vx.search_vectors(spark, str(tmp_path / "j"), none).collect() == []
     assert [tuple(r) for r in vx.search_vectors(spark, str(tmp_path / "j"), one).collect()] == [(1, 1, 1, 1.0)]
+
+
+def test_a_block_keeps_the_best_of_all_its_cells(spark, tmp_path, monkeypatch):
+    """Rows left to sort are rerank for each query and block, however many cells are probed; blocks, cuts and parts find the same."""
+    rng = random.Random(6)
+    rows = [(n, [rng.gauss(0, 1) for _ in range(8)]) for n in range(400)] + [(n, [1.0] * 8) for n in range(400, 600)]
+    held = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vx.build_vectors(held, str(tmp_path / "i"), cells=20)
+    asked, made = held.where("vec_id % 25 = 0"), []
+    groups = type(held.groupBy("vec_id"))
+    inner = groups.applyInArrow
+    monkeypatch.setattr(groups, "applyInArrow", lambda self, *a: made.append(inner(self, *a)) or made[-1])
+    whole = {tuple(r) for r in vx.search_vectors(spark, str(tmp_path / "i"), asked, 5, probes=20, rerank=10).collect()}
+    assert made[0].count() == 24 * 10
+    expected = brute(rows, [r for r in rows if r[0] % 25 == 0], 5)
+    full = vx.search_vectors(spark, str(tmp_path / "i"), asked, 5, probes=20, rerank=600)
+    assert {tuple(r) for r in full.collect()} == expected
+    some = {tuple(r) for r in vx.search_vectors(spark, str(tmp_path / "i"), asked, 5, probes=3, rerank=10).collect()}
+    for name, value in {"BLOCK": 32, "PART": 4, "SLICE": 3, "MERGED": 16}.items():
+        monkeypatch.setattr(vx, name, value)
+    assert {tuple(r) for r in vx.search_vectors(spark, str(tmp_path / "i"), asked, 5, probes=20, rerank=10).collect()} == whole
+    assert {tuple(r) for r in vx.search_vectors(spark, str(tmp_path / "i"), asked, 5, probes=3, rerank=10).collect()} == some
