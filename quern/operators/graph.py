@@ -19,6 +19,8 @@ POSITIVE = ("affirmed", "followed", "referred_to", "explained")
 #: The batch variant counts ``applied`` and leaves out mere references.
 POSITIVE_BATCH = ("followed", "affirmed", "applied", "explained")
 SEVERE = ("overruled",)
+#: Nodes up to which their labels are broadcast, or hashed in each shuffle partition; links of a node that one task may take.
+FEW_NODES, HASHED_NODES, TASK_LINKS = 1 << 17, 1 << 19, 1 << 20
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -181,13 +183,20 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> Data
 
 def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
     """Of links(src, dst, w), both ways, and labels(id, label): the share of weight inside labels over what chance would put there."""
-    own = lambda name: labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label"))
     total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
     if not total:
         return 0.0
-    both = links.join(own("src"), "src").join(own("dst"), "dst")
-    inside = both.where("src_label = dst_label").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    chance = both.groupBy("src_label").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
+    degree = links.groupBy("src").agg(F.sum("w").alias("k"))
+    known = settle(labels.select("id", "label").join(degree, F.col("id") == F.col("src")), "known")
+    return _modularity(links, known, total, resolution, known.count())
+
+
+def _modularity(links: DataFrame, labels: DataFrame, total: float, resolution: float, held: int) -> float:
+    """The same with labels(id, label, k) of the ``held`` nodes that have links; a link is looked at one way, as the other way counts the same."""
+    own = lambda name: _met(labels.select(F.col("id").alias(name), F.col("label").alias(f"{name}_label")), held)
+    one = links.where("src <= dst").select("src", "dst", F.when(F.col("src") < F.col("dst"), 2 * F.col("w")).otherwise(F.col("w")).alias("w"))
+    inside = one.join(own("src"), "src").join(own("dst"), "dst").where("src_label = dst_label").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    chance = labels.groupBy("label").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
     return inside / total - resolution * chance / total**2
 
 
@@ -202,19 +211,26 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, levels:
     Communities are named by their smallest node. Like every method of this kind it
     finds a good partition, not the best.
     """
-    links = undirected(edges).where("src <> dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-    links = settle(links.select("src", "dst", F.lit(1.0).alias("w")), "links")
+    kind, pairs = nodes.schema["id"].dataType, edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    for end in ("src", "dst"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(end)), end, "left_semi").withColumn(end, F.col(end).cast(kind))
+    ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    links = settle(pairs.select(ways.alias("e")).select("e.src", "e.dst", F.lit(1.0).alias("w")), "links")
     found = settle(nodes.select("id", F.col("id").alias("community")).distinct(), "found")
-    best = modularity(links, found.withColumnRenamed("community", "label"), resolution)
     total = links.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    best = None
     for level in range(levels if total else 0):
-        degree = settle(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "degree")
-        labels, reached = settle(degree.select("id", F.col("id").alias("label")), "labels"), best
+        degree = settle(links.groupBy("src").agg(F.sum("w").alias("k"), F.count("*").alias("n")), "degree")
+        held, most = degree.agg(F.count("*"), F.max("n")).first()
+        labels = degree.select(F.col("src").alias("id"), F.col("src").alias("label"), "k")
+        links = settle(links.join(labels.select(F.col("id").alias("src"), "k"), "src").select("src", "dst", "w", "k"), "links")
+        best = _modularity(links, labels, total, resolution, held) if best is None else best
+        reached = best
         for sweep in range(sweeps):
             moved = labels
             for turn in (0, 1):
-                moved = settle(_moves(links, moved, degree, total, resolution, 2 * (level * sweeps + sweep) + turn), "labels")
-            value = modularity(links, moved, resolution)
+                moved = settle(_moves(links, moved, total, resolution, 2 * (level * sweeps + sweep) + turn, held, most), "labels")
+            value = _modularity(links, moved, total, resolution, held)
             if value <= reached + 1e-6:
                 break
             labels, reached = moved, value
@@ -222,27 +238,37 @@ def louvain(edges: DataFrame, nodes: DataFrame, resolution: float = 1.0, levels:
             break
         best = reached
         name = settle(labels.groupBy("label").agg(F.min("id").alias("name")), "names")
-        named = labels.join(name, "label").select(F.col("id").alias("of"), "name")
+        named = settle(labels.join(name, "label").select(F.col("id").alias("of"), "name"), "named")
         found = settle(found.join(named, F.col("community") == F.col("of"), "left").select("id", F.coalesce("name", "community").alias("community")), "found")
         ends = lambda end: named.select(F.col("of").alias(end), F.col("name").alias(f"{end}_name"))  # noqa: B023, E731
         links = settle(links.join(ends("src"), "src").join(ends("dst"), "dst").groupBy(F.col("src_name").alias("src"), F.col("dst_name").alias("dst")).agg(F.sum("w").alias("w")), "links")
     return found
 
 
-def _moves(links: DataFrame, labels: DataFrame, degree: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """labels(id, label) after the nodes whose turn it is have moved."""
-    known = labels.join(degree, "id")
-    sums = known.groupBy("label").agg(F.sum("k").alias("tot"))
-    near = links.where("src <> dst").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.sum("w").alias("to"))
-    own = known.select(F.col("id").alias("src"), F.col("label").alias("own"), "k")
+def _met(labels: DataFrame, held: int) -> DataFrame:
+    """``held`` labels for a join with links: broadcast if few, hashed without a sort if a partition's part is small."""
+    parts = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.broadcast(labels) if held <= FEW_NODES else labels.hint("shuffle_hash") if held <= HASHED_NODES * parts else labels
+
+
+def _moves(links: DataFrame, labels: DataFrame, total: float, resolution: float, turn: int, held: int, most: int) -> DataFrame:
+    """labels(id, label, k) after those of ``held`` nodes whose turn it is have moved, by links(src, dst, w, k of src), ``most`` of a node.
+
+    Only links of these nodes are looked at. A neighbour's label comes with that
+    label's sum, so links meet the nodes once and are dealt once, by their node;
+    where a node has too many for one task, by node and label first.
+    """
+    turns = lambda node: F.pmod(F.xxhash64(node, F.lit(turn // 2)), F.lit(2)) == turn % 2
+    known = labels.join(labels.groupBy("label").agg(F.sum("k").alias("tot")), "label")
+    near = links.where("src <> dst").where(turns("src")).join(_met(known.select(F.col("id").alias("dst"), "label", "tot"), held), "dst")
     # A node's own label stands among the choices even where no neighbour has it.
-    choices = near.unionByName(labels.select(F.col("id").alias("src"), "label", F.lit(0.0).alias("to"))).groupBy("src", "label").agg(F.sum("to").alias("to"))
-    rated = choices.join(own, "src").join(sums, "label")
-    gain = F.col("to") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-    picked = rated.select("src", "label", "own", F.round(gain, 9).alias("gain")).groupBy("src").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
-    turns = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    own = known.where(turns("id")).select(F.col("id").alias("src"), "label", F.lit(0.0).alias("w"), "k", "tot", F.lit(True).alias("own"))
+    choices = near.select("src", "label", "w", "k", "tot", F.lit(False).alias("own")).unionByName(own)
+    rated = (choices if most > TASK_LINKS else choices.repartition("src")).groupBy("src", "label").agg(F.sum("w").alias("to"), F.max("k").alias("k"), F.max("tot").alias("tot"), F.max("own").alias("own"))
+    gain = F.col("to") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("own"), F.col("k")).otherwise(0.0)) / total
+    picked = rated.select("src", "label", "own", F.round(gain, 9).alias("gain")).groupBy("src").agg(F.min_by("label", F.struct(-F.col("gain"), F.col("label"))).alias("to"), F.max("gain").alias("top"), F.max(F.when(F.col("own"), F.col("gain"))).alias("stay"))
     both = labels.join(picked, F.col("id") == F.col("src"), "left")
-    return both.select("id", F.when(turns & (F.col("top") > F.col("stay")), F.col("to")).otherwise(F.col("label")).alias("label"))
+    return both.select("id", F.when(F.col("top") > F.col("stay"), F.col("to")).otherwise(F.col("label")).alias("label"), "k")
 
 
 def label_groups(members: DataFrame, group: str, word: str, triggers: DataFrame) -> DataFrame:

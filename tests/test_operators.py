@@ -440,3 +440,25 @@ def test_tasks_of_cases_grow_with_the_lines(spark, sf, monkeypatch):
     for made in (cases.benches, cases.counsel_of_cases, cases.case_arrays):
         rows = made(spark, sf)
         assert rows.rdd.getNumPartitions() >= 40 and rows.count() == rows.select("case_id").distinct().count()
+
+
+def test_louvain_by_every_join(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = spark.createDataFrame([(rng.randrange(120), rng.randrange(120)) for _ in range(500)] + [(200, n) for n in range(60)], "src long, dst long")
+    nodes = spark.createDataFrame([(n,) for n in [*range(120), 200, 300]], "id long")
+    found = set(map(tuple, gr.louvain(edges, nodes).collect()))
+    monkeypatch.setattr(gr, "FEW_NODES", 0)
+    assert set(map(tuple, gr.louvain(edges, nodes, levels=4).collect())) == found
+    monkeypatch.setattr(gr, "HASHED_NODES", 0)
+    monkeypatch.setattr(gr, "TASK_LINKS", 0)
+    assert set(map(tuple, gr.louvain(edges, nodes).collect())) == found
+
+
+def test_a_half_sweep_looks_at_its_own_links_once(spark):
+    links = spark.createDataFrame([(a, b, 1.0, 2.0) for a in range(3) for b in range(3) if a != b], "src long, dst long, w double, k double")
+    labels = spark.createDataFrame([(n, n, 2.0) for n in range(3)], "id long, label long, k double")
+    moved = gr._moves(links, labels, 6.0, 1.0, 0, 3, 2)
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD [src") == 1 and "xxhash64(src" in plan  # links are read once, those of the turn alone
+    halves = {r.id for r in moved.collect() if r.label != r.id}, {r.id for r in gr._moves(links, labels, 6.0, 1.0, 1, 3, 2).collect() if r.label != r.id}
+    assert not halves[0] & halves[1]
