@@ -4,7 +4,8 @@ A block (a row with some arrays in binary columns) sends each of its different
 keys once, with its number, to the slot of its hash; the slot adds up the blocks
 and answers each with the totals of its keys. Slots are made in proportion to
 the keys, and a key comes once a block however frequent it is, so no task grows
-with the input or with a hot key. Keys are 64-bit hashes.
+with the input or with a hot key. Keys are 64-bit hashes, spread evenly over
+their whole range, since slots are ranges of them.
 """
 
 from __future__ import annotations

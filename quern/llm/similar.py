@@ -41,6 +41,8 @@ SAMPLE, LAST = 16, 1 << 16
 #: Shingles of prefixes at which a block is closed, and different ones of blocks that one slot adds up.
 BLOCK_TOKENS, SLOT_KEYS = 1 << 18, 1 << 19
 LONGS = 8  # of the bitmap
+#: An odd factor, so that no two hashes become equal.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Most rows (a hash and an id each) that are broadcast, about 50 MB; more are joined by shuffles, with the same result.
 SENT_ROWS = 1 << 19
 
@@ -102,7 +104,11 @@ def _fingerprint(own: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, size: int) -> DataFrame:
-    """(id, node, n, fp, bits, tokens): of every row its set's hash, size, SimHash and bitmap, and the hashes of the set's prefix."""
+    """(id, node, n, fp, bits, tokens): of every row its set's hash, size, SimHash and bitmap, and the hashes of the set's prefix.
+
+    A prefix has the smallest hashes, a fifth of their range. Slots of an exchange
+    are ranges, so tokens are these hashes times SPREAD, which fill all slots alike.
+    """
     last = rows.sparkSession.sparkContext.broadcast(_frequent(rows, size))
 
     def batches(source):
@@ -119,7 +125,7 @@ def _prefixes(rows: DataFrame, size: int) -> DataFrame:
                 bitmaps.append(np.packbits(np.bincount((own & np.uint64(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS).astype(np.uint8) & 1).view(np.int64))
                 spot = np.minimum(np.searchsorted(late, own), max(0, len(late) - 1))
                 put_last = late[spot] == own if len(late) else np.zeros(len(own), bool)
-                prefixes.append(np.concatenate((own[~put_last], own[put_last]))[: len(own) - (4 * len(own) + 4) // 5 + 1].tobytes())
+                prefixes.append((np.concatenate((own[~put_last], own[put_last]))[: len(own) - (4 * len(own) + 4) // 5 + 1] * SPREAD).tobytes())
             bits = pa.ListArray.from_arrays(pa.array(np.arange(0, LONGS * (len(nodes) + 1), LONGS), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bitmaps])))
             yield pa.record_batch([batch.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(fps, np.int64)), bits, pa.array(prefixes, pa.binary())], names=["id", "node", "n", "fp", "bits", "tokens"])
 

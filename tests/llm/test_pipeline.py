@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from quern import skew
@@ -127,3 +128,19 @@ def test_simhash_proposes_links_first(spark, tmp_path):
         root[find(a)] = find(b)
     near = [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3]
     assert len(near) > 10 and all(find(a) == find(b) for a, b in near)
+
+
+def test_prefixes_fill_all_slots(spark, tmp_path):
+    """Prefixes have the smallest hashes, but no slot of an exchange, a range of its keys, holds much more than its share."""
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(rng.randint(100, 300))) for _ in range(100)]
+    path = str(tmp_path / "docs.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "id long, text string").write.parquet(path)
+    rows = similar._prefixes(spark.read.parquet(path), 5)
+    tokens = np.concatenate([np.frombuffer(r.tokens, "<u8") for r in rows.collect()])
+    sent = np.bincount((tokens >> np.uint64(61)).astype(int), minlength=8)
+    assert len(tokens) > 3000 and sent.max() < 1.3 * sent.mean()
+    blocks = similar._packed(rows)
+    keys, counts = np.unique(tokens, return_counts=True)
+    shared = np.concatenate([np.frombuffer(r.tokens, "<u8") for r in similar._shared(blocks).collect()])
+    assert sorted(set(shared)) == sorted(keys[counts > 1])
