@@ -21,10 +21,12 @@ CODES = {
 }
 #: How kinds are written, and what they are called.
 KINDS = {"Section": r"sections?|secs?\.?|u/s|s\.", "Article": r"articles?|arts?\.?", "Order": r"orders?", "Rule": r"rules?|r\.", "Regulation": r"regulations?", "Clause": r"clauses?"}
-NUMBER = r"(?:\d+[A-Z]{0,2}|[IVXL]+)(?:\(\w{1,4}\))*"
+#: A Roman number ends where its word does, and so does a kind that no dot ends: SECIÓN is no Section I.
+NUMBER = r"(?:\d+[A-Z]{0,2}|[IVXL]+(?![\p{L}\p{M}\p{N}_]))(?:\(\w{1,4}\))*"
+KIND = "(?i:" + "|".join(KINDS.values()) + r")(?:(?<=\.)|(?![\p{L}\p{M}]))"
 SIGN = r"[-–]|\bto\b"
-#: Where a reference may begin and its numbers end: not inside a word of any alphabet, nor in a mail address (r.23@example.com).
-START, END = r"(?<![\p{L}\p{N}_@])", r"(?![\w.+-]*@)"
+#: Where a reference may begin and its numbers end: not inside a word of any alphabet, nor in a mail address (r.23@example.com) or one of a network (s. 10.2.3.4).
+START, END = r"(?<![\p{L}\p{M}\p{N}_@])", r"(?![\w.+-]*@|\d*(?:\.\d+){3})"
 BETWEEN = rf"(?:\s*(?:,|/|&|\band\b|\bor\b|{SIGN})\s*)+"
 READ_WITH = r"read\s+with|r/w"
 #: Acts of the constitution's articles, of orders and rules where none is named, and the last article.
@@ -35,12 +37,11 @@ WIDEST = 20
 
 def _phrase(codes: Mapping[str, str]) -> str:
     """A pattern of a reference; its first group is the provisions, its second the act."""
-    kind = "(?i:" + "|".join(KINDS.values()) + ")"
-    listed = rf"{NUMBER}{END}(?:(?:{BETWEEN}|\s+(?=(?i:rules?|r\.)\s))(?:{kind}\s*)?{NUMBER}{END})*"
+    listed = rf"{NUMBER}{END}(?:(?:{BETWEEN}|\s+(?=(?i:rules?|r\.)\s))(?:{KIND}\s*)?{NUMBER}{END})*"
     known = "|".join(sorted((c.replace(".", r"\.") for c in codes), key=len, reverse=True))
     named = r"(?:[A-Z][A-Za-z]+\s+)(?:(?:of|and|the|for|[A-Z(][A-Za-z()]*)\s+){0,8}?(?:Act|Code|Rules|Regulations|Agreement|Order|Sanhita|Adhiniyam)\b"
     act = rf"(?:\s*,?\s*(?:of\s+)?(?:the\s+)?({named}|(?:{known})(?!\w)))?"
-    return rf"({START}{kind}\s*{listed}(?:\s*,?\s*(?i:{READ_WITH})\s+(?:{kind}\s*)?{listed})*){act}"
+    return rf"({START}{KIND}\s*{listed}(?:\s*,?\s*(?i:{READ_WITH})\s+(?:{KIND}\s*)?{listed})*){act}"
 
 
 def _kind(token: Column) -> Column:
@@ -53,7 +54,7 @@ def _kind(token: Column) -> Column:
 
 def _read(provisions: Column) -> Column:
     """The provisions of a phrase as array<struct<kind, number>>; a rule behind an order has the order's number with it."""
-    pattern = "(?i:" + "|".join(KINDS.values()) + rf")(?![A-Za-z])|{NUMBER}|{SIGN}"
+    pattern = rf"{KIND}|{NUMBER}|{SIGN}"
     tokens = F.regexp_extract_all(provisions, F.lit(f"({pattern})"), 1)
     state = F.struct(F.array().cast("array<struct<kind:string,number:string>>").alias("out"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("order"), F.lit(False).alias("range"))
 

@@ -36,3 +36,15 @@ def test_long_text(spark):
     text = "no such thing here. " * 20_000 + "Section 7 IPC " + "x " * 50_000
     found = spark.createDataFrame([(text,)], "t string").select(statute_references("t").alias("r")).first().r
     assert [tuple(x) for x in found] == [(IPC, "Section 7")]
+
+
+@pytest.mark.parametrize("text", ["SECIÓNGAARIE!! CIÓN", "ARTICLEIN, ARTIÓN XL", "un s. La, el sec. Ist", "fu\u0308r. 5", "S. 10.21.32.4 y r. 192.168.0.1"])
+def test_no_reference_in_words_or_addresses(spark, text):
+    found = spark.createDataFrame([(text,)], "t string").select(statute_references("t").alias("r")).first().r
+    assert not found
+
+
+def test_numbers_end_with_their_words(spark):
+    text = "s.IV IPC, Section 5, Les Articles XL"
+    found = spark.createDataFrame([(text,)], "t string").select(statute_references("t").alias("r")).first().r
+    assert [tuple(x) for x in found] == [(IPC, "Section IV"), (None, "Section 5"), (None, "Article XL")]
