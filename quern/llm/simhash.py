@@ -24,6 +24,7 @@ from pyspark.sql.window import Window
 
 from quern.llm.common import column_bytes, materialise, with_payload
 from quern.llm.components import connected_components
+from quern.skew import by_shuffle
 
 BITS, SEGMENTS, WIDTH = 64, 4, 16
 #: Words hashed at a time, so that a very long text needs no more memory than this many shingles.
@@ -105,7 +106,7 @@ def link(fps: DataFrame, max_bits: int = 3, hot: int = 200) -> DataFrame:
     three = F.bit_count(F.shiftrightunsigned(ring(differ), WIDTH)) <= (3 * max_bits) // SEGMENTS
     linked = (F.col("p.k") == F.col("x.k")) & (F.col("p.fp") != F.col("x.fp")) & three & (F.bit_count(differ) <= max_bits)
     cold = index.join(hot_keys, "k", "left_anti") if any_hot else index
-    pairs = probe.alias("p").join(cold.alias("x"), linked).select(F.col("p.fp").alias("a"), F.col("x.fp").alias("b"))
+    pairs = probe.alias("p").join(by_shuffle(cold.alias("x")), linked).select(F.col("p.fp").alias("a"), F.col("x.fp").alias("b"))
     if any_hot:
         members = index.withColumn("role", F.lit(0)).unionByName(probe.withColumn("role", F.lit(1)))
         pairs = pairs.unionByName(_hot_links(members.join(hot_keys, "k", "left_semi"), max_bits))
@@ -128,7 +129,7 @@ def _hot_links(members: DataFrame, max_bits: int) -> DataFrame:
     parts = parts.withColumn("value", value).withColumn("bit", F.explode(flips)).select("k", "j", F.col("value").bitwiseXOR(F.col("bit").cast("long")).alias("part"), "role", "fp")
     sizes = parts.groupBy("k", "j", "part").agg(F.min("role").alias("least"), F.max("role").alias("most"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     live = sizes.where("least = 0 AND most = 1 AND low <> high").select("k", "j", "part")
-    return parts.join(live, ["k", "j", "part"], "left_semi").groupBy("k", "j", "part").applyInPandas(lambda pdf: _forest(pdf, max_bits), "a long, b long")
+    return parts.join(by_shuffle(live), ["k", "j", "part"], "left_semi").groupBy("k", "j", "part").applyInPandas(lambda pdf: _forest(pdf, max_bits), "a long, b long")
 
 
 def _forest(pdf, max_bits: int):
@@ -176,7 +177,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids = reached.groupBy("root").agg(F.min("least").alias("component"))
     # Very many fingerprints can share a root, so they are dealt over salted copies of the roots.
     salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("node", "component")
+    named = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(by_shuffle(salted), ["root", "salt"]).select("node", "component")
     by_fp = distinct.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     by_fp = materialise(by_fp, "components").withColumnRenamed("fp", "of")
     # Both sides are fresh reads, so adaptive execution can split a hot fingerprint.

@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 HOT_SHARE = 4096
 
 
+def by_shuffle(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join that is not to broadcast either side, whatever Spark holds their sizes to be.
+
+    Spark sizes what an explode or a step in Python makes by what goes in, and a
+    file by its compressed bytes, so a table of many times the broadcast threshold
+    can be taken for one below it and end on the driver.
+    """
+    return rows.hint("merge")
+
+
 def _parts(groups: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
     hot = F.col("n") * HOT_SHARE >= total
     return F.broadcast(groups.where(hot)), groups.where(~hot)
