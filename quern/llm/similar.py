@@ -34,7 +34,7 @@ from quern.llm.common import chunks_by_size, column_bytes, materialise, released
 from quern.llm.components import connected_components
 from quern.llm.exchange import exchange_values, gather_values
 from quern.llm.simhash import BITS, BLOCK, SALTS, SEED, link
-from quern.skew import join_groups
+from quern.skew import by_shuffle, join_groups
 
 #: Texts of which one is sampled for frequent shingles, and the most shingles that are put last. Neither changes results.
 SAMPLE, LAST = 16, 1 << 16
@@ -311,7 +311,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) ->
     """Those of the materialised pairs(a, b) of nodes whose texts are similar."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     own = _texts(nodes.join(asked, "node", "left_semi").select("node", "least"), rows, size)
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    text = lambda end, name: by_shuffle(own.select(F.col("node").alias(end), F.col("text").alias(name)))
+    both = pairs.join(text("a", "x"), "a").join(text("b", "y"), "b")
 
     def checked(source):
         import pyarrow as pa
@@ -354,7 +355,7 @@ def _links(blocks: DataFrame, nodes: DataFrame, rows: DataFrame, size: int) -> D
     apart = materialise(counted.select(F.col("token").alias("of"), "main", "n"), "apart")
     split = join_groups(rooted, apart, F.col("token") == F.col("of"), total).select("token", "node", "size", "place", "root", "main")
     split = materialise(split.join(marks.select(F.col("node").alias("own"), "bits"), F.col("node") == F.col("own")).select("token", "node", F.col("size").alias("n"), "place", "bits", "root", "main"), "split")
-    other = split.where("root <> main").alias("p").join(split.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))) & _possible("p", "q") & _near("p", "q"))
+    other = split.where("root <> main").alias("p").join(by_shuffle(split.alias("q")), (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & ((F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))) & _possible("p", "q") & _near("p", "q"))
     other = other.select(*pair("p", "q")).distinct().join(stars, ["a", "b"], "left_anti")
     return links.union(_verified(materialise(other, "rest"), nodes, rows, size))
 
@@ -378,7 +379,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ids = roots.join(nodes.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).groupBy("root").agg(F.min("least").alias("component"))
     # Very many sets can share a root, so they are dealt over salted copies of the roots.
     salted = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select(F.col("node").alias("of"), "component")
+    named = roots.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(by_shuffle(salted), ["root", "salt"]).select(F.col("node").alias("of"), "component")
     by_node = nodes.join(named, F.col("node") == F.col("of"), "left").select(F.col("node").alias("of"), F.coalesce("component", "least").alias("component_id"))
     by_node = materialise(by_node, "components")
     return found.select("id", "node").join(by_node, F.col("node") == F.col("of"), "left").select(F.col("id.id").alias(id_col), F.col("component_id.id").alias("component_id"))

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import simhash
+from quern.llm import similar, simhash
 
 
 def plans_of(module, monkeypatch):
@@ -31,7 +31,7 @@ def test_simhash_links_are_not_broadcast(spark, tmp_path, hot):
     assert {frozenset((r.a, r.b)) for r in links.collect()} >= {frozenset((x, x ^ 1)) for x in fps[::3]}
 
 
-@pytest.mark.parametrize("module, rule", [(simhash, simhash.simhash_dedup)])
+@pytest.mark.parametrize("module, rule", [(simhash, simhash.simhash_dedup), (similar, similar.similar_components)])
 def test_salted_roots_are_not_broadcast(spark, monkeypatch, module, rule):
     seen = plans_of(module, monkeypatch)
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.sequence(F.lit(1), F.lit(40)), (F.col("id") % 20).cast("string")).alias("text"))
